@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .vocabulary import load
 
-CACHE_PIECES = 700_000  # encoded pieces (and as many chunks) that a worker remembers; then it starts anew
+CACHE_PIECES = 1_000_000  # encoded pieces that a worker remembers; then it starts anew
 CACHE_CHARS = 48
 
 # The split pattern in the standard library's dialect, equal for the characters
@@ -34,11 +34,6 @@ CACHE_CHARS = 48
 _SPLIT = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
 _PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ͷ‐-‧‰-⁞₠-₿]*")
 
-# A piece always begins at a space, unless that stands in a run of white space
-# and isn't its last character before a word.  Texts without such spaces can be
-# cut at every space first.
-_INNER_SPACE = re.compile(r"\s (?!\S)")
-
 
 def merge_piece(symbols: list[int], merges: dict[int, int]) -> list[int]:
     """Merge the symbols of one piece.
@@ -105,28 +100,12 @@ class _Pieces(dict):
         return out
 
 
-class _Chunks(dict):
-    """What follows a space, up to the next -> its ids, that space included."""
-
-    def __init__(self, own: Codec):
-        self.own = own
-
-    def __missing__(self, chunk: str) -> bytes:
-        out = self.own._pieces(" " + chunk)
-        if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[chunk] = out
-        return out
-
-
 class Codec:
     """Encoder and decoder for one vocabulary file."""
 
     def __init__(self, path: str):
         self.path, self.v = path, load(path)
         self.pieces = _Pieces(self.v)
-        self.chunks = _Chunks(self)
         self._special = re.compile("|".join(re.escape(s) for s in sorted(self.v.special, key=len, reverse=True))) if self.v.special else None
         self._library = None
 
@@ -139,14 +118,8 @@ class Codec:
             self._library = Tokenizer.from_file(self.path).pre_tokenizer
         return [text[a:b] for _, (a, b) in self._library.pre_tokenize_str(text)]
 
-    def _pieces(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.split(text)))
-
     def _plain(self, text: str) -> bytes:
-        if _INNER_SPACE.search(text):
-            return self._pieces(text)
-        first, *rest = text.split(" ")
-        return self._pieces(first) + b"".join(map(self.chunks.__getitem__, rest))
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
