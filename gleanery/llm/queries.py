@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, token_counts
+from . import bpe, chat, decontaminate, language, media, quality, shards, token_counts
 from .common import documents
 from .vocabulary import default_path
 
@@ -19,14 +19,36 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), default_path())
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)], turns.schema)
+    return chat.conversation_digests(turns.unionByName(probe))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(documents(spark, sf_dir))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), default_path())
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_media_columns, op2_token_counts, op9_bpe_codec)
+    own = (op1_media_columns, op2_token_counts, op3_decontamination, op4_chat_formatting, op5_sharding, op8_quality_classifier, op9_bpe_codec, op10_language_id)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontamination": decontaminate.ORACLE_SQL, "op4_chat_formatting": chat.ORACLE_SQL}
