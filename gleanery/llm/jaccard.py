@@ -272,3 +272,12 @@ def similarity_components(docs: DataFrame, threshold: int = THRESHOLD, words: in
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``documents`` -> doc_id, n_shingles, component_id."""
     return similarity_components(docs, **options).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each_component(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is their component's, repeated rows once."""
+    found = similarity_components(docs, **options)
+    kept = stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("row_a", "row_b").distinct())
+    named = docs.withColumns({k: c for k, c in zip(("row_a", "row_b"), row_key(), strict=True)}).join(kept, ["row_a", "row_b"])
+    first = F.row_number().over(Window.partitionBy("row_a", "row_b").orderBy("row_a"))
+    return named.withColumn("row_number", first).where("row_number = 1").select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, jaccard, language, media, quality, shards, token_counts
+from . import bpe, chat, decontaminate, jaccard, language, media, quality, repeats, shards, token_counts
 from .common import documents
 from .vocabulary import default_path
 
@@ -33,6 +33,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(documents(spark, sf_dir))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digests(documents(spark, sf_dir))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir))
 
@@ -50,7 +54,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_media_columns, op2_token_counts, op3_decontamination, op4_chat_formatting, op5_sharding, op7_ngram_jaccard_join, op8_quality_classifier, op9_bpe_codec, op10_language_id)
+    own = (op1_media_columns, op2_token_counts, op3_decontamination, op4_chat_formatting, op5_sharding, op6_suffix_array_dedup, op7_ngram_jaccard_join, op8_quality_classifier, op9_bpe_codec, op10_language_id)
     return {f.__name__: f for f in own}
 
 
