@@ -62,23 +62,28 @@ def merged_parts(df: DataFrame, zero, add, pack) -> DataFrame:
     """Combine the rows (part: int, data: binary) of each part into one.
 
     Two rounds, the first over a part's rows dealt out by a hash; tasks read
-    their rows as a stream and hold one accumulator a part.  ``add(acc, data)``
-    folds a row in, ``pack(acc)`` writes an accumulator.
+    their rows sorted by part, as a stream, and hold one accumulator at a time.
+    ``add(acc, data)`` folds a row in, ``pack(acc)`` writes an accumulator.
     """
 
     def run(batches):
-        held: dict[int, object] = {}
+        def row(part, held):
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pack(held)], pa.binary())], names=["part", "data"])
+
+        now = held = None
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if part not in held:
-                    held[part] = zero()
-                add(held[part], data)
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([pack(x) for x in held.values()], pa.binary())], names=["part", "data"])
+                if part != now:
+                    if held is not None:
+                        yield row(now, held)
+                    now, held = part, zero()
+                add(held, data)
+        if held is not None:
+            yield row(now, held)
 
     schema = "part int, data binary"
-    dealt = df.repartition("part", F.pmod(F.xxhash64("data"), F.lit(16)))
-    return dealt.mapInArrow(run, schema).repartition("part").mapInArrow(run, schema)
+    dealt = df.repartition("part", F.pmod(F.xxhash64("data"), F.lit(16))).sortWithinPartitions("part")
+    return dealt.mapInArrow(run, schema).repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -47,7 +47,7 @@ SKETCH_BITS = 28
 SKETCH_PARTS = 512
 MOST = 400
 SYMBOLS = 20_000
-CHUNK = 900_000
+CHUNK = 400_000
 
 
 class Cutter:
