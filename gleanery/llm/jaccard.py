@@ -43,7 +43,7 @@ from .components import components
 from .shingles import WORDS, shingle_sets
 
 THRESHOLD = 80  # percent
-SKETCH_BITS = 22
+SKETCH_BITS = 26
 SKETCH_PARTS = 256
 BLOCK = 64
 BATCH_BYTES = 1_000_000
@@ -57,31 +57,60 @@ def _sets(batches, text: str = "text", words: int = WORDS):
             yield batch, a, shingle_sets(texts[a:b], words)
 
 
-def cells_of(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def cells_of(tokens: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    return (tokens >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def sketch(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """Counts of all documents' shingles in 2**SKETCH_BITS cells; the size is fixed."""
-    size = 1 << SKETCH_BITS
+def level(counts: np.ndarray) -> np.ndarray:
+    """Counts as one byte: exact to 63, then eight steps a doubling."""
+    c = counts.astype(np.float64)
+    return np.where(c < 64, c, np.minimum(255, 64 + 8 * (np.log2(np.maximum(c, 64)) - 6))).astype(np.uint8)
+
+
+def sketch(docs: DataFrame, words: int = WORDS, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Levels of the counts of all documents' shingles in 2**bits cells, a byte each whatever the input."""
+    size = 1 << bits
     part = size // SKETCH_PARTS
 
     def count(batches):
-        total = np.zeros(size, np.uint32)
+        held: list[np.ndarray] = []
+        total = 0
+
+        def flush():
+            # Sorted cells as differences, which take about a byte each.
+            cells = np.sort(np.concatenate(held))
+            ends = np.searchsorted(cells, np.arange(1, SKETCH_PARTS) * part)
+            rows = [(i, np.diff(own, prepend=i * part)) for i, own in enumerate(np.split(cells, ends)) if len(own)]
+            data = [zlib.compress(own.astype(np.uint32).tobytes(), 1) for _, own in rows]
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([b"d" + x for x in data], pa.binary())], names=["part", "data"])
+
         for _, _, sets in _sets(batches, words=words):
-            total += np.bincount(cells_of(np.concatenate(sets)), minlength=size).astype(np.uint32)
-        blocks = total.reshape(SKETCH_PARTS, part)
-        used = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in used], pa.binary())], names=["part", "data"])
+            held.append(cells_of(np.concatenate(sets), bits))
+            total += len(held[-1])
+            if total > 4_000_000:
+                yield flush()
+                held, total = [], 0
+        if total:
+            yield flush()
 
     def add(total, data):
-        total += np.frombuffer(zlib.decompress(data), np.uint32)
+        raw = np.frombuffer(zlib.decompress(data[1:]), np.uint32)
+        if data[:1] == b"d":
+            total += np.bincount(np.cumsum(raw), minlength=part).astype(np.uint32)
+        else:
+            total += raw
 
     counted = docs.select("text").mapInArrow(count, "part int, data binary")
-    merged = merged_parts(counted, lambda: np.zeros(part, np.uint32), add, lambda total: zlib.compress(total.tobytes(), 1))
-    out = np.zeros((SKETCH_PARTS, part), np.uint32)
-    for r in merged.collect():  # SKETCH_PARTS rows at most
-        out[r["part"]] = np.frombuffer(zlib.decompress(r["data"]), np.uint32)
+    merged = merged_parts(counted, lambda: np.zeros(part, np.uint32), add, lambda total: b"t" + zlib.compress(total.tobytes(), 1))
+
+    def shrink(batches):
+        for batch in batches:
+            made = [zlib.compress(level(np.frombuffer(zlib.decompress(x[1:]), np.uint32)).tobytes(), 1) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["part", "data"])
+
+    out = np.zeros((SKETCH_PARTS, part), np.uint8)
+    for r in merged.mapInArrow(shrink, "part int, data binary").collect():  # SKETCH_PARTS rows of fixed size
+        out[r["part"]] = np.frombuffer(zlib.decompress(r["data"]), np.uint8)
     return out.ravel()
 
 
@@ -91,8 +120,8 @@ def prefix_size(n: int, threshold: int = THRESHOLD) -> int:
 
 def order_keys(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sort keys of the tokens under the two global orders."""
-    often = counts[cells_of(tokens)].astype(np.uint64)
-    first = np.minimum(often, np.uint64((1 << 20) - 1)) << np.uint64(44) | tokens >> np.uint64(20)
+    often = counts[cells_of(tokens, len(counts).bit_length() - 1)].astype(np.uint64)
+    first = often << np.uint64(56) | tokens >> np.uint64(8)
     kind = np.frexp(often.astype(np.float64))[1].astype(np.uint64)  # bit length
     second = kind << np.uint64(58) | mix64(tokens) >> np.uint64(6)
     return first, second
@@ -211,11 +240,15 @@ def _block_pairs(members: DataFrame, star: DataFrame, counts, threshold: int) ->
     """a, b: links of the classes that their hub did not link, a forest for each pair of blocks."""
     flags = star.select("cell", "class", (~F.col("linked")).alias("open"))
     sizes = star.groupBy("cell").agg((F.count(F.lit(1)) + 1).alias("m"), F.sum((~F.col("linked")).cast("long")).alias("r")).where("r > 0 and m > 2")
-    sizes = sizes.select("cell", F.ceil(F.col("m") / BLOCK).cast("int").alias("nk"), F.ceil(F.col("r") / BLOCK).cast("int").alias("nr"))
-    rows = members.join(flags.drop("cell"), "class", "left").join(sizes, "cell").withColumn("open", F.coalesce("open", F.lit(False)))
+    sizes = stored(sizes.select("cell", F.ceil(F.col("m") / BLOCK).cast("int").alias("nk"), F.ceil(F.col("r") / BLOCK).cast("int").alias("nr")))
+    # Where each class goes is settled on ids alone; sets join last, only those of cells with work left.
+    hubs = sizes.select("cell", F.col("cell").alias("class"), F.lit(False).alias("open"), "nk", "nr")
+    rows = flags.join(sizes, "cell").select("cell", "class", "open", "nk", "nr").unionByName(hubs)
     kb, rb = F.pmod(F.xxhash64("class", F.lit(1)), F.col("nk")).cast("int"), F.pmod(F.xxhash64("class", F.lit(2)), F.col("nr")).cast("int")
-    known = rows.select("cell", kb.alias("kb"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("rb"), F.lit(False).alias("asks"), "class", "tokens")
-    asked = rows.where("open").select("cell", F.explode(F.sequence(F.lit(0), F.col("nk") - 1)).alias("kb"), rb.alias("rb"), F.lit(True).alias("asks"), "class", "tokens")
+    known = rows.select("cell", kb.alias("kb"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("rb"), F.lit(False).alias("asks"), "class")
+    asked = rows.where("open").select("cell", F.explode(F.sequence(F.lit(0), F.col("nk") - 1)).alias("kb"), rb.alias("rb"), F.lit(True).alias("asks"), "class")
+    places = stored(known.unionByName(asked))
+    spread = places.join(members.select("class", "tokens"), "class")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["asks"]], pdf[~pdf["asks"]]
@@ -237,7 +270,7 @@ def _block_pairs(members: DataFrame, star: DataFrame, counts, threshold: int) ->
                     out.append((x, y))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return known.unionByName(asked).groupBy("cell", "kb", "rb").applyInPandas(compare, "a long, b long")
+    return spread.groupBy("cell", "kb", "rb").applyInPandas(compare, "a long, b long")
 
 
 def similarity_components(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
