@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,16 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
 
 
+def text_slices(column: pa.Array, limit: int):
+    """(start, texts as bytes) for runs of about ``limit`` bytes of a text column.
+
+    Only one run at a time becomes Python objects, which keeps workers small.
+    """
+    raw = column.cast(pa.binary())
+    for a, b in slices((pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False) + 1).tolist(), limit):
+        yield a, [v or b"" for v in raw.slice(a, b - a).to_pylist()]
+
+
 def slices(lengths: list[int], limit: int):
     """Cut 0..n-1 into runs whose lengths add up to about ``limit``."""
     start = total = 0

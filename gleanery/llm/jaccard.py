@@ -38,23 +38,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import merged_parts, mix64, row_key, slices, stored, text_bytes
+from .common import merged_parts, mix64, row_key, stored, text_slices
 from .components import components
 from .shingles import WORDS, shingle_sets
 
 THRESHOLD = 80  # percent
-SKETCH_BITS = 26
+SKETCH_BITS = 25
 SKETCH_PARTS = 256
 BLOCK = 64
-BATCH_BYTES = 1_000_000
+BATCH_BYTES = 400_000
 
 
 def _sets(batches, text: str = "text", words: int = WORDS):
     """(batch, offset in it, sets) for parts of about BATCH_BYTES."""
     for batch in batches:
-        texts = text_bytes(batch.column(batch.schema.get_field_index(text)))
-        for a, b in slices([len(t) + 1 for t in texts], BATCH_BYTES):
-            yield batch, a, shingle_sets(texts[a:b], words)
+        for a, texts in text_slices(batch.column(batch.schema.get_field_index(text)), BATCH_BYTES):
+            yield batch, a, shingle_sets(texts, words)
 
 
 def cells_of(tokens: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -80,14 +79,14 @@ def sketch(docs: DataFrame, words: int = WORDS, bits: int = SKETCH_BITS) -> np.n
             # Sorted cells as differences, which take about a byte each.
             cells = np.sort(np.concatenate(held))
             ends = np.searchsorted(cells, np.arange(1, SKETCH_PARTS) * part)
-            rows = [(i, np.diff(own, prepend=i * part)) for i, own in enumerate(np.split(cells, ends)) if len(own)]
+            rows = [(i, np.diff(own, prepend=np.uint32(i * part))) for i, own in enumerate(np.split(cells, ends)) if len(own)]
             data = [zlib.compress(own.astype(np.uint32).tobytes(), 1) for _, own in rows]
             return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([b"d" + x for x in data], pa.binary())], names=["part", "data"])
 
         for _, _, sets in _sets(batches, words=words):
-            held.append(cells_of(np.concatenate(sets), bits))
+            held.append(cells_of(np.concatenate(sets), bits).astype(np.uint32))
             total += len(held[-1])
-            if total > 4_000_000:
+            if total > 2_000_000:
                 yield flush()
                 held, total = [], 0
         if total:
