@@ -172,15 +172,16 @@ def repeated_cells(texts: DataFrame, cutter: Cutter, bits: int = SKETCH_BITS) ->
     return out.ravel()
 
 
-PIECES = "text_a long, text_b int, core long, piece long, base long, low int, high int, edges binary"
+PIECES = "text_a long, text_b int, core long, piece long, bases array<long>, low int, high int, edges binary"
 
 
 def pieces_of(texts: DataFrame, table, cutter: Cutter, bits: int = SKETCH_BITS) -> DataFrame:
     """Pieces whose core may repeat.
 
-    A window that starts k bytes before ``base`` is number k of its piece, low
-    to high; ``edges`` are the high bytes before the core and the span - 1 - low
-    behind it.
+    A window that starts k bytes before a base is number k of its piece, low to
+    high; ``edges`` are the high bytes before the core and the span - 1 - low
+    behind it.  Equal pieces of one chunk of a text are one row with all their
+    bases, so periodic texts send few rows.
     """
     shift = np.uint64(64 - bits)
 
@@ -191,23 +192,30 @@ def pieces_of(texts: DataFrame, table, cutter: Cutter, bits: int = SKETCH_BITS)
                 r = cutter.runs(data, parts)
                 cell = (r["core"] >> shift).astype(np.int64)
                 keep = np.flatnonzero(bitmap[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & np.uint8(1))
-                base, first, last, part = (r[k][keep] for k in ("base", "first", "last", "part"))
+                if not len(keep):
+                    continue
+                keep = keep[np.lexsort((r["base"][keep], r["piece"][keep], r["core"][keep], r["part"][keep]))]
+                base, first, last, part, core, piece = (r[k][keep] for k in ("base", "first", "last", "part", "core", "piece"))
+                fresh = np.ones(len(keep), bool)
+                fresh[1:] = (part[1:] != part[:-1]) | (core[1:] != core[:-1]) | (piece[1:] != piece[:-1])
+                head = np.flatnonzero(fresh)
                 origin = np.array([p[1] - p[2] for p in parts])[part]
+                bases = pa.ListArray.from_arrays(pa.array(np.append(head, len(keep)).astype(np.int32)), pa.array(base + origin))
+                base, first, last, part, core, piece = (x[head] for x in (base, first, last, part, core, piece))
                 name = [names[parts[p][0]] for p in part.tolist()]
-                stop = last + cutter.length
-                behind = base + cutter.core
+                behind, stop = base + cutter.core, last + cutter.length
                 edges = [data[a:b] + data[c:d] for a, b, c, d in zip(first.tolist(), base.tolist(), behind.tolist(), stop.tolist(), strict=True)]
                 columns = [
                     pa.array([x[0] for x in name], pa.int64()),
                     pa.array([x[1] for x in name], pa.int32()),
-                    pa.array(r["core"][keep].view(np.int64)),
-                    pa.array(r["piece"][keep].view(np.int64)),
-                    pa.array(base + origin),
+                    pa.array(core.view(np.int64)),
+                    pa.array(piece.view(np.int64)),
+                    bases,
                     pa.array((base - last).astype(np.int32)),
                     pa.array((base - first).astype(np.int32)),
                     pa.array(edges, pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["text_a", "text_b", "core", "piece", "base", "low", "high", "edges"])
+                yield pa.RecordBatch.from_arrays(columns, names=["text_a", "text_b", "core", "piece", "bases", "low", "high", "edges"])
 
     return texts.mapInArrow(run, PIECES)
 
@@ -351,9 +359,9 @@ def repeated_spans(docs: DataFrame, cutter: Cutter, bits: int = SKETCH_BITS, mos
     table = spark.sparkContext.broadcast(repeated_cells(long_texts, cutter, bits))
     rows = stored(pieces_of(long_texts, table, cutter, bits))
     kinds = ["core", "piece", "low", "high"]
-    cores = rows.groupBy(*kinds).agg(F.count(F.lit(1)).alias("times")).groupBy("core").agg(F.sum("times").alias("total"), F.count(F.lit(1)).alias("kinds"))
+    cores = rows.groupBy(*kinds).agg(F.sum(F.size("bases")).alias("times")).groupBy("core").agg(F.sum("times").alias("total"), F.count(F.lit(1)).alias("kinds"))
     cores = stored(cores.where("total > 1"))
-    distinct = stored(rows.join(cores, "core").groupBy(*kinds, "edges", "kinds").agg(F.count(F.lit(1)).alias("times")))
+    distinct = stored(rows.join(cores, "core").groupBy(*kinds, "edges", "kinds").agg(F.sum(F.size("bases")).alias("times")))
     certain = distinct.where("times > 1").select("core", "piece", "low", "high")
     several = distinct.where("kinds > 1")
     some = _by_suffixes(several.where(F.col("kinds") <= most), cutter.span)
@@ -362,7 +370,7 @@ def repeated_spans(docs: DataFrame, cutter: Cutter, bits: int = SKETCH_BITS, mos
     if wide.limit(1).count():
         ranges = ranges.unionByName(_by_halves(wide, cutter.span))
     ranges = stored(ranges.distinct())
-    places = rows.select("text_a", "text_b", "core", "piece", "base").join(ranges, ["core", "piece"])
+    places = rows.select("text_a", "text_b", "core", "piece", "bases").join(ranges, ["core", "piece"]).withColumn("base", F.explode("bases"))
     spans = places.select("text_a", "text_b", (F.col("base") - F.col("high")).alias("start"), (F.col("base") - F.col("low") + cutter.length).alias("stop"))
     copies = long_texts.groupBy("text_a", "text_b").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("stop")).where("n > 1")
     spans = spans.unionByName(copies.select("text_a", "text_b", F.lit(0).cast("long").alias("start"), F.col("stop").cast("long").alias("stop")))
