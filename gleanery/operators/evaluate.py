@@ -122,9 +122,9 @@ def num_docs_histogram(preds: DataFrame) -> DataFrame:
 
 def metrics_document(preds: DataFrame, labels: list[str] | None = None) -> DataFrame:
     """All metrics as one nested row."""
-    entries = lambda df, key, value: df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))))
+    entries = lambda df, key, value: df.agg(F.map_from_entries(F.collect_list(F.struct(key, value))))
     one = per_class(preds, labels).select("label", F.struct("num_examples", "num_correct", "accuracy").alias("v"))
-    cells = confusion(preds, labels).groupBy("gold").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pred", "n")))).alias("v"))
+    cells = confusion(preds, labels).groupBy("gold").agg(F.map_from_entries(F.collect_list(F.struct("pred", "n"))).alias("v"))
     histogram = num_docs_histogram(preds).select(F.col("num_docs").cast("string").alias("k"), "n")
     out = summary(preds).withColumn("schema_version", F.lit(SCHEMA_VERSION))
     for name, df in (("per_class", entries(one, "label", "v")), ("confusion_matrix", entries(cells, "gold", "v")), ("prediction_distribution", entries(prediction_distribution(preds, labels), "label", "n")), ("num_docs_histogram", entries(histogram, "k", "n"))):

@@ -156,7 +156,7 @@ def select_with_model(posteriors: DataFrame, make_scorer: Callable[[], Callable[
         state = []
         for eta0, items in zip(etas0, lists, strict=True):
             rank = np.array([c["rank"] or 0 for c in items], float)
-            state.append({"ids": [c["doc_id"] for c in items], "rank": rank, "eta0": np.array(eta0, float), "eta": np.array([c["eta"] for c in items], float).reshape(len(items), -1), "inverse": np.where(rank > 0, 1 / np.maximum(rank, 1), 0.0), "score": np.array([c["score"] or 0.0 for c in items]), "picked": [], "scores": [], "steps": [], "reason": "no_candidates" if top_m else "top_m_reached", "open": bool(items)})
+            state.append({"ids": [c["doc_id"] for c in items], "rank": rank, "eta0": np.array(eta0, float), "eta": np.array([c["eta"] for c in items], float).reshape(len(items), len(eta0)), "inverse": np.where(rank > 0, 1 / np.maximum(rank, 1), 0.0), "score": np.array([c["score"] or 0.0 for c in items]), "picked": [], "scores": [], "steps": [], "reason": "no_candidates" if top_m else "top_m_reached", "open": bool(items)})
         for step in range(top_m):
             asked = []
             for s in state:

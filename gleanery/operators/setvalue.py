@@ -114,7 +114,7 @@ def greedy_teacher(posteriors: DataFrame, top_m: int = 4, ridge: float = 0.01, e
 
     def one(d, items):
         docs = [c["doc_id"] for c in items]
-        x = np.array([c["x"] for c in items], float).reshape(len(items), -1)
+        x = np.array([c["x"] for c in items], float).reshape(len(items), len(d))
         steps, reason, stop = greedy(x, np.array(d, float), top_m, ridge, stop_below, tolerance)
         out = []
         for s in steps:

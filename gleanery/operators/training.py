@@ -55,8 +55,9 @@ def states(teacher: DataFrame, posteriors: DataFrame, max_states: int | None = N
     if max_states is not None:
         steps = dense_index(steps, F.col("id"), ["step"], "n").where(F.col("n") <= max_states).drop("n")
     rows = steps.join(posteriors.select("id", "query", "eta0", "candidates", F.lit(True).alias("found")), "id", "left")
-    query = F.when(F.col("found").isNull(), F.raise_error(F.concat(F.lit("no posterior row for "), F.col("id").cast("string")))).otherwise(F.col("query"))
-    return rows.withColumn("query", query).drop("found")
+    # As a filter, since an unused column would be pruned together with its check.
+    there = F.when(F.col("found").isNull(), F.raise_error(F.concat(F.lit("no posterior row for "), F.col("id").cast("string"))).cast("boolean")).otherwise(F.lit(True))
+    return rows.where(there).drop("found")
 
 
 def feature_rows(teacher: DataFrame, posteriors: DataFrame, max_states: int | None = None, max_candidates: int | None = None) -> DataFrame:
