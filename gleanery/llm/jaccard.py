@@ -309,7 +309,7 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 def one_of_each_component(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose doc_id is their component's, repeated rows once."""
     found = similarity_components(docs, **options)
-    kept = stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("row_a", "row_b").distinct())
-    named = docs.withColumns({k: c for k, c in zip(("row_a", "row_b"), row_key(), strict=True)}).join(kept, ["row_a", "row_b"])
-    first = F.row_number().over(Window.partitionBy("row_a", "row_b").orderBy("row_a"))
-    return named.withColumn("row_number", first).where("row_number = 1").select(*docs.columns)
+    kept = stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row_a").alias("_row_a"), F.col("row_b").alias("_row_b")).distinct())
+    named = docs.withColumns({k: c for k, c in zip(("_row_a", "_row_b"), row_key(), strict=True)}).join(kept, ["_row_a", "_row_b"])
+    first = F.row_number().over(Window.partitionBy("_row_a", "_row_b").orderBy("_row_a"))
+    return named.withColumn("_nth", first).where("_nth = 1").select(*docs.columns)

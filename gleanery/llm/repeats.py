@@ -387,12 +387,12 @@ def merge_spans(spans) -> list[tuple[int, int]]:
     return out
 
 
-def with_spans(docs: DataFrame, cutter: Cutter | None = None, bits: int = SKETCH_BITS, most: int = MOST) -> DataFrame:
+def with_spans(docs: DataFrame, cutter: Cutter | None = None, bits: int = SKETCH_BITS, most: int = MOST, spans: str = "spans") -> DataFrame:
     """``docs`` with ``spans`` (array of start, stop in bytes; null where nothing repeats)."""
-    found = stored(repeated_spans(docs, cutter or Cutter(), bits, most))
+    found = stored(repeated_spans(docs.select("text"), cutter or Cutter(), bits, most)).toDF("_text_a", "_text_b", spans)
     body = F.coalesce(F.col("text"), F.lit(""))
-    named = docs.withColumn("text_a", F.xxhash64(body)).withColumn("text_b", F.hash(body))
-    return named.join(found, ["text_a", "text_b"], "left").drop("text_a", "text_b")
+    named = docs.withColumn("_text_a", F.xxhash64(body)).withColumn("_text_b", F.hash(body))
+    return named.join(found, ["_text_a", "_text_b"], "left").drop("_text_a", "_text_b")
 
 
 def kept_bytes(text: bytes, spans) -> tuple[bytes, list[tuple[int, int]]]:
@@ -450,9 +450,9 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            at, by = batch.schema.get_field_index("text"), batch.schema.get_field_index("spans")
+            at, by = batch.schema.get_field_index("text"), batch.schema.get_field_index("_repeated")
             made = [cut(t, s) for t, s in zip(batch.column(at).to_pylist(), batch.column(by).to_pylist(), strict=True)]
             columns = [pa.array(made, pa.string()) if i == at else c for i, c in enumerate(batch.columns) if i != by]
             yield pa.RecordBatch.from_arrays(columns, names=[n for i, n in enumerate(batch.schema.names) if i != by])
 
-    return with_spans(docs, **options).select(*docs.columns, "spans").mapInArrow(run, docs.schema)
+    return with_spans(docs, spans="_repeated", **options).select(*docs.columns, "_repeated").mapInArrow(run, docs.schema)

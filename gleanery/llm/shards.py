@@ -14,7 +14,7 @@ Rows are numbered inside their shard without gathering it: shard and a hash cell
 give bounded counts, their prefix sums are the offsets, and ``row_number`` runs
 inside a cell.
 
-Defined results: null text has no bytes and groups with other nulls; an empty
+Defined results: null text has no bytes and groups with empty ones; an empty
 table gives no rows; repeated rows are rows of the same group and get slots of
 their own; ties break by item key.
 """
@@ -168,7 +168,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         "doc_id",
         size.alias("size"),
         F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("text_crc32"),
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.xxhash64("text")).alias("text_group"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_group"),
         row_key()[0],
     )
     placed = assign_shards(rows, F.col("text_group"), F.col("size"), shards)
