@@ -13,8 +13,8 @@ from gleanery.llm.vocabulary import default_path
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is at least quality.ACCEPT go on."""
     model = quality.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score_column(docs, model, score="quality_score")
-    return scored.where(F.col("quality_score") >= quality.ACCEPT).select(*docs.columns)
+    scored = quality.score_column(docs.select(F.struct(*docs.columns).alias("doc"), "text"), model)
+    return scored.where(F.col("score") >= quality.ACCEPT).select("doc.*")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +30,9 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window are left out."""
-    body = docs.withColumn("body", F.col("text"))
-    found = decontaminate.search_items(body, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("spans") == 0).withColumnRenamed("body", "text").select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text")
+    found = decontaminate.search_items(whole, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.size("spans") == 0).select("doc.*")
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
