@@ -43,7 +43,7 @@ from .components import components
 from .shingles import WORDS, shingle_sets
 
 THRESHOLD = 80  # percent
-SKETCH_BITS = 25
+SKETCH_BITS = 27
 SKETCH_PARTS = 256
 BLOCK = 64
 BATCH_BYTES = 400_000
@@ -61,13 +61,19 @@ def cells_of(tokens: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
 
 
 def level(counts: np.ndarray) -> np.ndarray:
-    """Counts as one byte: exact to 63, then eight steps a doubling."""
+    """Counts as four bits: exact to 7, then one step a doubling."""
     c = counts.astype(np.float64)
-    return np.where(c < 64, c, np.minimum(255, 64 + 8 * (np.log2(np.maximum(c, 64)) - 6))).astype(np.uint8)
+    return np.where(c < 8, c, np.minimum(15, 5 + np.floor(np.log2(np.maximum(c, 8))))).astype(np.uint8)
+
+
+def level_of(tokens: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Levels of tokens; ``table`` holds two cells a byte."""
+    cell = cells_of(tokens, len(table).bit_length())
+    return table[cell >> 1] >> ((cell & 1) << 2).astype(np.uint8) & np.uint8(15)
 
 
 def sketch(docs: DataFrame, words: int = WORDS, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Levels of the counts of all documents' shingles in 2**bits cells, a byte each whatever the input."""
+    """Levels of the counts of all documents' shingles in 2**bits cells, four bits each whatever the input."""
     size = 1 << bits
     part = size // SKETCH_PARTS
 
@@ -104,10 +110,13 @@ def sketch(docs: DataFrame, words: int = WORDS, bits: int = SKETCH_BITS) -> np.n
 
     def shrink(batches):
         for batch in batches:
-            made = [zlib.compress(level(np.frombuffer(zlib.decompress(x[1:]), np.uint32)).tobytes(), 1) for x in batch.column(1).to_pylist()]
+            made = []
+            for x in batch.column(1).to_pylist():
+                own = level(np.frombuffer(zlib.decompress(x[1:]), np.uint32))
+                made.append(zlib.compress((own[::2] | own[1::2] << 4).tobytes(), 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["part", "data"])
 
-    out = np.zeros((SKETCH_PARTS, part), np.uint8)
+    out = np.zeros((SKETCH_PARTS, part // 2), np.uint8)
     for r in merged.mapInArrow(shrink, "part int, data binary").collect():  # SKETCH_PARTS rows of fixed size
         out[r["part"]] = np.frombuffer(zlib.decompress(r["data"]), np.uint8)
     return out.ravel()
@@ -119,7 +128,7 @@ def prefix_size(n: int, threshold: int = THRESHOLD) -> int:
 
 def order_keys(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sort keys of the tokens under the two global orders."""
-    often = counts[cells_of(tokens, len(counts).bit_length() - 1)].astype(np.uint64)
+    often = level_of(tokens, counts).astype(np.uint64)
     first = often << np.uint64(56) | tokens >> np.uint64(8)
     kind = np.frexp(often.astype(np.float64))[1].astype(np.uint64)  # bit length
     second = kind << np.uint64(58) | mix64(tokens) >> np.uint64(6)
@@ -244,8 +253,10 @@ def _block_pairs(members: DataFrame, star: DataFrame, counts, threshold: int) ->
     hubs = sizes.select("cell", F.col("cell").alias("class"), F.lit(False).alias("open"), "nk", "nr")
     rows = flags.join(sizes, "cell").select("cell", "class", "open", "nk", "nr").unionByName(hubs)
     kb, rb = F.pmod(F.xxhash64("class", F.lit(1)), F.col("nk")).cast("int"), F.pmod(F.xxhash64("class", F.lit(2)), F.col("nr")).cast("int")
-    known = rows.select("cell", kb.alias("kb"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("rb"), F.lit(False).alias("asks"), "class")
-    asked = rows.where("open").select("cell", F.explode(F.sequence(F.lit(0), F.col("nk") - 1)).alias("kb"), rb.alias("rb"), F.lit(True).alias("asks"), "class")
+    # What the hub links is one component already and goes by the hub's name.
+    name = F.when(F.col("open"), F.col("class")).otherwise(F.col("cell")).alias("name")
+    known = rows.select("cell", kb.alias("kb"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("rb"), F.lit(False).alias("asks"), "class", name)
+    asked = rows.where("open").select("cell", F.explode(F.sequence(F.lit(0), F.col("nk") - 1)).alias("kb"), rb.alias("rb"), F.lit(True).alias("asks"), "class", name)
     places = stored(known.unionByName(asked))
     spread = places.join(members.select("class", "tokens"), "class")
 
@@ -253,7 +264,7 @@ def _block_pairs(members: DataFrame, star: DataFrame, counts, threshold: int) ->
         left, right = pdf[pdf["asks"]], pdf[~pdf["asks"]]
         out: list[tuple[int, int]] = []
         if len(left) and len(right):
-            names = [left["class"].tolist(), right["class"].tolist()]
+            names = [left["name"].tolist(), right["name"].tolist()]
             found = block_links(*([np.frombuffer(t, np.uint64) for t in side["tokens"]] for side in (left, right)), counts.value, threshold)
             up: dict[int, int] = {}
 
@@ -269,7 +280,7 @@ def _block_pairs(members: DataFrame, star: DataFrame, counts, threshold: int) ->
                     out.append((x, y))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return spread.groupBy("cell", "kb", "rb").applyInPandas(compare, "a long, b long")
+    return spread.groupBy("cell", "kb", "rb").applyInPandas(compare, "a long, b long").distinct()
 
 
 def similarity_components(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:

@@ -176,8 +176,10 @@ def test_block_links():
     rng = np.random.default_rng(6)
     base = rng.integers(0, 1 << 63, 200).astype(np.uint64)
     sets = [np.unique(np.concatenate([base[: 200 - k], rng.integers(0, 1 << 63, k).astype(np.uint64)])) for k in range(0, 60, 3)]
-    counts = np.zeros(1 << 10, np.uint8)
-    np.add.at(counts, jaccard.cells_of(np.concatenate(sets), 10), 1)
+    raw = np.bincount(jaccard.cells_of(np.concatenate(sets), 10), minlength=1 << 10)
+    levels = jaccard.level(raw)
+    counts = levels[::2] | levels[1::2] << 4
+    assert (jaccard.level_of(sets[0], counts) == levels[jaccard.cells_of(sets[0], 10)]).all()
     got = jaccard.block_links(sets[:12], sets, counts)
     for i, a in enumerate(sets[:12]):
         for j, b in enumerate(sets):
