@@ -98,7 +98,6 @@ def count_tokens(df: DataFrame, path: str, cache: str, text: str = "text") -> Da
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = df.withColumn("content", F.unhex(F.sha2(body, 256)))
     known = read_cache(spark, cache, version).select("content").distinct()
-    # One row a content: the copy with the smallest place, kept by a second look at the table.
     placed = keyed.select("content", body.alias("body"), F.octet_length(body).cast("long").alias("n_bytes"))
     first = placed.dropDuplicates(["content"])
     misses = first.join(known, "content", "left_anti")
