@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, stored
 from .vocabulary import load
 
 CACHE_SCHEMA = "version string, content binary, n_bytes long, n_tokens long"
@@ -103,7 +103,8 @@ def count_tokens(df: DataFrame, path: str, cache: str, text: str = "text") -> Da
     misses = first.join(known, "content", "left_anti")
     added = _encode(misses, path).withColumn("version", F.lit(version)).select("version", "content", "n_bytes", "n_tokens")
     added.write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache, version).groupBy("content").agg(F.max("n_bytes").alias("n_bytes"), F.max("n_tokens").alias("n_tokens"))
+    # Written out, so that the last join has no aggregate above its shuffle and a hot content can be split.
+    counts = stored(read_cache(spark, cache, version).groupBy("content").agg(F.max("n_bytes").alias("n_bytes"), F.max("n_tokens").alias("n_tokens")))
     return keyed.drop(text).join(counts, "content", "left").drop("content")
 
 
