@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.prompts import claim_prompt, evidence_block
 from ..functions.vectors import first_best
 
-SCHEMA_VERSION = "rag_cbwdm_metrics.v2"
+SCHEMA_VERSION = "metrics.v2"
 
 
 def recovered_docs(selection: DataFrame, no_evidence: bool = False, max_docs: int | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.prompts import claim_prompt
 
-SCHEMA_VERSION = "rag_cbwdm_posteriors.v2"
+SCHEMA_VERSION = "posteriors.v2"
 
 
 def score_prompts(prompts: DataFrame, make_scorer: Callable[[], Callable[[list[str]], np.ndarray]], labels: list[str], batch_size: int = 64, prompt: str = "prompt") -> DataFrame:

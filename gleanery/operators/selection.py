@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 DOC = "doc_id string, title string, text string, rank int, retrieval_score double, selector_score double, selection_step int"
 TOP = "doc_id string, score double"
 STEP = f"step int, selected_doc_id string, predicted_score double, remaining_count int, stop boolean, stop_reason string, top_candidates array<struct<{TOP}>>"
-ORACLE_NOTE = "cbwdm_oracle uses gold labels and is diagnostic only"
+ORACLE_NOTE = "oracle uses gold labels and is diagnostic only"
 
 
 def _score_of(candidate: Column, fields: list[str]) -> Column:
@@ -76,7 +76,7 @@ def select_naive(retrieval: DataFrame, top_m: int, method: str = "naive_topm") -
     return selection_row(rows, method, F.col("_own"), _plain_steps(F.col("_own"), F.size("candidates")), reason)
 
 
-def select_oracle(teacher: DataFrame, source: DataFrame | None = None, top_m: int | None = None, method: str = "cbwdm_oracle") -> DataFrame:
+def select_oracle(teacher: DataFrame, source: DataFrame | None = None, top_m: int | None = None, method: str = "oracle") -> DataFrame:
     """The teacher's own choice, for diagnosis only.
 
     Documents come from the ``source`` row of the same id where there is one, else

@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import dot, minus, norm, one_hot, smooth_clip, smooth_mixture
 
-SCHEMA_VERSION = "rag_cbwdm_teacher.v2"
+SCHEMA_VERSION = "teacher.v2"
 DIRECT_BELOW = 1e-6
 SMOOTHINGS = ("paper_mixture", "legacy_clip_all")
 

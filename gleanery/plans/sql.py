@@ -162,9 +162,9 @@ SELECT id, CAST(place AS INT) AS place, CAST(length(prompt) AS INT) AS chars, sh
     "multitask_loss": f"WITH {_TEACH}{_MULTI} SELECT id, CAST(step AS INT) AS step, round(ce, 6) AS ce_loss, round(rank_loss, 6) AS rank_loss, round(total, 6) AS total, num_positive, num_negative, num_neutral, valid FROM multi",
     "loss_report": f"WITH {_TEACH}{_MULTI} SELECT count(*) AS groups, round(avg(total), 6) AS mean_total, round(avg(ce), 6) AS mean_ce_loss, round(avg(rank_loss), 6) AS mean_rank_loss, CAST(sum(num_positive) AS BIGINT) AS num_positive, CAST(sum(num_negative) AS BIGINT) AS num_negative, CAST(sum(num_neutral) AS BIGINT) AS num_neutral, count(*) FILTER (valid) AS valid_groups, count(*) FILTER (NOT valid) AS skipped_groups FROM multi",
     "select_naive": f"WITH {_TOP} {_selected('(SELECT *, rank - 1 AS step FROM top JOIN q USING (id) WHERE rank <= 4)', 'naive_topm')}",
-    "select_oracle": f"WITH {_TEACH} {_selected('(SELECT * FROM walk WHERE step < 4)', 'cbwdm_oracle')}",
+    "select_oracle": f"WITH {_TEACH} {_selected('(SELECT * FROM walk WHERE step < 4)', 'oracle')}",
     "selection_violations": "SELECT item_id AS id, 'naive_topm' AS method, CAST(5 AS INT) AS num_docs FROM benchmark WHERE item_id % 5 = 0",
-    "selection_overlap": f"WITH {_TEACH} SELECT 'cbwdm_oracle' AS method, rank, count(*) AS n FROM walk WHERE step < 4 GROUP BY rank",
+    "selection_overlap": f"WITH {_TEACH} SELECT 'oracle' AS method, rank, count(*) AS n FROM walk WHERE step < 4 GROUP BY rank",
     "oracle_vs_naive": f"WITH {_TEACH} SELECT id, CAST(count(*) FILTER (rank <= 4) AS INT) AS shared, CAST(count(*) FILTER (rank > 4) AS INT) AS only_left, CAST(4 - count(*) FILTER (rank <= 4) AS INT) AS only_right FROM walk WHERE step < 4 GROUP BY id",
     "evidence_block": f"WITH {_TOP} SELECT id, CAST(length({_BLOCK}) AS INT) AS chars, sha256({_BLOCK}) AS sha FROM top JOIN documents USING (doc_id) WHERE rank <= 4 GROUP BY id",
     "selector_input": f"""WITH {_TOP}, docs AS (SELECT id, rank, CASE WHEN {_TRIM("coalesce(source, '')")} <> '' AND {_TRIM("coalesce(text, '')")} <> '' THEN {_TRIM('source')} || ': ' || {_TRIM('text')} ELSE {_TRIM("coalesce(source, '')")} || {_TRIM("coalesce(text, '')")} END AS t FROM top JOIN documents USING (doc_id) WHERE rank <= 6),
