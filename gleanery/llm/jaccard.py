@@ -43,9 +43,10 @@ from .components import components
 from .shingles import WORDS, shingle_sets
 
 THRESHOLD = 80  # percent
-SKETCH_BITS = 27
+SKETCH_BITS = 26
 SKETCH_PARTS = 256
-BLOCK = 64
+BLOCK = 256
+FILTER_BITS = 26
 BATCH_BYTES = 400_000
 
 
@@ -283,6 +284,54 @@ def _block_pairs(members: DataFrame, star: DataFrame, counts, threshold: int) ->
     return spread.groupBy("cell", "kb", "rb").applyInPandas(compare, "a long, b long").distinct()
 
 
+def _row_filter(chosen: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """Bit table of fixed size with a bit for each chosen row."""
+    part = 1 << bits - 8
+
+    def mark(batches):
+        for batch in batches:
+            cells = np.sort(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits))
+            rows = [(i, own) for i, own in enumerate(np.split(cells, np.searchsorted(cells, np.arange(1, 256, dtype=np.uint64) * np.uint64(part)))) if len(own)]
+            data = [b"c" + (own - np.uint64(i * part)).astype(np.uint32).tobytes() for i, own in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
+
+    def add(total, data):
+        if data[:1] == b"c":
+            total[np.frombuffer(data[1:], np.uint32)] = True
+        else:
+            total |= np.unpackbits(np.frombuffer(data[1:], np.uint8)).astype(bool)
+
+    marked = chosen.select("row_a").mapInArrow(mark, "part int, data binary")
+    merged = merged_parts(marked, lambda: np.zeros(part, bool), add, lambda total: b"b" + np.packbits(total).tobytes())
+    out = np.zeros((256, part // 8), np.uint8)
+    for r in merged.collect():  # 256 rows of fixed size
+        out[r["part"]] = np.frombuffer(r["data"][1:], np.uint8)
+    return out.ravel()
+
+
+def _class_sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
+    """cell, class, tokens of the chosen rows (cell, class, row_a, row_b).
+
+    A bit table leaves out nearly all other rows before the join, so neither texts
+    nor the sets of documents that stand alone are shuffled, at any size.
+    """
+    table = docs.sparkSession.sparkContext.broadcast(_row_filter(chosen))
+
+    def pack(batches):
+        bits = table.value
+        for batch in batches:
+            cell = (batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+            keep = bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & np.uint8(1)
+            few = batch.filter(pa.array(keep.astype(bool)))
+            for a, texts in text_slices(few.column(2), BATCH_BYTES):
+                kept = [few.column(i).slice(a, len(texts)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([s.tobytes() for s in shingle_sets(texts, words)], pa.binary())], names=["row_a", "row_b", "tokens"])
+
+    sets = docs.select(*row_key(), "text").mapInArrow(pack, "row_a long, row_b int, tokens binary")
+    keys = ["row_a", "row_b"]
+    return sets.join(chosen, keys).groupBy(*keys, "cell", "class").agg(F.first("tokens").alias("tokens")).select("cell", "class", "tokens")
+
+
 def similarity_components(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
     """doc_id, row_a, row_b, n, component_id for every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -293,14 +342,7 @@ def similarity_components(docs: DataFrame, threshold: int = THRESHOLD, words: in
     cells = components(edges).select(F.col("node").alias("class"), F.col("root").alias("cell"))
     # One row stands for each class in a cell; its set is made again from its text.
     chosen = stored(rows.join(cells, "class").groupBy("class", "cell").agg(F.min(F.struct("row_a", "row_b")).alias("r")).select("class", "cell", "r.row_a", "r.row_b"))
-    texts = docs.select(*row_key(), "text").join(chosen, ["row_a", "row_b"]).select("cell", "class", "text")
-
-    def pack(batches):
-        for batch, a, sets in _sets(batches, words=words):
-            kept = [batch.column(i).slice(a, len(sets)) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([s.tobytes() for s in sets], pa.binary())], names=["cell", "class", "tokens"])
-
-    members = stored(texts.mapInArrow(pack, "cell long, class long, tokens binary").groupBy("cell", "class").agg(F.first("tokens").alias("tokens")))
+    members = stored(_class_sets(docs, chosen, words))
     star = stored(_hub_links(members, counts, threshold))
     links = star.where("linked").select(F.col("cell").alias("a"), F.col("class").alias("b")).unionByName(_block_pairs(members, star, counts, threshold))
     roots = components(links).select(F.col("node").alias("class"), "root")
