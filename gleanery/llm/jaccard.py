@@ -206,8 +206,9 @@ def _hub_links(members: DataFrame, counts, threshold: int) -> DataFrame:
             found = [_similar(np.frombuffer(t, np.uint64), np.frombuffer(h, np.uint64), counts.value, threshold) for t, h in zip(tokens, hub, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.bool_())], names=["cell", "class", "linked"])
 
-    pairs = members.where("class <> cell").join(hubs, "cell").select("cell", "class", "tokens", "hub")
-    return pairs.mapInArrow(run, "cell long, class long, linked boolean")
+    others = members.where("class <> cell")
+    pairs = others.where("fits").join(hubs, "cell").select("cell", "class", "tokens", "hub")
+    return pairs.mapInArrow(run, "cell long, class long, linked boolean").unionByName(others.where("not fits").select("cell", "class", F.lit(False).alias("linked")))
 
 
 def block_links(left: list[np.ndarray], right: list[np.ndarray], counts: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
@@ -329,7 +330,7 @@ def _class_sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
 
     sets = docs.select(*row_key(), "text").mapInArrow(pack, "row_a long, row_b int, tokens binary")
     keys = ["row_a", "row_b"]
-    return sets.join(chosen, keys).groupBy(*keys, "cell", "class").agg(F.first("tokens").alias("tokens")).select("cell", "class", "tokens")
+    return sets.join(chosen, keys).groupBy(*keys, "cell", "class", "fits").agg(F.first("tokens").alias("tokens")).select("cell", "class", "fits", "tokens")
 
 
 def similarity_components(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
@@ -341,7 +342,11 @@ def similarity_components(docs: DataFrame, threshold: int = THRESHOLD, words: in
     edges = stored(lists.where("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct())
     cells = components(edges).select(F.col("node").alias("class"), F.col("root").alias("cell"))
     # One row stands for each class in a cell; its set is made again from its text.
-    chosen = stored(rows.join(cells, "class").groupBy("class", "cell").agg(F.min(F.struct("row_a", "row_b")).alias("r")).select("class", "cell", "r.row_a", "r.row_b"))
+    own = stored(rows.join(cells, "class").groupBy("class", "cell").agg(F.min(F.struct("row_a", "row_b")).alias("r"), F.max("n").alias("n")).select("class", "cell", "r.row_a", "r.row_b", "n"))
+    # Whether a class's size allows a link to its hub shows without any set.
+    hub_n = own.where("class = cell").select("cell", F.col("n").alias("hub_n"))
+    fits = (F.col("n") * 100 >= threshold * F.col("hub_n")) & (F.col("hub_n") * 100 >= threshold * F.col("n"))
+    chosen = stored(own.join(hub_n, "cell").select("class", "cell", "row_a", "row_b", fits.alias("fits")))
     members = stored(_class_sets(docs, chosen, words))
     star = stored(_hub_links(members, counts, threshold))
     links = star.where("linked").select(F.col("cell").alias("a"), F.col("class").alias("b")).unionByName(_block_pairs(members, star, counts, threshold))
