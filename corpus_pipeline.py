@@ -9,6 +9,8 @@ from gleanery.llm import bpe, decontaminate, jaccard, quality, repeats
 from gleanery.llm.common import stored
 from gleanery.llm.vocabulary import default_path
 
+PASSAGE_WORDS = 50
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is at least quality.ACCEPT go on."""
@@ -23,8 +25,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages are cut out of the texts; n_chars follows."""
-    cut = repeats.remove_repeats(docs)
+    """Repeated passages (over 50 words, or 400 bytes and more) are cut out of the texts; n_chars follows."""
+    cut = repeats.remove_repeats(docs, words=PASSAGE_WORDS)
     return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

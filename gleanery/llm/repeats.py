@@ -20,6 +20,10 @@ one base form a piece: core, some bytes to the left and some to the right.
 4. Repeated windows become spans of their texts; a text that occurs twice is one
    span.  A join brings the spans to the texts.
 
+``remove_repeats`` can also cut passages of more than ``words`` words, however few
+bytes they have: the same steps run once more over texts whose words are replaced
+by ``CODE``-byte hashes, with a window of words + 1 codes.
+
 Defined results: null is empty; texts shorter than a window have nothing removed;
 matches never cross texts; repeated rows are texts that repeat; extra columns are
 not carried.
@@ -28,6 +32,7 @@ not carried.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -36,8 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import merged_parts, mix64, stored, text_bytes
-from .shingles import _tables
+from .common import merged_parts, mix64, stored, text_bytes, text_slices
+from .shingles import CASED, _tables, word_hashes
 from .suffixes import suffix_array
 
 LENGTH = 400
@@ -48,6 +53,8 @@ SKETCH_PARTS = 512
 MOST = 400
 SYMBOLS = 20_000
 CHUNK = 400_000
+CODE = 8
+_WORD = re.compile(rb"[^ \t-\r]+")
 
 
 class Cutter:
@@ -132,6 +139,22 @@ def named_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(body).alias("text_a"), F.hash(body).alias("text_b"), body.alias("text"))
 
 
+def coded_texts(texts: DataFrame, words: int) -> DataFrame:
+    """Named texts of more than ``words`` words, each word as its hash of CODE bytes (case counts, blanks don't)."""
+
+    def run(batches):
+        for batch in batches:
+            for a, own in text_slices(batch.column(2), CHUNK):
+                codes, counts = word_hashes(own, CASED)
+                ends = np.cumsum(counts)
+                keep = np.flatnonzero(counts > words)
+                made = [codes[ends[i] - counts[i] : ends[i]].tobytes() for i in keep.tolist()]
+                at = pa.array(keep + a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(made, pa.binary())], names=["text_a", "text_b", "text"])
+
+    return texts.mapInArrow(run, "text_a long, text_b int, text binary")
+
+
 def repeated_cells(texts: DataFrame, cutter: Cutter, bits: int = SKETCH_BITS) -> np.ndarray:
     """Bit for each cell that holds more than one core occurrence; 2**bits bits whatever the input."""
     cells = (1 << bits) // SKETCH_PARTS
@@ -351,10 +374,9 @@ def _by_halves(pieces: DataFrame, span: int) -> DataFrame:
     return out
 
 
-def repeated_spans(docs: DataFrame, cutter: Cutter, bits: int = SKETCH_BITS, most: int = MOST) -> DataFrame:
-    """text_a, text_b, spans: the byte ranges that repeated windows cover in each text that has any."""
-    spark = docs.sparkSession
-    texts = named_texts(docs)
+def repeated_spans(texts: DataFrame, cutter: Cutter, bits: int = SKETCH_BITS, most: int = MOST) -> DataFrame:
+    """text_a, text_b, spans: the byte ranges that repeated windows cover in each named text that has any."""
+    spark = texts.sparkSession
     long_texts = texts.where(F.octet_length("text") >= cutter.length)
     table = spark.sparkContext.broadcast(repeated_cells(long_texts, cutter, bits))
     rows = stored(pieces_of(long_texts, table, cutter, bits))
@@ -387,9 +409,22 @@ def merge_spans(spans) -> list[tuple[int, int]]:
     return out
 
 
-def with_spans(docs: DataFrame, cutter: Cutter | None = None, bits: int = SKETCH_BITS, most: int = MOST, spans: str = "spans") -> DataFrame:
-    """``docs`` with ``spans`` (array of start, stop in bytes; null where nothing repeats)."""
-    found = stored(repeated_spans(docs.select("text"), cutter or Cutter(), bits, most)).toDF("_text_a", "_text_b", spans)
+def passage_spans(texts: DataFrame, words: int, bits: int = SKETCH_BITS, most: int = MOST) -> DataFrame:
+    """text_a, text_b, spans: ranges of codes (CODE bytes a word) that repeated passages of more than ``words`` words cover."""
+    length = (words + 1) * CODE
+    return repeated_spans(coded_texts(texts, words), Cutter(length, length // 4, min(SPAN, length // 4)), bits, most)
+
+
+def with_spans(docs: DataFrame, cutter: Cutter | None = None, bits: int = SKETCH_BITS, most: int = MOST, spans: str = "spans", words: int | None = None, passages: str = "passages") -> DataFrame:
+    """``docs`` with ``spans`` (array of start, stop in bytes; null where nothing repeats).
+
+    With ``words`` also ``passages``, the spans of passages of more words, in codes.
+    """
+    texts = named_texts(docs.select("text"))
+    found = stored(repeated_spans(texts, cutter or Cutter(), bits, most)).toDF("_text_a", "_text_b", spans)
+    if words is not None:
+        more = stored(passage_spans(texts, words, bits, most)).toDF("_text_a", "_text_b", passages)
+        found = found.join(more, ["_text_a", "_text_b"], "full")
     body = F.coalesce(F.col("text"), F.lit(""))
     named = docs.withColumn("_text_a", F.xxhash64(body)).withColumn("_text_b", F.hash(body))
     return named.join(found, ["_text_a", "_text_b"], "left").drop("_text_a", "_text_b")
@@ -435,24 +470,44 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def remove_repeats(docs: DataFrame, **options) -> DataFrame:
+def whole_words(text: bytes, spans: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
+    """Spans of codes as spans of bytes, from the start of a word to the end of one."""
+    at = [m.span() for m in _WORD.finditer(text)]
+    out = []
+    for a, b in spans:
+        first, stop = -(-a // CODE), b // CODE
+        if stop - first > words:
+            out.append((at[first][0], at[stop - 1][1]))
+    return out
+
+
+def remove_repeats(docs: DataFrame, words: int | None = None, **options) -> DataFrame:
     """``docs`` with repeated bytes taken out of ``text``; other columns stay.
 
-    A character that is only partly covered stays; a null text stays null.
+    A character that is only partly covered stays; a null text stays null.  With
+    ``words``, repeated passages of more than so many words go as well, whatever
+    their length in bytes; the blanks around them stay.
     """
 
-    def cut(text, spans):
-        if text is None or not spans:
+    def cut(text, spans, passages):
+        if text is None or not (spans or passages):
             return text
         raw = text.encode()
-        whole = [{"start": a, "stop": b} for a, b in whole_characters(raw, merge_spans(spans))]
-        return kept_bytes(raw, whole)[0].decode()
+        whole = whole_characters(raw, merge_spans(spans))
+        if passages:
+            whole += whole_words(raw, merge_spans(passages), words)
+        return kept_bytes(raw, [{"start": a, "stop": b} for a, b in whole])[0].decode()
+
+    added = ["_repeated"] if words is None else ["_repeated", "_passages"]
 
     def run(batches):
         for batch in batches:
-            at, by = batch.schema.get_field_index("text"), batch.schema.get_field_index("_repeated")
-            made = [cut(t, s) for t, s in zip(batch.column(at).to_pylist(), batch.column(by).to_pylist(), strict=True)]
-            columns = [pa.array(made, pa.string()) if i == at else c for i, c in enumerate(batch.columns) if i != by]
-            yield pa.RecordBatch.from_arrays(columns, names=[n for i, n in enumerate(batch.schema.names) if i != by])
-
-    return with_spans(docs, spans="_repeated", **options).select(*docs.columns, "_repeated").mapInArrow(run, docs.schema)
+            at = batch.schema.get_field_index("text")
+            by = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in added]
+            by += [[None] * len(batch)] * (2 - len(by))
+            made = [cut(*x) for x in zip(batch.column(at).to_pylist(), *by, strict=True)]
+            columns = [pa.array(made, pa.string()) if i == at else c for i, c in enumerate(batch.columns) if batch.schema.names[i] not in added]
+            yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n not in added])
+
+    found = with_spans(docs, spans="_repeated", words=words, passages="_passages", **options)
+    return found.select(*docs.columns, *added).mapInArrow(run, docs.schema)

@@ -9,6 +9,8 @@ from .common import mix64
 WORDS = 5
 #: Lower-cases A-Z and makes every separator a blank.
 _TABLE = bytes(b | 0x20 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
+#: Keeps the case.
+CASED = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _MULTIPLIERS = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(WORDS)]
 _powers: list[np.ndarray] = []
@@ -27,12 +29,12 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], table: bytes = _TABLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts in order, and the number of words of each text.
 
     Words are runs of anything but blank and bytes 9 to 13.
     """
-    flat = np.frombuffer(b" ".join([b"", *texts, b""]).translate(_TABLE), np.uint8)
+    flat = np.frombuffer(b" ".join([b"", *texts, b""]).translate(table), np.uint8)
     word = flat != 0x20
     edge = np.flatnonzero(word[1:] != word[:-1]) + 1
     start, stop = edge[::2], edge[1::2]
