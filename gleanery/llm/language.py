@@ -5,9 +5,12 @@ family; inside it, one-versus-one machines between its languages vote, ties goin
 to the larger sum of margins.  Features are hashed byte 1- to 3-grams of the
 lower-cased text, each text's counts divided by their number.
 
-Machines are fitted by dual coordinate descent on a bounded sample: about
-``PER_LANGUAGE`` rows of each language, chosen by a hash of the id, of at most
-``FIT_BYTES`` bytes each; at most ``MAX_SAMPLE`` rows in all.
+Machines are fitted by dual coordinate descent on a bounded sample: at most
+``PER_LANGUAGE`` ids of each language, chosen by hash, with one text of at most
+``FIT_BYTES`` bytes each (the smallest, if an id is repeated); at most
+``MAX_SAMPLE`` in all.  Only the ``MAX_LANGUAGES`` languages with most rows are
+learned, and none whose texts are all longer than ``FIT_BYTES``; texts in others
+get one of the learned languages.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 without labelled rows every text is ``und``; with one language every other text
@@ -21,7 +24,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +33,7 @@ from .quality import id_remainder
 
 PER_LANGUAGE = 400
 MAX_SAMPLE = 4000
+MAX_LANGUAGES = MAX_SAMPLE // 8
 FIT_BYTES = 20_000
 BUCKETS = 1 << 14
 BATCH_BYTES = 1_000_000
@@ -158,23 +162,26 @@ class Model:
         return out
 
 
-def train(docs: DataFrame) -> Model:
-    """Fit on text and language of rows whose crc32(doc_id) mod 4 is not 2."""
+def sample(docs: DataFrame) -> DataFrame:
+    """unit, doc_id, text, lang of the rows to fit on."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= FIT_BYTES)).where(id_remainder("doc_id", 4) != 2)
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_SAMPLE // 8).collect()}
+    counted = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("doc_id").alias("ids"))
+    counts = {r["lang"]: r["ids"] for r in counted.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     per = min(PER_LANGUAGE, MAX_SAMPLE // max(1, len(counts)))
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    rates = docs.sparkSession.createDataFrame([(k, min(1.0, 1.5 * per / n)) for k, n in counts.items()], "lang string, rate double")
-    rows = usable.select("doc_id", "text", "lang", unit.alias("unit")).join(F.broadcast(rates), "lang").where(F.col("unit") < F.col("rate")).select("unit", "doc_id", "text", "lang").collect()
+    rates = docs.sparkSession.createDataFrame([(k, min(1.0, 1.5 * per / max(1, n))) for k, n in counts.items()], "lang string, rate double")
+    rows = usable.select("doc_id", "text", "lang", unit.alias("unit")).join(F.broadcast(rates), "lang").where((F.col("unit") < F.col("rate")) & F.col("text").rlike(r"\p{L}"))
+    own = rows.groupBy("lang", "unit", "doc_id").agg(F.min("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("unit", "doc_id"))
+    return own.withColumn("nth", nth).where(F.col("nth") <= per).select("unit", "doc_id", "text", "lang")
+
+
+def train(docs: DataFrame) -> Model:
+    """Fit on text and language of rows whose crc32(doc_id) mod 4 is not 2."""
+    found = sample(docs)
+    rows = [r for r in found.collect() if has_letter(r["text"])]  # at most MAX_SAMPLE
     rows.sort(key=lambda r: (r["unit"], r["doc_id"], r["text"]))
-    kept: dict[str, int] = {}
-    texts, langs = [], []
-    for r in rows:
-        if has_letter(r["text"]) and kept.get(r["lang"], 0) < per:
-            kept[r["lang"]] = kept.get(r["lang"], 0) + 1
-            texts.append(r["text"])
-            langs.append(r["lang"])
-    return Model(texts, langs)
+    return Model([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
 def language_columns(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -6,9 +6,9 @@ over blocks of (size with the good one - size with the bad one) / block bytes is
 the normalised difference, low for good text.  A logistic curve fitted on
 labelled rows that the dictionaries have not seen turns it into a score.
 
-Fitting uses a bounded sample: at most ``PER_CLASS`` rows of each label, those
-with the lowest hash of their id, of at most ``FIT_BYTES`` bytes each.  Scoring
-covers every row and whole texts.
+Fitting uses a bounded sample: at most ``PER_CLASS`` ids of each label, those
+with the lowest hash, and one text of at most ``FIT_BYTES`` bytes for each (the
+smallest, if an id is repeated).  Scoring covers every row and whole texts.
 
 Defined results: null and empty texts score what a difference of 0 gives; without
 labelled rows of both kinds every score is the share of good ones (0.5 without
@@ -130,9 +130,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(id_remainder("doc_id", 5) != 0).select("doc_id", "quality")
     counts = {r["quality"]: r["n"] for r in usable.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = [usable.where(F.col("quality") == k).orderBy(*order).limit(PER_CLASS) for k in (0, 1)]
+    ids = usable.distinct()
+    picked = [ids.where(F.col("quality") == k).orderBy(*order).limit(PER_CLASS) for k in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * PER_CLASS rows
-    rows = docs.where(F.octet_length("text") <= FIT_BYTES).select("doc_id", "text").join(sample, "doc_id").select("doc_id", "text", "quality").collect()
+    found = docs.where(F.octet_length("text") <= FIT_BYTES).select("doc_id", "text").join(sample, "doc_id")
+    rows = found.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()  # not more than ``sample`` has
     rows.sort(key=lambda r: (hash((r["doc_id"], 11)), r["text"]))
     n = sum(counts.values())
     return fit_model([(r["text"].encode(), r["quality"]) for r in rows], counts.get(1, 0) / n if n else None)
