@@ -2,358 +2,520 @@
 
 A text's set is its distinct word shingles.  Two sets whose Jaccard similarity
 reaches t share a token among the first |x| - ceil(t |x|) + 1 tokens of both
-under *every* total order of all tokens.  Two orders serve: by corpus frequency,
-then hash; by class of frequency, then another hash.  Frequencies come from a
-count sketch of fixed size (``SKETCH`` cells over all documents): it shapes the
-orders, so it decides speed and never the result.
-
-1. Texts with equal sets form a class; only classes are compared.
-2. The first order's prefix tokens meet in lists; each list links its members to
-   its smallest class (linear, no pairs).  The components are cells: similar
-   classes always share one.
-3. In a cell every class is compared with the hub, and every class that the hub
-   does not link is compared with all others in blocks of at most ``BLOCK``
-   classes by as many, in their own tasks.  A pair must pass both orders' prefix
-   filters before its sets are intersected.
+under *every* total order of all tokens.  Two orders serve: by document
+frequency, then token; by the frequency's bit length, then another permutation
+of the tokens.
+
+1. One pass makes the sets.  Tasks send their tokens, sorted and packed, to the
+   parts of the token range (``packed_tokens``); a part counts documents exactly
+   and answers only for tokens that more than one of them holds (``count_parts``).
+   A set keeps those tokens: all others come first in both orders and can't be
+   shared.  A set whose prefix has no shared token is done: it links with nothing.
+2. The others meet in lists of their first order's prefix tokens, as ids only.
+   Lists are linked through their smallest class, their components are cells;
+   inside each cell the second order's lists split it again.  Similar classes
+   share both kinds of list, so they share the final cell.
+3. In a cell of bounded size the pairs that pass both prefix filters (and the
+   size filter) are verified.  In a larger one every class is compared with a
+   central one, the hub.  A class x that the hub c does not link can only link
+   to a y of the cell with |x & y| >= k = ceil(t' (|x| + |y|)), and at most
+   |x & c| of these tokens lie in c: so y shares one of the first
+   |x - c| - (k - |x & c|) + 1 tokens of x outside c.  Lists of such tokens make
+   smaller cells, round after round; what is still large after ``ROUNDS`` is
+   compared in blocks.
 4. Components of the found links, with the smallest doc_id of each.
 
-No list, cell or copy group is ever in one task or on the driver; all prefix
-tokens and all pairs of classes that share a cell and could still join are
-looked at, without caps.
+Nothing is capped: all prefix tokens and all pairs that could still link are
+looked at.  Shuffles are tokens once (about 6 bytes each), the shared ones once
+more, and the few classes in cells.
 
 Defined results: null texts and texts without words have an empty set, 0
 shingles and stand alone; fewer words than a shingle make one shingle; repeated
 rows and ids take part like others; a null doc_id can't be a component's
-smallest unless there is no other; extra columns are not carried.
+smallest unless there is no other.  ``near_duplicates`` carries no extra columns,
+``one_of_each_component`` all of them, whatever their names.  The table must give
+the same rows in the same order when a task is run again, as files do.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import merged_parts, mix64, row_key, stored, text_slices
+from .common import mix64, row_key, stored, text_slices
 from .components import components
 from .shingles import WORDS, shingle_sets
 
 THRESHOLD = 80  # percent
-SKETCH_BITS = 26
-SKETCH_PARTS = 256
-BLOCK = 256
-FILTER_BITS = 26
+TOKEN_BITS = 48
 BATCH_BYTES = 400_000
+FLUSH_TOKENS = 1_500_000
+FLUSH_SETS = 60_000  # and up to 4096 more; a set's number in its flush takes 16 bits
+PART_BYTES = 8_000_000  # of text whose tokens make a part
+CELL = 256  # classes in a cell that one task compares
+CELL_TOKENS = 1_000_000
+ROUNDS = 8
+SEEN = 200_000  # classes a task remembers; a forgotten one is merely sent again
 
+_LOW = np.uint64((1 << TOKEN_BITS) - 1)
 
-def _sets(batches, text: str = "text", words: int = WORDS):
-    """(batch, offset in it, sets) for parts of about BATCH_BYTES."""
-    for batch in batches:
-        for a, texts in text_slices(batch.column(batch.schema.get_field_index(text)), BATCH_BYTES):
-            yield batch, a, shingle_sets(texts, words)
 
+def class_id(tokens: np.ndarray) -> int:
+    """A 64-bit name of a set."""
+    return int((mix64(mix64(tokens).sum(dtype=np.uint64)[None] + np.uint64(len(tokens)))).view(np.int64)[0])
 
-def cells_of(tokens: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
-    return (tokens >> np.uint64(64 - bits)).astype(np.int64)
 
+def part_base(part: int, parts: int) -> np.uint64:
+    """The smallest token that a part can hold."""
+    return np.uint64(-(-(part << 32) // parts) << TOKEN_BITS - 32)
 
-def level(counts: np.ndarray) -> np.ndarray:
-    """Counts as four bits: exact to 7, then one step a doubling."""
-    c = counts.astype(np.float64)
-    return np.where(c < 8, c, np.minimum(15, 5 + np.floor(np.log2(np.maximum(c, 8))))).astype(np.uint8)
 
+def deltas(tokens: np.ndarray, base: np.uint64) -> bytes:
+    """Sorted tokens as differences of four bytes, or eight if one needs more."""
+    d = np.diff(tokens, prepend=base)
+    return d.astype(np.uint32).tobytes() if not len(d) or d.max() < 1 << 32 else d.tobytes()
 
-def level_of(tokens: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Levels of tokens; ``table`` holds two cells a byte."""
-    cell = cells_of(tokens, len(table).bit_length())
-    return table[cell >> 1] >> ((cell & 1) << 2).astype(np.uint8) & np.uint8(15)
 
+def undeltas(data: bytes, n: int, base: np.uint64) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint32 if len(data) == 4 * n else np.uint64), dtype=np.uint64) + base
 
-def sketch(docs: DataFrame, words: int = WORDS, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Levels of the counts of all documents' shingles in 2**bits cells, four bits each whatever the input."""
-    size = 1 << bits
-    part = size // SKETCH_PARTS
 
-    def count(batches):
-        held: list[np.ndarray] = []
-        total = 0
+def level(documents: np.ndarray) -> np.ndarray:
+    """A document frequency in one byte, eight steps a doubling."""
+    return np.minimum(255, np.round(8 * np.log2(documents.astype(np.float64)))).astype(np.uint8)
 
-        def flush():
-            # Sorted cells as differences, which take about a byte each.
-            cells = np.sort(np.concatenate(held))
-            ends = np.searchsorted(cells, np.arange(1, SKETCH_PARTS) * part)
-            rows = [(i, np.diff(own, prepend=np.uint32(i * part))) for i, own in enumerate(np.split(cells, ends)) if len(own)]
-            data = [zlib.compress(own.astype(np.uint32).tobytes(), 1) for _, own in rows]
-            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([b"d" + x for x in data], pa.binary())], names=["part", "data"])
-
-        for _, _, sets in _sets(batches, words=words):
-            held.append(cells_of(np.concatenate(sets), bits).astype(np.uint32))
-            total += len(held[-1])
-            if total > 2_000_000:
-                yield flush()
-                held, total = [], 0
-        if total:
-            yield flush()
-
-    def add(total, data):
-        raw = np.frombuffer(zlib.decompress(data[1:]), np.uint32)
-        if data[:1] == b"d":
-            total += np.bincount(np.cumsum(raw), minlength=part).astype(np.uint32)
-        else:
-            total += raw
-
-    counted = docs.select("text").mapInArrow(count, "part int, data binary")
-    merged = merged_parts(counted, lambda: np.zeros(part, np.uint32), add, lambda total: b"t" + zlib.compress(total.tobytes(), 1))
-
-    def shrink(batches):
-        for batch in batches:
-            made = []
-            for x in batch.column(1).to_pylist():
-                own = level(np.frombuffer(zlib.decompress(x[1:]), np.uint32))
-                made.append(zlib.compress((own[::2] | own[1::2] << 4).tobytes(), 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["part", "data"])
 
-    out = np.zeros((SKETCH_PARTS, part // 2), np.uint8)
-    for r in merged.mapInArrow(shrink, "part int, data binary").collect():  # SKETCH_PARTS rows of fixed size
-        out[r["part"]] = np.frombuffer(zlib.decompress(r["data"]), np.uint8)
-    return out.ravel()
+# kind 0: a document; kind 1: tokens (with their sets' numbers, later levels) of a flush.
+_PACKED = "key int, flush long, kind int, owner int, row_a long, row_b int, n long, class long, tokens binary, owners binary, levels binary"
 
 
-def prefix_size(n: int, threshold: int = THRESHOLD) -> int:
-    return n - -(-n * threshold // 100) + 1
+def _packed_schema(docs: DataFrame) -> T.StructType:
+    return T.StructType([*T.StructType.fromDDL(_PACKED), docs.schema["doc_id"]])
 
 
-def order_keys(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sort keys of the tokens under the two global orders."""
-    often = level_of(tokens, counts).astype(np.uint64)
-    first = often << np.uint64(56) | tokens >> np.uint64(8)
-    kind = np.frexp(often.astype(np.float64))[1].astype(np.uint64)  # bit length
-    second = kind << np.uint64(58) | mix64(tokens) >> np.uint64(6)
-    return first, second
+def _token_rows(key, flush, tokens, owners, levels, schema: pa.Schema) -> pa.RecordBatch:
+    n = len(tokens)
+    null = lambda t: pa.nulls(n, t)
+    made = {"key": pa.array(key, pa.int32()), "flush": pa.array(flush, pa.int64()), "kind": pa.array([1] * n, pa.int32()), "tokens": pa.array(tokens, pa.binary()), "owners": pa.array(owners, pa.binary()), "levels": pa.array(levels, pa.binary())}
+    return pa.RecordBatch.from_arrays([made[f.name] if f.name in made else null(f.type) for f in schema], schema=schema)
 
 
-def prefix(tokens: np.ndarray, keys: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
-    p = prefix_size(len(tokens), threshold)
-    return tokens if p >= len(tokens) else tokens[np.argpartition(keys, p - 1)[:p]]
+def packed_tokens(docs: DataFrame, parts: int, words: int = WORDS) -> DataFrame:
+    """A row for each document and, for each flush and part, one with all its tokens.
 
+    The token range is cut into ``parts`` equal parts.  ``owner`` numbers the sets
+    of a flush; it is null for empty sets and those the task has sent before.
+    """
 
-def class_id(tokens: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    return int((mix64(mix64(tokens).sum(dtype=np.uint64)[None] + np.uint64(len(tokens)))).view(np.int64)[0])
+    def run(batches):
+        seen: set[int] = set()
+        pid, nth = TaskContext.get().partitionId(), 0
+        rows, tokens, schema = [], [], None
 
+        def flush():
+            name = np.concatenate([r[1].to_numpy() for r in rows]).view(np.uint64)
+            name = int(mix64(mix64(name + np.arange(len(name), dtype=np.uint64)).sum(dtype=np.uint64)[None] + np.uint64(pid << 32 | nth)).view(np.int64)[0])
+            key = name % parts
+            for doc_id, row_a, row_b, n, own, owner in rows:
+                made = {"key": pa.array(np.full(len(n), key, np.int32)), "flush": pa.array(np.full(len(n), name, np.int64)), "kind": pa.array(np.zeros(len(n), np.int32)), "owner": owner, "row_a": row_a, "row_b": row_b, "n": n, "class": own, "doc_id": doc_id}
+                yield pa.RecordBatch.from_arrays([made.get(f.name, pa.nulls(len(n), f.type)) for f in schema], schema=schema)
+            if tokens:
+                flat = np.concatenate(tokens)
+                owners = np.repeat(np.arange(len(tokens), dtype=np.uint16), [len(t) for t in tokens])
+                order = np.argsort(flat, kind="stable")
+                flat, owners = flat[order], owners[order]
+                new = np.ones(len(flat), bool)
+                new[1:] = (flat[1:] != flat[:-1]) | (owners[1:] != owners[:-1])
+                flat, owners = flat[new], owners[new]
+                ends = np.searchsorted(_part_of(flat, parts), np.arange(parts + 1))
+                own = np.flatnonzero(np.diff(ends)).tolist()
+                yield _token_rows(own, [name] * len(own), [deltas(flat[ends[p] : ends[p + 1]], part_base(p, parts)) for p in own], [owners[ends[p] : ends[p + 1]].tobytes() for p in own], [None] * len(own), schema)
 
-def set_rows(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, row_a, row_b, n, class (null for an empty set) of every document."""
+        total = 0
+        for batch in batches:
+            if schema is None:
+                doc_id = batch.schema.field("doc_id")
+                kinds = {"key": pa.int32(), "flush": pa.int64(), "kind": pa.int32(), "owner": pa.int32(), "row_a": pa.int64(), "row_b": pa.int32(), "n": pa.int64(), "class": pa.int64(), "tokens": pa.binary(), "owners": pa.binary(), "levels": pa.binary()}
+                schema = pa.schema([*kinds.items(), ("doc_id", doc_id.type)])
+            for a, texts in text_slices(batch.column(3), BATCH_BYTES):
+                made = shingle_sets(texts, words)
+                for low in range(0, len(made), 4096):
+                    sets = made[low : low + 4096]
+                    own, owner = [], []
+                    for s in sets:
+                        c = class_id(s) if len(s) else None
+                        own.append(c)
+                        if c is None or c in seen:
+                            owner.append(None)
+                            continue
+                        if len(seen) < SEEN:
+                            seen.add(c)
+                        owner.append(len(tokens))
+                        tokens.append(s >> np.uint64(64 - TOKEN_BITS))
+                        total += len(s)
+                    rows.append([*(batch.column(i).slice(a + low, len(sets)) for i in range(3)), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.int64()), pa.array(owner, pa.int32())])
+                    if total >= FLUSH_TOKENS or len(tokens) >= FLUSH_SETS:
+                        yield from flush()
+                        rows, tokens, total, nth = [], [], 0, nth + 1
+        if rows:
+            yield from flush()
+
+    return docs.select("doc_id", *row_key(), "text").mapInArrow(run, _packed_schema(docs))
+
+
+def _part_of(tokens: np.ndarray, parts: int) -> np.ndarray:
+    return (tokens >> np.uint64(TOKEN_BITS - 32)) * np.uint64(parts) >> np.uint64(32)
+
+
+def count_parts(packed: DataFrame, parts: int) -> DataFrame:
+    """Token rows of ``packed`` with only the tokens that several documents hold, and their levels."""
 
     def run(batches):
-        for batch, a, sets in _sets(batches, words=words):
-            n = [len(s) for s in sets]
-            own = [class_id(s) if len(s) else None for s in sets]
-            kept = [batch.column(i).slice(a, len(sets)) for i in (0, 1, 2)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(own, pa.int64())], names=["doc_id", "row_a", "row_b", "n", "class"])
+        def answer(key, flush, tokens, owners, schema):
+            sizes, base = [len(o) // 2 for o in owners], part_base(key, parts)
+            flat = np.concatenate([undeltas(t, n, base) for t, n in zip(tokens, sizes, strict=True)])
+            order = np.argsort(flat, kind="stable")
+            ranked = flat[order]
+            first = np.ones(len(flat), bool)
+            first[1:] = ranked[1:] != ranked[:-1]
+            head = np.flatnonzero(first)
+            many = np.diff(np.append(head, len(flat)))
+            levels = np.zeros(len(flat), np.uint8)
+            levels[order] = np.repeat(np.where(many > 1, level(many), 0), many)
+            at, out = 0, []
+            for f, o, n in zip(flush, owners, sizes, strict=True):
+                own = levels[at : at + n]
+                keep = own > 0
+                if keep.any():
+                    out.append((f, deltas(flat[at : at + n][keep], base), np.frombuffer(o, np.uint16)[keep].tobytes(), own[keep].tobytes()))
+                at += n
+            if out:
+                yield _token_rows([key] * len(out), *map(list, zip(*out, strict=True)), schema)
+
+        now, held = None, []
+        for batch in batches:
+            kind = batch.column(2).to_numpy()
+            yield batch.filter(pa.array(kind == 0))
+            few = batch.filter(pa.array(kind == 1))
+            for key, *row in zip(*(few.column(n).to_pylist() for n in ("key", "flush", "tokens", "owners")), strict=True):
+                if key != now:
+                    if held:
+                        yield from answer(now, *zip(*held, strict=True), batch.schema)
+                    now, held = key, []
+                held.append(row)
+        if held:
+            yield from answer(now, *zip(*held, strict=True), batch.schema)
 
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, t) for c, t in (("row_a", T.LongType()), ("row_b", T.IntegerType()), ("n", T.LongType()), ("class", T.LongType())))])
-    return docs.select("doc_id", *row_key(), "text").mapInArrow(run, schema)
+    return packed.repartition(parts, "key").sortWithinPartitions("kind", "key", "flush").mapInArrow(run, packed.schema)
 
 
-def postings(docs: DataFrame, counts, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
-    """token, class for the first order's prefix of every class (repeats only across tasks)."""
+def prefix_size(n: int, threshold: int = THRESHOLD) -> int:
+    return n - -(-n * threshold // 100) + 1
+
+
+def needed(n: int, kept: int, threshold: int = THRESHOLD) -> int:
+    """How many of a set's ``kept`` shared tokens its prefix reaches."""
+    return max(0, prefix_size(n, threshold) - (n - kept))
+
+
+def shared_sets(answers: DataFrame, parts: int, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, row_a, row_b, n, class of every document; tokens, levels, weight where the prefix has a shared token.
+
+    ``weight`` is the mean level of the set, high for a text that copies derive from.
+    """
+    kept = ["doc_id", "row_a", "row_b", "n", "class"]
+    out = T.StructType([*(answers.schema[c] for c in kept), *T.StructType.fromDDL("tokens binary, levels binary, weight double")])
 
     def run(batches):
-        table, seen = counts.value, set()
-        for _, _, sets in _sets(batches, words=words):
-            tokens, classes = [], []
-            for s in sets:
-                if not len(s):
-                    continue
-                c = class_id(s)
-                if c in seen:
-                    continue
-                if len(seen) < 1_000_000:  # memory only; a forgotten class is merely sent again
-                    seen.add(c)
-                own = prefix(s, order_keys(s, table)[0], threshold)
-                tokens.append(own)
-                classes.append(np.full(len(own), c, np.int64))
+        def solve(rows, keys, tokens, owners, levels):
+            if not rows:
+                raise RuntimeError("a task was run again and gave other rows; write the table to files first")
+            n_sets = sum(len(r) - r.column("owner").null_count for r in rows)
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(classes))], names=["token", "class"])
+                sizes = [len(o) // 2 for o in owners]
+                flat = np.concatenate([undeltas(t, n, part_base(k, parts)) for k, t, n in zip(keys, tokens, sizes, strict=True)])
+                whose = np.frombuffer(b"".join(owners), np.uint16)
+                own = np.frombuffer(b"".join(levels), np.uint8)
+                order = np.lexsort((flat, whose))
+                flat, whose, own = flat[order], whose[order], own[order]
+                cut = np.searchsorted(whose, np.arange(n_sets + 1))
+            for r in rows:
+                made = [[], [], []]
+                for n, owner in zip(r.column("n").to_pylist(), r.column("owner").to_pylist(), strict=True):
+                    a, b = (cut[owner], cut[owner + 1]) if tokens and owner is not None else (0, 0)
+                    if needed(n, b - a, threshold) if b > a else 0:
+                        row = (flat[a:b].tobytes(), own[a:b].tobytes(), float(own[a:b].sum()) / n)
+                    else:
+                        row = (None, None, None)
+                    for m, x in zip(made, row, strict=True):
+                        m.append(x)
+                yield pa.RecordBatch.from_arrays([*(r.column(c) for c in kept), *map(pa.array, made, (pa.binary(), pa.binary(), pa.float64()))], names=out.names)
+
+        now, rows, held = None, [], []
+        for batch in batches:
+            names = batch.column("flush").to_numpy()
+            edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if names[a] != now:
+                    if rows or held:
+                        yield from solve(rows, *_columns(held))
+                    now, rows, held = names[a], [], []
+                own = batch.slice(a, b - a)
+                kind = own.column("kind").to_numpy()
+                if (kind == 0).any():
+                    rows.append(own.filter(pa.array(kind == 0)))
+                few = own.filter(pa.array(kind == 1))
+                held += zip(*(few.column(n).to_pylist() for n in ("key", "tokens", "owners", "levels")), strict=True)
+        if rows or held:
+            yield from solve(rows, *_columns(held))
+
+    return answers.repartition(parts, "flush").sortWithinPartitions("flush", "kind").mapInArrow(run, out)
+
+
+def _columns(held: list) -> list:
+    return list(zip(*held, strict=True)) if held else [(), (), (), ()]
+
+
+def order_keys(tokens: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sort keys of the tokens under the two global orders; no two tokens share one."""
+    first = levels.astype(np.uint64) << np.uint64(TOKEN_BITS) | tokens
+    other = tokens * np.uint64(0xD6E8FEB86659FD93) & _LOW
+    other ^= other >> np.uint64(23)
+    other = other * np.uint64(0x9E3779B97F4A7C15) & _LOW
+    second = (levels >> np.uint8(3)).astype(np.uint64) << np.uint64(TOKEN_BITS) | other
+    return first, second
 
-    return docs.select("text").mapInArrow(run, "token long, class long")
 
+def first_by(tokens: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    if n >= len(tokens):
+        return tokens
+    return tokens[np.argpartition(keys, n - 1)[:n]] if n > 0 else tokens[:0]
 
-def _similar(x: np.ndarray, y: np.ndarray, counts: np.ndarray, threshold: int) -> bool:
-    """Prefix filters of all orders, then the exact comparison."""
-    a, b = len(x), len(y)
-    if a * 100 < threshold * b or b * 100 < threshold * a:
-        return False
-    for kx, ky in zip(order_keys(x, counts), order_keys(y, counts), strict=True):
-        if not np.isin(prefix(x, kx, threshold), prefix(y, ky, threshold)).any():
-            return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= threshold * (a + b - both)
 
+def _read(tokens: bytes, levels: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(tokens, np.uint64), np.frombuffer(levels, np.uint8)
 
-def _hub_links(members: DataFrame, counts, threshold: int) -> DataFrame:
-    """cell, class, linked for every class but the hub of its cell."""
-    hubs = members.where("class = cell").select("cell", F.col("tokens").alias("hub"))
+
+def prefix_lists(members: DataFrame, order: int, threshold: int = THRESHOLD) -> DataFrame:
+    """within, token, class for the prefix of ``members`` (within, class, n, tokens, levels) under one order."""
 
     def run(batches):
         for batch in batches:
-            cells, own, tokens, hub = batch.to_pydict().values()
-            found = [_similar(np.frombuffer(t, np.uint64), np.frombuffer(h, np.uint64), counts.value, threshold) for t, h in zip(tokens, hub, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.bool_())], names=["cell", "class", "linked"])
+            out, sizes = [], []
+            for n, t, v in zip(*(batch.column(c).to_pylist() for c in ("n", "tokens", "levels")), strict=True):
+                tokens, levels = _read(t, v)
+                own = first_by(tokens, order_keys(tokens, levels)[order], needed(n, len(tokens), threshold))
+                out.append(own)
+                sizes.append(len(own))
+            at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            flat = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("within").take(at), pa.array(flat), batch.column("class").take(at)], names=["within", "token", "class"])
 
-    others = members.where("class <> cell")
-    pairs = others.where("fits").join(hubs, "cell").select("cell", "class", "tokens", "hub")
-    return pairs.mapInArrow(run, "cell long, class long, linked boolean").unionByName(others.where("not fits").select("cell", "class", F.lit(False).alias("linked")))
+    return members.select("within", "class", "n", "tokens", "levels").mapInArrow(run, "within long, token long, class long")
 
 
-def block_links(left: list[np.ndarray], right: list[np.ndarray], counts: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
-    """Matrix of links between two blocks of sets: prefix filters of all orders intersected, then verification."""
-    a, b = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-    mask = (a[:, None] * 100 >= threshold * b) & (b * 100 >= threshold * a[:, None])
-    for k in range(2):
-        tops = [[prefix(x, order_keys(x, counts)[k], threshold) for x in side] for side in (left, right)]
-        mask &= _shared(*tops) > 0
-    if not mask.any():
-        return mask
-    both = _shared(left, right)
-    return mask & (100 * both >= threshold * (a[:, None] + b - both))
+def joined_by_lists(lists: DataFrame) -> DataFrame:
+    """class, cell: components of the classes that meet in lists (within, token, class).
+
+    A class is tied to the smallest class of its lists; the smallest classes of its
+    other lists are tied to that one.  These ties repeat for all that stand in the
+    same lists, so there are about as many as classes.
+    """
+    keys = ["within", "token"]
+    hubs = lists.groupBy(*keys).agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub < last").select(*keys, "hub")
+    met = stored(lists.join(hubs, keys).select("class", "hub").distinct())
+    least = met.groupBy("class").agg(F.min("hub").alias("least"))
+    ties = met.join(least, "class").select(F.explode(F.array(F.struct(F.col("class").alias("a"), F.col("least").alias("b")), F.struct(F.col("hub").alias("a"), F.col("least").alias("b")))).alias("t"))
+    return components(ties.select("t.a", "t.b").where("a <> b").distinct()).select(F.col("node").alias("class"), F.col("root").alias("cell"))
+
+
+def _incidence(sets: list[np.ndarray], common: np.ndarray, low: int, width: int) -> np.ndarray:
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+    own = (common[at] == flat) & (at >= low) & (at < low + width)
+    out = np.zeros((len(sets), width), np.float32)
+    out[rows[own], at[own] - low] = 1
+    return out
 
 
-def _shared(left: list[np.ndarray], right: list[np.ndarray], width: int = 16384) -> np.ndarray:
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
     """Sizes of all intersections, over the tokens that both sides have."""
-    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
     out = np.zeros((len(left), len(right)), np.int64)
-    spots = []
-    for side in (left, right):
-        rows = np.repeat(np.arange(len(side)), [len(x) for x in side])
-        flat = np.concatenate(side)
-        at = np.minimum(np.searchsorted(common, flat), max(0, len(common) - 1))
-        has = common[at] == flat if len(common) else np.zeros(len(flat), bool)
-        spots.append((rows[has], at[has]))
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right)) if left and right else np.zeros(0, np.uint64)
     for low in range(0, len(common), width):
-        dense = []
-        for (rows, at), side in zip(spots, (left, right), strict=True):
-            m = np.zeros((len(side), min(width, len(common) - low)), np.float32)
-            own = (at >= low) & (at < low + width)
-            m[rows[own], at[own] - low] = 1
-            dense.append(m)
-        out += (dense[0] @ dense[1].T).astype(np.int64)
+        w = min(width, len(common) - low)
+        out += (_incidence(left, common, low, w) @ _incidence(right, common, low, w).T).astype(np.int64)
     return out
 
 
-def _block_pairs(members: DataFrame, star: DataFrame, counts, threshold: int) -> DataFrame:
-    """a, b: links of the classes that their hub did not link, a forest for each pair of blocks."""
-    flags = star.select("cell", "class", (~F.col("linked")).alias("open"))
-    sizes = star.groupBy("cell").agg((F.count(F.lit(1)) + 1).alias("m"), F.sum((~F.col("linked")).cast("long")).alias("r")).where("r > 0 and m > 2")
-    sizes = stored(sizes.select("cell", F.ceil(F.col("m") / BLOCK).cast("int").alias("nk"), F.ceil(F.col("r") / BLOCK).cast("int").alias("nr")))
-    # Where each class goes is settled on ids alone; sets join last, only those of cells with work left.
-    hubs = sizes.select("cell", F.col("cell").alias("class"), F.lit(False).alias("open"), "nk", "nr")
-    rows = flags.join(sizes, "cell").select("cell", "class", "open", "nk", "nr").unionByName(hubs)
-    kb, rb = F.pmod(F.xxhash64("class", F.lit(1)), F.col("nk")).cast("int"), F.pmod(F.xxhash64("class", F.lit(2)), F.col("nr")).cast("int")
-    # What the hub links is one component already and goes by the hub's name.
-    name = F.when(F.col("open"), F.col("class")).otherwise(F.col("cell")).alias("name")
-    known = rows.select("cell", kb.alias("kb"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("rb"), F.lit(False).alias("asks"), "class", name)
-    asked = rows.where("open").select("cell", F.explode(F.sequence(F.lit(0), F.col("nk") - 1)).alias("kb"), rb.alias("rb"), F.lit(True).alias("asks"), "class", name)
-    places = stored(known.unionByName(asked))
-    spread = places.join(members.select("class", "tokens"), "class")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        out: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            names = [left["name"].tolist(), right["name"].tolist()]
-            found = block_links(*([np.frombuffer(t, np.uint64) for t in side["tokens"]] for side in (left, right)), counts.value, threshold)
-            up: dict[int, int] = {}
-
-            def top(x):
-                while up.setdefault(x, x) != x:
-                    up[x] = x = up[up[x]]
-                return x
-
-            for i, j in zip(*np.nonzero(found), strict=True):
-                x, y = names[0][i], names[1][j]
-                if top(x) != top(y):
-                    up[top(x)] = top(y)
-                    out.append((x, y))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def block_links(left: list[tuple], right: list[tuple], threshold: int = THRESHOLD) -> np.ndarray:
+    """Matrix of links between two blocks of (n, tokens, levels): all filters intersected, then verification."""
+    a, b = np.array([x[0] for x in left]), np.array([x[0] for x in right])
+    mask = (a[:, None] * 100 >= threshold * b) & (b * 100 >= threshold * a[:, None])
+    for k in range(2):
+        tops = [[first_by(t, order_keys(t, v)[k], needed(n, len(t), threshold)) for n, t, v in side] for side in (left, right)]
+        mask &= shared_counts(*tops) > 0
+    rows, columns = np.flatnonzero(mask.any(axis=1)), np.flatnonzero(mask.any(axis=0))
+    if len(rows):
+        both = shared_counts([left[i][1] for i in rows], [right[i][1] for i in columns])
+        at = np.ix_(rows, columns)
+        mask[at] &= 100 * both >= threshold * (a[rows][:, None] + b[columns] - both)
+    return mask
+
+
+def _forest(found: np.ndarray, left: list[int], right: list[int]) -> list[tuple[int, int]]:
+    """Links that span what a matrix of links joins."""
+    up: dict[int, int] = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(found), strict=True):
+        a, b = top(left[i]), top(right[j])
+        if a != b:
+            up[a] = b
+            out.append((left[i], right[j]))
+    return out
 
-    return spread.groupBy("cell", "kb", "rb").applyInPandas(compare, "a long, b long").distinct()
 
+def _cell_links(members: DataFrame, threshold: int) -> DataFrame:
+    """a, b: links inside cells of bounded size."""
 
-def _row_filter(chosen: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Bit table of fixed size with a bit for each chosen row."""
-    part = 1 << bits - 8
+    def run(batches):
+        def solve(held):
+            names = [h[0] for h in held]
+            sets = [(h[1], *_read(*h[2:])) for h in held]
+            return _forest(block_links(sets, sets, threshold), names, names)
 
-    def mark(batches):
+        now, held, out = None, [], []
         for batch in batches:
-            cells = np.sort(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits))
-            rows = [(i, own) for i, own in enumerate(np.split(cells, np.searchsorted(cells, np.arange(1, 256, dtype=np.uint64) * np.uint64(part)))) if len(own)]
-            data = [b"c" + (own - np.uint64(i * part)).astype(np.uint32).tobytes() for i, own in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
-
-    def add(total, data):
-        if data[:1] == b"c":
-            total[np.frombuffer(data[1:], np.uint32)] = True
-        else:
-            total |= np.unpackbits(np.frombuffer(data[1:], np.uint8)).astype(bool)
-
-    marked = chosen.select("row_a").mapInArrow(mark, "part int, data binary")
-    merged = merged_parts(marked, lambda: np.zeros(part, bool), add, lambda total: b"b" + np.packbits(total).tobytes())
-    out = np.zeros((256, part // 8), np.uint8)
-    for r in merged.collect():  # 256 rows of fixed size
-        out[r["part"]] = np.frombuffer(r["data"][1:], np.uint8)
-    return out.ravel()
-
-
-def _class_sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
-    """cell, class, tokens of the chosen rows (cell, class, row_a, row_b).
-
-    A bit table leaves out nearly all other rows before the join, so neither texts
-    nor the sets of documents that stand alone are shuffled, at any size.
+            for cell, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "class", "n", "tokens", "levels")), strict=True):
+                if cell != now:
+                    out += solve(held) if len(held) > 1 else []
+                    now, held = cell, []
+                held.append(row)
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+                out = []
+        out += solve(held) if len(held) > 1 else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+
+    return members.select("cell", "class", "n", "tokens", "levels").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+
+
+def least_overlap(a: int, b: int, threshold: int = THRESHOLD) -> int:
+    """Shared tokens that sets of sizes a and b need."""
+    return -(-threshold * (a + b) // (100 + threshold))
+
+
+def _around_hubs(members: DataFrame, threshold: int) -> DataFrame:
+    """class, cell, hub, linked, loose, asked, known of every class but the hubs (see the module's step 3).
+
+    ``asked`` are the tokens outside the hub by which an unlinked class finds its
+    partners, ``known`` all of them; ``loose`` classes may have partners without.
     """
-    table = docs.sparkSession.sparkContext.broadcast(_row_filter(chosen))
+    hubs = members.groupBy("cell").agg(F.max_by(F.struct("class", "n", "tokens"), F.struct("weight", "class")).alias("hub"), F.min("n").alias("least"))
+    pairs = members.join(hubs, "cell").where(F.col("class") != F.col("hub.class"))
+    pairs = pairs.select("cell", "class", "n", "tokens", "levels", F.col("hub.class").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.tokens").alias("hub_tokens"), "least")
 
-    def pack(batches):
-        bits = table.value
+    def run(batches):
         for batch in batches:
-            cell = (batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-            keep = bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & np.uint8(1)
-            few = batch.filter(pa.array(keep.astype(bool)))
-            for a, texts in text_slices(few.column(2), BATCH_BYTES):
-                kept = [few.column(i).slice(a, len(texts)) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array([s.tobytes() for s in shingle_sets(texts, words)], pa.binary())], names=["row_a", "row_b", "tokens"])
-
-    sets = docs.select(*row_key(), "text").mapInArrow(pack, "row_a long, row_b int, tokens binary")
-    keys = ["row_a", "row_b"]
-    return sets.join(chosen, keys).groupBy(*keys, "cell", "class", "fits").agg(F.first("tokens").alias("tokens")).select("cell", "class", "fits", "tokens")
+            made = []
+            for n, t, v, hub_n, hub_t, least in zip(*(batch.column(c).to_pylist() for c in ("n", "tokens", "levels", "hub_n", "hub_tokens", "least")), strict=True):
+                tokens, levels = _read(t, v)
+                inside = np.isin(tokens, np.frombuffer(hub_t, np.uint64))
+                both = int(inside.sum())
+                linked = 100 * both >= threshold * (n + hub_n - both)
+                rest, keys = tokens[~inside], order_keys(tokens[~inside], levels[~inside])[0]
+                more = least_overlap(n, max(least, -(-n * threshold // 100)), threshold) - both
+                # Tokens that only this document holds come first and are not in ``rest``.
+                n_asked = len(rest) - more + 1 if not linked and more > 0 else 0
+                asked = first_by(rest, keys, n_asked)
+                made.append((linked, not linked and more <= 0, asked.view(np.int64).tolist(), rest.view(np.int64).tolist()))
+            columns = list(zip(*made, strict=True)) or [()] * 4
+            kinds = (pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("class", "cell", "hub")), *map(pa.array, map(list, columns), kinds)], names=["class", "cell", "hub", "linked", "loose", "asked", "known"])
+
+    return pairs.mapInArrow(run, "class long, cell long, hub long, linked boolean, loose boolean, asked array<long>, known array<long>")
+
+
+def _block_pairs(members: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
+    """a, b: links inside cells of any size, block against block."""
+    many = F.ceil(F.greatest(F.col("m") / (CELL // 2), F.col("t") * 2 / CELL_TOKENS)).cast("int")
+    placed = members.join(sizes.select("cell", many.alias("blocks")), "cell").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    spread = placed.select("cell", "own", other, "class", "n", "tokens", "levels").select("cell", F.least("own", "other").alias("k"), F.greatest("own", "other").alias("j"), "own", "class", "n", "tokens", "levels")
 
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, j = int(pdf["k"].iloc[0]), int(pdf["j"].iloc[0])
+        sides = [pdf[pdf["own"] == x] for x in (k, j)]
+        out = []
+        if all(len(s) for s in sides):
+            sets = [[(n, *_read(t, v)) for n, t, v in zip(s["n"], s["tokens"], s["levels"], strict=True)] for s in sides]
+            out = _forest(block_links(*sets, threshold), *(s["class"].tolist() for s in sides))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-def similarity_components(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
-    """doc_id, row_a, row_b, n, component_id for every row of ``docs`` (doc_id, text)."""
+    return spread.groupBy("cell", "k", "j").applyInPandas(compare, "a long, b long")
+
+
+def links_in_cells(members: DataFrame, threshold: int = THRESHOLD, cell: int = CELL, cell_tokens: int = CELL_TOKENS, rounds: int = ROUNDS) -> DataFrame:
+    """a, b: links that join all similar classes of ``members`` (cell, class, n, tokens, levels, weight)."""
+    found = None
+    for turn in range(rounds + 1):
+        sizes = stored(members.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.sum(F.length("levels")).alias("t")).where("m > 1"))
+        small = (F.col("m") <= cell) & (F.col("t") <= cell_tokens)
+        links = _cell_links(members.join(sizes.where(small).select("cell"), "cell"), threshold)
+        large = sizes.where(~small)
+        if not large.limit(1).count():
+            return links if found is None else found.unionByName(links)
+        members = stored(members.join(large.select("cell"), "cell"))
+        if turn == rounds:
+            return found.unionByName(links).unionByName(_block_pairs(members, large, threshold)) if found is not None else links.unionByName(_block_pairs(members, large, threshold))
+        star = stored(_around_hubs(members, threshold))
+        links = stored(links.unionByName(star.where("linked").select(F.col("class").alias("a"), F.col("hub").alias("b"))))
+        found = links if found is None else found.unionByName(links)
+        asked = star.select(F.col("cell").alias("within"), F.explode("asked").alias("token")).distinct()
+        lists = star.select(F.col("cell").alias("within"), F.explode("known").alias("token"), "class").join(asked, ["within", "token"]).select("within", "token", "class")
+        loose = star.where("loose").select("cell").distinct()
+        lists = lists.unionByName(star.join(loose, "cell").select(F.col("cell").alias("within"), F.lit(-1).cast("long").alias("token"), "class"))
+        cells = joined_by_lists(lists)
+        members = stored(members.drop("cell").join(cells, "class"))
+    raise AssertionError("the last round returns")
+
+
+def similarity_rows(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, **options) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row_a, row_b, n, class of every row; class, root of the classes that have links)."""
     docs = docs.select("doc_id", "text")
-    counts = docs.sparkSession.sparkContext.broadcast(sketch(docs, words))
-    rows = stored(set_rows(docs, words))
-    lists = postings(docs, counts, threshold, words).withColumn("hub", F.min("class").over(Window.partitionBy("token")))
-    edges = stored(lists.where("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct())
-    cells = components(edges).select(F.col("node").alias("class"), F.col("root").alias("cell"))
-    # One row stands for each class in a cell; its set is made again from its text.
-    own = stored(rows.join(cells, "class").groupBy("class", "cell").agg(F.min(F.struct("row_a", "row_b")).alias("r"), F.max("n").alias("n")).select("class", "cell", "r.row_a", "r.row_b", "n"))
-    # Whether a class's size allows a link to its hub shows without any set.
-    hub_n = own.where("class = cell").select("cell", F.col("n").alias("hub_n"))
-    fits = (F.col("n") * 100 >= threshold * F.col("hub_n")) & (F.col("hub_n") * 100 >= threshold * F.col("n"))
-    chosen = stored(own.join(hub_n, "cell").select("class", "cell", "row_a", "row_b", fits.alias("fits")))
-    members = stored(_class_sets(docs, chosen, words))
-    star = stored(_hub_links(members, counts, threshold))
-    links = star.where("linked").select(F.col("cell").alias("a"), F.col("class").alias("b")).unionByName(_block_pairs(members, star, counts, threshold))
-    roots = components(links).select(F.col("node").alias("class"), "root")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    parts = max(8, -(-size // PART_BYTES))
+    sets = stored(shared_sets(count_parts(packed_tokens(docs, parts, words), parts), parts, threshold))
+    rows = sets.select("doc_id", "row_a", "row_b", "n", "class")
+    # One row stands for each class; its copies in other tasks have equal sets.
+    members = stored(sets.where("tokens is not null").groupBy("class").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "levels", "weight"))))
+    cells = joined_by_lists(prefix_lists(members.withColumn("within", F.lit(0).cast("long")), 0, threshold))
+    inside = stored(members.join(cells.withColumnRenamed("cell", "within"), "class"))
+    cells = joined_by_lists(prefix_lists(inside, 1, threshold))
+    links = links_in_cells(stored(members.join(cells, "class")), threshold, **options)
+    return rows, components(links).select(F.col("node").alias("class"), "root")
+
+
+def similarity_components(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, **options) -> DataFrame:
+    """doc_id, row_a, row_b, n, component_id for every row of ``docs`` (doc_id, text)."""
+    rows, roots = similarity_rows(docs, threshold, words, **options)
     heads = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies"))
-    heads = heads.join(roots, "class", "left").where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "class"))
-    heads = stored(heads)
+    heads = stored(heads.join(roots, "class", "left").where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "class")))
     least = heads.groupBy("root").agg(F.min("head").alias("component_id"))
     named = stored(heads.join(least, "root").select("class", "component_id"))
     return rows.join(named, "class", "left").select("doc_id", "row_a", "row_b", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -365,9 +527,13 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 
 def one_of_each_component(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's, repeated rows once."""
-    found = similarity_components(docs, **options)
-    kept = stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row_a").alias("_row_a"), F.col("row_b").alias("_row_b")).distinct())
-    named = docs.withColumns({k: c for k, c in zip(("_row_a", "_row_b"), row_key(), strict=True)}).join(kept, ["_row_a", "_row_b"])
-    first = F.row_number().over(Window.partitionBy("_row_a", "_row_b").orderBy("_row_a"))
-    return named.withColumn("_nth", first).where("_nth = 1").select(*docs.columns)
+    """One row of ``docs`` for each component, that of the smallest doc_id; rows without words all stay."""
+    rows, roots = similarity_rows(docs, **options)
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_a", "row_b").alias("row")
+    # Copies of a class are reduced first, so that a class of many copies is one row in its component.
+    heads = rows.where("class is not null").groupBy("class").agg(F.min(row).alias("row")).join(roots, "class", "left")
+    first = heads.groupBy(F.coalesce("root", "class").alias("root")).agg(F.min("row").alias("row")).select("row.row_a", "row.row_b", F.lit(True).alias("once"))
+    kept = stored(first.unionByName(rows.where("class is null").select("row_a", "row_b", F.lit(False).alias("once")).distinct()))
+    named = docs.select(*row_key(), F.struct(*docs.columns).alias("doc")).join(kept, ["row_a", "row_b"])
+    nth = F.row_number().over(Window.partitionBy("row_a", "row_b").orderBy("once"))
+    return named.withColumn("nth", nth).where("nth = 1 or not once").select("doc.*")

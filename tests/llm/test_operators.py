@@ -162,7 +162,8 @@ def test_repeats(docs, none, most):
         assert cut.columns == docs.columns and cut.count() == len(ROWS)
 
 
-def test_jaccard(docs, none):
+@pytest.mark.parametrize("options", [{}, {"cell": 3, "rounds": 1}])
+def test_jaccard(docs, none, options):
     sets = [(d, set(s.tolist())) for (d, t), s in zip(texts_of(), shingle_sets([t.encode() for _, t in texts_of()]), strict=True)]
     up = list(range(len(sets)))
 
@@ -182,10 +183,44 @@ def test_jaccard(docs, none):
         least[r] = min((x for x in (least.get(r), d) if x is not None), default=None)
     want = sorted(key((d, len(s), least[top(i)])) for i, (d, s) in enumerate(sets))
     assert len({top(i) for i in range(len(sets))}) < len(sets) - 6
-    assert sorted(map(key, jaccard.near_duplicates(docs).collect())) == want
+    assert sorted(map(key, jaccard.near_duplicates(docs, **options).collect())) == want
+    if options:
+        return
     assert jaccard.near_duplicates(none).count() == 0
     kept = jaccard.one_of_each_component(docs)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {w for w in least.values()}
+    empty = sum(not s for _, s in sets)
+    assert kept.count() == empty + len({top(i) for i, (_, s) in enumerate(sets) if s})
+    assert jaccard.one_of_each_component(none).count() == 0
+
+
+@pytest.mark.parametrize("options", [{"cell": 8}, {"cell": 5, "rounds": 0}])
+def test_jaccard_many_near_copies(spark, options):
+    """Groups of copies of copies, about as similar as the threshold asks."""
+    rng = random.Random(14)
+    word = lambda: f"{rng.choice('abcdefghij')}{rng.randint(0, 400)}"
+    texts = []
+    for size in (60, 45):
+        base = [word() for _ in range(rng.randint(60, 90))]
+        for _ in range(size):
+            w = list(rng.choice(texts).split()) if texts and rng.random() < 0.4 else list(base)
+            for _ in range(rng.randint(1, 4)):
+                if rng.random() < 0.5:
+                    w[rng.randrange(len(w))] = word()
+                else:
+                    w[rng.randrange(len(w)) :][:3] = []
+                    w = w[: len(w) - rng.randint(0, 2)]
+            texts.append(" ".join(w))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    label = list(range(len(sets)))
+    for _ in sets:
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    assert 10 < len(set(label)) < 90
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in jaccard.near_duplicates(docs, **options).collect())
+    assert got == [(i, len(s), label[i]) for i, s in enumerate(sets)]
 
 
 def test_components(spark):

@@ -174,17 +174,36 @@ def test_shingles():
 
 def test_block_links():
     rng = np.random.default_rng(6)
-    base = rng.integers(0, 1 << 63, 200).astype(np.uint64)
-    sets = [np.unique(np.concatenate([base[: 200 - k], rng.integers(0, 1 << 63, k).astype(np.uint64)])) for k in range(0, 60, 3)]
-    raw = np.bincount(jaccard.cells_of(np.concatenate(sets), 10), minlength=1 << 10)
-    levels = jaccard.level(raw)
-    counts = levels[::2] | levels[1::2] << 4
-    assert (jaccard.level_of(sets[0], counts) == levels[jaccard.cells_of(sets[0], 10)]).all()
-    got = jaccard.block_links(sets[:12], sets, counts)
+    token = lambda k: np.unique(rng.integers(0, 1 << 48, k).astype(np.uint64))
+    base = token(200)
+    sets = [np.unique(np.concatenate([base[: 200 - k], token(k)])) for k in range(0, 60, 3)]
+    seen, times = np.unique(np.concatenate(sets), return_counts=True)
+    many = seen[times > 1]
+    packed = []
+    for s in sets:
+        own = s[np.isin(s, many)]
+        packed.append((len(s), own, jaccard.level(times[np.searchsorted(seen, own)])))
+    got = jaccard.block_links(packed[:12], packed)
     for i, a in enumerate(sets[:12]):
         for j, b in enumerate(sets):
+            if i == j:
+                continue
             both = len(np.intersect1d(a, b))
-            assert got[i, j] == (100 * both >= 80 * (len(a) + len(b) - both)) == jaccard._similar(a, b, counts, 80)
+            assert got[i, j] == (100 * both >= 80 * (len(a) + len(b) - both))
+            assert (both >= jaccard.least_overlap(len(a), len(b))) == got[i, j]
+    for keys in jaccard.order_keys(np.arange(100_000, dtype=np.uint64), np.full(100_000, 9, np.uint8)):
+        assert len(np.unique(keys)) == 100_000
+
+
+def test_packed_tokens():
+    rng = np.random.default_rng(12)
+    for n in (1, 3, 50_000):
+        flat = np.unique(rng.integers(0, 1 << 48, n).astype(np.uint64))
+        for parts in (1, 7, 300):
+            part = jaccard._part_of(flat, parts).astype(int)
+            for p in set(part.tolist()):
+                own, base = flat[part == p], jaccard.part_base(p, parts)
+                assert own[0] >= base and (jaccard.undeltas(jaccard.deltas(own, base), len(own), base) == own).all()
 
 
 def test_quality_model():
