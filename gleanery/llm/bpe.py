@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import adder
 from .vocabulary import load
 
 CACHE_PIECES = 1_000_000  # encoded pieces that a worker remembers; then it starts anew
@@ -147,6 +148,7 @@ def codec(path: str) -> Codec:
 
 def encode_column(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add ``ids`` (array of int), the token ids of the whole ``text``."""
+    schema, build = adder(df, [T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         c = codec(path)
@@ -155,23 +157,23 @@ def encode_column(df: DataFrame, path: str, text: str = "text", ids: str = "ids"
             rows = [c.encode(x or "") for x in batch.column(at).to_pylist()]
             values = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
             offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-            made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, ids])
+            yield build(batch, [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return df.mapInArrow(run, schema)
 
 
 def decode_column(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Add ``text``, decoded from the array ``ids``; a null array decodes to null."""
+    schema, build = adder(df, [T.StructField(text, T.StringType())])
 
     def run(batches):
         c = codec(path)
         for batch in batches:
             at = batch.schema.get_field_index(ids)
             made = [None if x is None else c.decode(x) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*batch.schema.names, text])
+            yield build(batch, [pa.array(made, pa.string())])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]))
+    return df.mapInArrow(run, schema)
 
 
 class _Numbers(dict):

@@ -1,4 +1,8 @@
-"""Small pieces that several operators share: shared folders, Arrow helpers."""
+"""Small pieces that several operators share: shared folders, column names, Arrow helpers.
+
+Names: operators that add columns to a table of any columns never touch another
+column.  A result column takes the place of one that has its name (in any case).
+"""
 
 from __future__ import annotations
 
@@ -8,21 +12,25 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     A cluster names it in ``spark.checkpoint.dir``.  Only where that setting is
-    absent (single-machine sessions such as tests) a temporary one is made.
+    absent and driver and executors are one process (``local[...]``, as in tests)
+    a temporary one is made; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-ckpt-")
         spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -37,6 +45,31 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def adder(df: DataFrame, fields: list[T.StructField]):
+    """(schema, build): ``df`` with ``fields`` added, and what makes such a batch of one of ``df`` and the new arrays."""
+    own = {f.name.lower() for f in fields}
+    keep = [i for i, f in enumerate(df.schema) if f.name.lower() not in own]
+    schema = T.StructType([*(df.schema[i] for i in keep), *fields])
+
+    def build(batch: pa.RecordBatch, arrays: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *arrays], names=schema.names)
+
+    return schema, build
+
+
+def hidden(df: DataFrame, *apart: str) -> DataFrame:
+    """``df`` with all columns but ``apart`` in one struct ``doc``, so that no other name can clash."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in apart]
+    spare = "_" * (1 + max(map(len, df.columns)))  # a struct needs a field
+    return df.select(F.struct(*rest, F.lit(0).alias(spare)).alias("doc"), *(F.col(f"`{c}`") for c in apart))
+
+
+def shown(columns: list[str], *apart: str, without: tuple = ()) -> list[Column]:
+    """The columns that ``hidden`` packed and ``apart``, in their order, without those whose name is in ``without``."""
+    gone = {c.lower() for c in without}
+    return [F.col(f"`{c}`") if c in apart else F.col("doc").getField(c).alias(c) for c in columns if c.lower() not in gone]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``documents`` table."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -3,14 +3,14 @@
 Patterns are windows of ``size`` consecutive item words (a shorter item is one
 window).  The search looks at the last ``block`` words of the current window of
 the text: a shift table says how far the window may jump without passing an
-occurrence; at shift 0 the block names a bucket of patterns with that suffix,
-and the bucket's patterns are compared word by word.  Windows of one length share
-tables; each length of shorter items has its own.
+occurrence; at shift 0 the block names a bucket of patterns with that suffix, of
+which those with the window's hash are compared as text.  Windows of one length
+share tables; each length of shorter items has its own.
 
 The pattern tables are broadcast only up to ``max_block_bytes`` of item text.
 Beyond that the items are dealt into hash blocks of at most about that size and
 the documents are searched against one block after another (the item set is a
-stated query set); covered spans of the blocks are merged by document.
+stated query set); covered spans of the blocks are merged by text.
 
 Words are maximal runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after
 lower-casing A-Z, so on UTF-8 bytes: a-z, 0-9 and every byte from 0x80 on.
@@ -18,24 +18,26 @@ lower-casing A-Z, so on UTF-8 bytes: a-z, 0-9 and every byte from 0x80 on.
 Defined results: null and empty texts have no words and no hits; items without
 words have no window; repeated item rows with one id count as one item, equal
 texts under several ids as several; empty tables give zero hits; rows repeat as
-they did; other columns stay.
+they did; other columns stay (see ``common`` for names).
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_key, text_bytes
+from .common import adder, hidden, mix64, shown, text_slices
+from .shingles import word_hashes
 
 WINDOW = 10
 BLOCK_WORDS = 2
-MAX_BLOCK_BYTES = 32_000_000
+MAX_BLOCK_BYTES = 16_000_000  # of item text; its index takes about five times as much
+LANE = 256
+BATCH_BYTES = 1_000_000
+_ODD = 0x9E3779B97F4A7C15
 
 _KEEP = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 _TABLE = bytes((b | 0x20) if 0x41 <= b <= 0x5A else b if b in _KEEP else 0x20 for b in range(256))
@@ -46,92 +48,149 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Matcher:
-    """Wu-Manber tables for patterns of one length."""
-
-    def __init__(self, length: int, patterns: dict[tuple, list[str]]):
-        self.length = length
-        self.block = block = min(BLOCK_WORDS, length)
-        self.most = length - block + 1
-        self.shift: dict[tuple, int] = {}
-        self.bucket: dict[tuple, list] = defaultdict(list)
-        for words, items in patterns.items():
-            for end in range(block, length + 1):
-                key = words[end - block : end]
-                far = length - end
-                if far < self.shift.get(key, self.most):
-                    self.shift[key] = far
-            self.bucket[words[length - block :]].append((list(words), items))
-
-    def find(self, words: list[bytes]):
-        """(start, items) of every occurrence, by start."""
-        length, block, most, shift, bucket = self.length, self.block, self.most, self.shift.get, self.bucket
-        end, n = length, len(words)
-        while end <= n:
-            key = tuple(words[end - block : end])
-            far = shift(key, most)
-            if far:
-                end += far
-                continue
-            start = end - length
-            window = words[start:end]
-            for pattern, items in bucket.get(key, ()):
-                if pattern == window:
-                    yield start, items
-            end += 1
+    """Wu-Manber tables for windows of one length, as flat arrays.
+
+    ``keys`` are the sorted hashes of the blocks, ``shift`` says how far a block
+    lets the search jump.  ``bucket`` holds for each window its last block's place
+    in ``keys`` and 32 bits of a hash of all its words, sorted; ``start`` is the
+    window's first word in the items.
+    """
+
+    def __init__(self, length: int, hashes: np.ndarray, firsts: np.ndarray, counts: np.ndarray):
+        self.length, self.block = length, min(BLOCK_WORDS, length)
+        self.most = length - self.block + 1
+        at = np.repeat(firsts, counts) + _ranges(counts)  # words of the items of this length
+        place = _ranges(counts)
+        at, place = at[place >= self.block - 1], place[place >= self.block - 1]
+        key, far = self.blocks(hashes, at), np.maximum(0, length - 1 - place).astype(np.uint8)
+        order = np.lexsort((far, key))
+        key, far = key[order], far[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        self.keys, self.shift = key[new], far[new]
+        ends = at[place >= length - 1]
+        own = self._entry(np.searchsorted(self.keys, self.blocks(hashes, ends)), hashes, ends)
+        order = np.argsort(own, kind="stable")
+        self.bucket, self.start = own[order], (ends[order] - length + 1).astype(np.uint32)
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.shift, self.bucket, self.start))
+
+    def blocks(self, hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the blocks whose last words are given."""
+        return mix64(hashes[ends - 1] * np.uint64(_ODD) + hashes[ends]) if self.block == 2 else hashes[ends]
+
+    def _entry(self, key: np.ndarray, hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(ends), np.uint64)
+        for k in range(self.length):
+            total = total * np.uint64(_ODD) + hashes[ends - k]
+        return key.astype(np.uint64) << np.uint64(32) | mix64(total) >> np.uint64(32)
+
+    def find(self, hashes: np.ndarray, firsts: np.ndarray, counts: np.ndarray):
+        """(last word, first and behind last place in ``bucket``) wherever a bucket has windows to compare.
+
+        Long texts are cut into lanes of LANE ends of windows; all lanes advance
+        together, each by its own shift.
+        """
+        many = np.maximum(0, counts - self.length + 1)
+        lanes = -(-many // LANE)
+        at = np.repeat(firsts + self.length - 1, lanes) + _ranges(lanes) * LANE
+        stop = np.minimum(at + LANE, np.repeat(firsts + counts, lanes))
+        found: list[np.ndarray] = []
+        places: list[np.ndarray] = []
+        while len(at) and len(self.keys):
+            key = self.blocks(hashes, at)
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            far = np.where(self.keys[place] == key, self.shift[place], self.most)
+            hit = far == 0
+            if hit.any():
+                found.append(at[hit])
+                places.append(place[hit])
+            at = at + np.maximum(far, 1)
+            live = at < stop
+            at, stop = at[live], stop[live]
+        if not found:
+            return []
+        ends = np.concatenate(found)
+        own = self._entry(np.concatenate(places), hashes, ends)
+        low, high = np.searchsorted(self.bucket, own), np.searchsorted(self.bucket, own, side="right")
+        some = low < high
+        return zip(ends[some].tolist(), low[some].tolist(), high[some].tolist(), strict=True)
+
+
+def _ranges(counts: np.ndarray) -> np.ndarray:
+    """0..n-1 for each count n, one behind another."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 class Index:
-    """All windows of a set of items."""
+    """All windows of a set of items: their words, one text behind another, and a matcher for each length."""
 
     def __init__(self, items: list[tuple[str, bytes]], size: int = WINDOW):
-        by_length: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            w = words_of(text)
-            length = min(size, len(w))
-            for i in range(len(w) - length + 1 if w else 0):
-                by_length[length][tuple(w[i : i + length])].add(item)
-        self.matchers = [Matcher(n, {k: sorted(v) for k, v in p.items()}) for n, p in sorted(by_length.items())]
-
-    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Covered word spans (merged, in order) and the items found."""
-        found, items = [], set()
+        self.items = [name for name, _ in items]
+        words = [words_of(text) for _, text in items]
+        counts = np.array([len(w) for w in words], np.int64)
+        self.first = np.cumsum(counts) - counts
+        flat = [w for own in words for w in own]
+        self.body = b" ".join(flat)
+        self.offset = np.concatenate([[0], np.cumsum([len(w) + 1 for w in flat])]).astype(np.uint32 if len(self.body) < 1 << 32 else np.uint64)
+        hashes, _ = word_hashes([self.body], _TABLE)
+        length = np.minimum(size, counts)
+        self.matchers = [Matcher(n, hashes, self.first[length == n], counts[length == n]) for n in sorted(set(length.tolist()) - {0})]
+
+    @property
+    def nbytes(self) -> int:
+        return len(self.body) + self.offset.nbytes + self.first.nbytes + sum(m.nbytes for m in self.matchers)
+
+    def search(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
+        """(number of words, covered word spans, merged and in order, items found) of every text."""
+        hashes, counts = word_hashes(texts, _TABLE)
+        firsts = np.cumsum(counts) - counts
+        found: list[list[tuple[int, int]]] = [[] for _ in texts]
+        items: list[set[str]] = [set() for _ in texts]
+        words: dict[int, list[bytes]] = {}
         for m in self.matchers:
-            for start, own in m.find(words):
-                items.update(own)
-                found.append((start, start + m.length))
-        spans: list[tuple[int, int]] = []
-        for a, b in sorted(found):
-            if spans and a <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
-            else:
-                spans.append((a, b))
-        return spans, items
+            for end, low, high in m.find(hashes, firsts, counts):
+                i = int(np.searchsorted(firsts, end, side="right")) - 1
+                if i not in words:
+                    words[i] = words_of(texts[i])
+                stop = end - int(firsts[i]) + 1
+                window = b" ".join(words[i][stop - m.length : stop])
+                for s in m.start[low:high].tolist():
+                    if self.body[self.offset[s] : self.offset[s + m.length] - 1] == window:
+                        found[i].append((stop - m.length, stop))
+                        items[i].add(self.items[int(np.searchsorted(self.first, s, side="right")) - 1])
+        return [(int(n), _joined(own), sorted(names)) for n, own, names in zip(counts, found, items, strict=True)]
+
+
+def _joined(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    spans: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if spans and a <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
+        else:
+            spans.append((a, b))
+    return spans
 
 
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
 SPANS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(SPAN)), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
-def _search(docs: DataFrame, index, text: str) -> DataFrame:
+def _search(docs: DataFrame, index) -> DataFrame:
     """Add SPANS to ``docs``; ``index`` is a broadcast Index."""
-    kept = [f for f in docs.schema if f.name != text]
+    schema, build = adder(docs, list(SPANS))
 
     def run(batches):
         ix = index.value
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            n, spans, items = [], [], []
-            for body in text_bytes(batch.column(at)):
-                w = words_of(body)
-                s, i = ix.search(w)
-                n.append(len(w))
-                spans.append([{"start": a, "stop": b} for a, b in s])
-                items.append(sorted(i))
-            made = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array(items, pa.list_(pa.string()))]
-            columns = [c for i, c in enumerate(batch.columns) if i != at]
-            yield pa.RecordBatch.from_arrays(columns + made, names=[f.name for f in kept] + SPANS.names)
+            rows = [r for _, own in text_slices(batch.column(batch.schema.get_field_index("text")), BATCH_BYTES) for r in ix.search(own)]
+            spans = [[{"start": a, "stop": b} for a, b in r[1]] for r in rows]
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+            yield build(batch, [pa.array([r[0] for r in rows], pa.int64()), pa.array(spans, kind), pa.array([r[2] for r in rows], pa.list_(pa.string()))])
 
-    return docs.mapInArrow(run, T.StructType(kept + list(SPANS)))
+    return docs.mapInArrow(run, schema)
 
 
 def _merge(spans):
@@ -148,7 +207,7 @@ def _merge(spans):
 
 
 def search_items(docs: DataFrame, items: DataFrame, size: int = WINDOW, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with SPANS in place of text.
+    """``docs`` (text, ...) with SPANS added.
 
     ``items`` has item_id and text.
     """
@@ -163,16 +222,17 @@ def search_items(docs: DataFrame, items: DataFrame, size: int = WINDOW, max_bloc
         return spark.sparkContext.broadcast(Index(own, size))
 
     if blocks == 1:
-        return _search(docs, index(0), "text")
-    keyed = docs.select("*", *row_key())
+        return _search(docs, index(0))
+    # A text names its spans: equal texts have equal ones.
+    keyed = hidden(docs, "text").withColumns({"text_a": F.xxhash64("text"), "text_b": F.hash("text")})
     parts = None
     for b in range(blocks):
-        found = _search(keyed.select("row_a", "row_b", "text"), index(b), "text")
+        found = _search(keyed.select("text_a", "text_b", "text"), index(b)).drop("text")
         found = found.where(F.lit(b == 0) | (F.size("items") > 0))
         parts = found if parts is None else parts.unionByName(found)
-    merged = parts.groupBy("row_a", "row_b").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    merged = parts.groupBy("text_a", "text_b").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     merged = merged.withColumn("spans", _merge("spans"))
-    return keyed.drop("text").join(merged, ["row_a", "row_b"]).drop("row_a", "row_b")
+    return keyed.join(merged, ["text_a", "text_b"]).select(*shown(docs.columns, "text", without=tuple(SPANS.names)), *SPANS.names)
 
 
 def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

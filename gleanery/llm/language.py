@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import adder, slices
 from .quality import id_remainder
 
 PER_LANGUAGE = 400
@@ -187,6 +187,7 @@ def train(docs: DataFrame) -> Model:
 def language_columns(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema, build = adder(docs, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         m = shared.value
@@ -198,10 +199,9 @@ def language_columns(docs: DataFrame, model: Model, text: str = "text") -> DataF
                 own = real[a:b]
                 for i, p in zip(own, m.predict([texts[i] for i in own]), strict=True):
                     found[i] = p
-            made = [pa.array([p[0] for p in found], pa.string()), pa.array([p[1] for p in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "lang_pred", "score"])
+            yield build(batch, [pa.array([p[0] for p in found], pa.string()), pa.array([p[1] for p in found], pa.float64())])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, schema)
 
 
 def languages(docs: DataFrame) -> DataFrame:

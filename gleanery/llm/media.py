@@ -14,7 +14,8 @@ all intervals of a batch in lock step, one numpy lane each.
 Defined results: null text counts as empty; an empty text becomes one row of
 192 blanks; payloads over ``ROW * MAX_ROWS`` bytes become several JPEG images
 behind one another; bytes that are no baseline JPEG give null dimensions and an
-``error``.  Extra columns pass through untouched.
+``error``.  Extra columns pass through untouched; only one that has a result
+column's name gives way to it.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_bytes
+from .common import adder, slices, text_slices
 
 ROW = 192  # blocks, and payload bytes, in a thumbnail row
 MAX_ROWS = 8191  # 8 * 8191 lines is the most that a frame header can state
@@ -371,10 +373,22 @@ def thumbnails(items: list[bytes | None]) -> list[tuple[list[_Frame], list[np.nd
     return [p if isinstance(p, str) else (p, [thumbs[i, j] for j in range(len(p))]) for i, p in enumerate(parsed)]
 
 
-def gradient_hash(thumb: np.ndarray) -> str:
-    """64-bit horizontal gradient hash of a thumbnail (8 rows of 9 sampled columns)."""
-    h, w = thumb.shape
-    small = thumb[(np.arange(8) * h) // 8][:, (np.arange(9) * w) // 9]
+def _boxes(thumb: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """Means of a grid of boxes that cover the whole thumbnail (repeated where it is smaller than the grid)."""
+    for axis, n in ((0, rows), (1, columns)):
+        size = thumb.shape[axis]
+        if size < n:
+            thumb = np.repeat(thumb, -(-n // size), axis=axis)
+            size = thumb.shape[axis]
+        cut = np.arange(n) * size // n
+        widths = np.diff(np.append(cut, size)).reshape((-1, 1) if axis == 0 else (1, -1))
+        thumb = np.add.reduceat(thumb.astype(np.float64), cut, axis=axis) / widths
+    return thumb
+
+
+def gradient_hash(thumbs: list[np.ndarray]) -> str:
+    """64-bit horizontal gradient hash of the box means, weighted over all frames by their height."""
+    small = sum(_boxes(t, 8, 9) * len(t) for t in thumbs)
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 
@@ -385,21 +399,19 @@ def _pad(text: bytes) -> bytes:
 def encode_media(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """Add binary column ``media``: each text stored losslessly as baseline JPEG.
 
-    ``text`` (the column) is replaced by the media column; all other columns stay.
+    ``text`` (the column) is dropped; all other columns stay.
     """
+    names = [f"`{c}`" for c in df.columns if c != text and c.lower() != media.lower()]
+    df = df.select(*names, F.col(f"`{text}`").alias(media))
+    schema, build = adder(df, [T.StructField(media, T.BinaryType())])
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            texts = text_bytes(batch.column(at))
             made: list[bytes] = []
-            for a, b in slices([len(x) for x in texts], BATCH_BYTES):
-                part = texts[a:b]
+            for _, part in text_slices(batch.column(len(names)), BATCH_BYTES):
                 made += encode_payloads([_pad(x) for x in part], [len(x).to_bytes(8, "big") for x in part])
-            columns = [pa.array(made, pa.binary()) if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, names=[media if i == at else n for i, n in enumerate(batch.schema.names)])
+            yield build(batch, [pa.array(made, pa.binary())])
 
-    schema = T.StructType([T.StructField(media, T.BinaryType()) if f.name == text else f for f in df.schema])
     return df.mapInArrow(run, schema)
 
 
@@ -409,11 +421,12 @@ MEDIA_FIELDS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_cr
 def read_media(df: DataFrame, media: str = "media") -> DataFrame:
     """Read a media column back: dimensions, thumbnail hash, digest of the thumbnail samples.
 
-    The media column is replaced by ``MEDIA_FIELDS``; ``height`` adds up over
-    frames.  Clashing names in ``df`` must be renamed first (AnalysisException).
+    The media column is replaced by ``MEDIA_FIELDS``; ``height`` adds up over frames.
     """
     found = T.StructType.fromDDL(MEDIA_FIELDS)
-    kept = [f for f in df.schema if f.name != media]
+    own = {f.name.lower() for f in found}
+    df = df.select(*(f"`{c}`" for c in df.columns if c != media and c.lower() not in own), f"`{media}`")
+    kept = df.schema.fields[:-1]
 
     def one(data: bytes | None, what) -> tuple:
         size, digest = len(data or b""), hashlib.sha256(data or b"").hexdigest()
@@ -424,17 +437,17 @@ def read_media(df: DataFrame, media: str = "media") -> DataFrame:
         note = frames[0].note
         n = int.from_bytes(note, "big") if len(note) == 8 else None
         height, width = sum(f.height for f in frames), frames[0].width
-        label = f"jpeg {width}x{height} in {len(frames)} thumb {gradient_hash(thumbs[0])}"
+        label = f"jpeg {width}x{height} in {len(frames)} thumb {gradient_hash(thumbs)}"
         return (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), size, digest, width, height, len(frames), label, None)
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index(media)
-            items = batch.column(at).to_pylist()
+            stored = batch.column(len(kept))
             rows: list[tuple] = []
-            for a, b in slices([len(x or b"") for x in items], BATCH_BYTES):
-                rows += [one(d, w) for d, w in zip(items[a:b], thumbnails(items[a:b]), strict=True)]
-            columns = [c for i, c in enumerate(batch.columns) if i != at]
+            for a, b in slices((pc.fill_null(pc.binary_length(stored), 0).to_numpy(zero_copy_only=False) + 1).tolist(), BATCH_BYTES):
+                items = stored.slice(a, b - a).to_pylist()
+                rows += [one(d, w) for d, w in zip(items, thumbnails(items), strict=True)]
+            columns = batch.columns[:-1]
             kinds = {"long": pa.int64(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
             columns += [pa.array([r[i] for r in rows], kinds[f.dataType.simpleString()]) for i, f in enumerate(found)]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + found.names)

@@ -12,8 +12,8 @@ smallest, if an id is repeated).  Scoring covers every row and whole texts.
 
 Defined results: null and empty texts score what a difference of 0 gives; without
 labelled rows of both kinds every score is the share of good ones (0.5 without
-any); null labels are skipped; a null id is never held out; other columns are
-not carried.
+any); null labels are skipped; a null id is never held out.  ``score_column``
+keeps all columns, ``quality_scores`` carries none.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_bytes
+from .common import adder, text_slices
 
 PER_CLASS = 2000
 FIT_BYTES = 20_000
@@ -34,6 +34,7 @@ DICTIONARY_BYTES = 262_144
 TRAIN_BYTES = 8_000_000
 BLOCK = 500
 LEVEL = 3
+BATCH_BYTES = 1_000_000
 ACCEPT = 0.3
 
 
@@ -143,14 +144,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 def score_column(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
     """Add ``score`` (0 to 1) to ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema, build = adder(docs, [T.StructField(score, T.DoubleType())])
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            made = [m.score(t) for t in text_bytes(batch.column(batch.schema.get_field_index(text)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], names=[*batch.schema.names, score])
+            made = [m.score(t) for _, own in text_slices(batch.column(batch.schema.get_field_index(text)), BATCH_BYTES) for t in own]
+            yield build(batch, [pa.array(made, pa.float64())])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
+    return docs.mapInArrow(run, schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeat_digests(documents(spark, sf_dir))
+    return repeats.repeat_digests(documents(spark, sf_dir), words=50)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,20 +13,20 @@ one base form a piece: core, some bytes to the left and some to the right.
    windows repeated.  A core with one piece once has none.
 3. Different pieces of one core go through a suffix array (``suffixes``): windows
    whose suffixes agree with a neighbour's for a whole window repeat.  The core is
-   one symbol there, different for each core.  Cores are dealt over tasks, which
-   take a bounded number of symbols at a time.  A core with more than ``MOST``
+   one symbol there, different for each core.  Cores are dealt over as many
+   partitions as their symbols ask for.  A core with more than ``MOST``
    different pieces is split by halving the range of its windows again and again,
    in joins and counts, until each part is uniform or alone.
 4. Repeated windows become spans of their texts; a text that occurs twice is one
    span.  A join brings the spans to the texts.
 
-``remove_repeats`` can also cut passages of more than ``words`` words, however few
-bytes they have: the same steps run once more over texts whose words are replaced
-by ``CODE``-byte hashes, with a window of words + 1 codes.
+Passages of more than ``words`` words can be found as well, however few bytes they
+have: the same steps run once more over word hashes, one symbol of ``CODE`` bytes a
+word, with a window of words + 1 symbols.
 
 Defined results: null is empty; texts shorter than a window have nothing removed;
-matches never cross texts; repeated rows are texts that repeat; extra columns are
-not carried.
+matches never cross texts; repeated rows are texts that repeat; ``repeat_digests``
+carries no extra columns, ``with_spans`` and ``remove_repeats`` carry all.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import merged_parts, mix64, stored, text_bytes, text_slices
+from .common import hidden, merged_parts, mix64, shown, stored, text_bytes, text_slices
 from .shingles import CASED, _tables, word_hashes
 from .suffixes import suffix_array
 
@@ -50,41 +50,45 @@ GRAM = 100
 SPAN = 64
 SKETCH_BITS = 28
 SKETCH_PARTS = 512
-MOST = 400
+MOST = 1500
 SYMBOLS = 20_000
+TASK_SYMBOLS = 300_000
 CHUNK = 400_000
 CODE = 8
+SEEN = 200_000  # texts a task remembers; a forgotten one is merely looked at again
 _WORD = re.compile(rb"[^ \t-\r]+")
 
 
 class Cutter:
-    """Cuts texts into pieces; ``length`` is the window's."""
+    """Cuts texts into pieces; ``length`` is the window's in symbols of ``unit`` bytes (1 or 8)."""
 
-    def __init__(self, length: int = LENGTH, gram: int = GRAM, span: int = SPAN):
-        self.length, self.gram, self.span = length, gram, span
+    def __init__(self, length: int = LENGTH, gram: int = GRAM, span: int = SPAN, unit: int = 1):
+        self.length, self.gram, self.span, self.unit = length, gram, span, unit
         self.core = length - span + 1
         if self.core < gram or gram < 1:
             raise ValueError("the gram must fit in the core")
 
     def chunks(self, texts: list[bytes]):
-        """(bytes, [(text number, offset of the part in the text, start, size), ...]) of bounded size."""
+        """(bytes, [(text number, offset of the part in the text, start, size), ...]) of bounded size, in symbols."""
         parts, size = [], 0
+        most, unit = CHUNK // self.unit, self.unit
+        whole = lambda: (b"".join(p[3] for p in parts), [p[:3] + (len(p[3]) // unit,) for p in parts])
         for i, t in enumerate(texts):
-            at = 0
-            while len(t) - at >= self.length:
-                own = t[at : at + CHUNK + self.length - 1]
-                if size + len(own) > CHUNK and parts:
-                    yield b"".join(p[3] for p in parts), [p[:3] + (len(p[3]),) for p in parts]
+            at, n = 0, len(t) // unit
+            while n - at >= self.length:
+                own = t[at * unit : (at + most + self.length - 1) * unit]
+                if size + len(own) // unit > most and parts:
+                    yield whole()
                     parts, size = [], 0
                 parts.append((i, at, size, own))
-                size += len(own)
-                at += CHUNK
+                size += len(own) // unit
+                at += most
         if parts:
-            yield b"".join(p[3] for p in parts), [p[:3] + (len(p[3]),) for p in parts]
+            yield whole()
 
     def runs(self, data: bytes, parts: list[tuple]) -> dict[str, np.ndarray]:
         """Pieces of a chunk: base, first and last window (places in the chunk), core and piece hashes, part."""
-        flat = np.frombuffer(data, np.uint8)
+        flat = np.frombuffer(data, np.uint8 if self.unit == 1 else np.uint64)
         up, down = _tables(len(flat) + 1)
         sums = np.zeros(len(flat) + 1, np.uint64)
         np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)], out=sums[1:])
@@ -119,18 +123,19 @@ class Cutter:
 
 
 def _new_texts(batches, text: str):
-    """(names of the texts, texts) of each batch, without those this task has had."""
+    """(names of the texts, texts) in runs of bounded size, without those this task has had."""
     seen: set[tuple] = set()
     for batch in batches:
         names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        texts = text_bytes(batch.column(batch.schema.get_field_index(text)))
-        keep = []
-        for i, name in enumerate(names):
-            if name not in seen:
-                keep.append(i)
-                if len(seen) < 1_000_000:
-                    seen.add(name)
-        yield [names[i] for i in keep], [texts[i] for i in keep]
+        for a, texts in text_slices(batch.column(batch.schema.get_field_index(text)), 4 * CHUNK):
+            keep = []
+            for i in range(len(texts)):
+                name = names[a + i]
+                if name not in seen:
+                    keep.append(i)
+                    if len(seen) < SEEN:
+                        seen.add(name)
+            yield [names[a + i] for i in keep], [texts[i] for i in keep]
 
 
 def named_texts(docs: DataFrame) -> DataFrame:
@@ -202,7 +207,7 @@ def pieces_of(texts: DataFrame, table, cutter: Cutter, bits: int = SKETCH_BITS)
     """Pieces whose core may repeat.
 
     A window that starts k bytes before a base is number k of its piece, low to
-    high; ``edges`` are the high bytes before the core and the span - 1 - low
+    high; ``edges`` are the high symbols before the core and the span - 1 - low
     behind it.  Equal pieces of one chunk of a text are one row with all their
     bases, so periodic texts send few rows.
     """
@@ -227,7 +232,8 @@ def pieces_of(texts: DataFrame, table, cutter: Cutter, bits: int = SKETCH_BITS)
                 base, first, last, part, core, piece = (x[head] for x in (base, first, last, part, core, piece))
                 name = [names[parts[p][0]] for p in part.tolist()]
                 behind, stop = base + cutter.core, last + cutter.length
-                edges = [data[a:b] + data[c:d] for a, b, c, d in zip(first.tolist(), base.tolist(), behind.tolist(), stop.tolist(), strict=True)]
+                u = cutter.unit
+                edges = [data[a:b] + data[c:d] for a, b, c, d in zip(*((x * u).tolist() for x in (first, base, behind, stop)), strict=True)]
                 columns = [
                     pa.array([x[0] for x in name], pa.int64()),
                     pa.array([x[1] for x in name], pa.int32()),
@@ -243,13 +249,19 @@ def pieces_of(texts: DataFrame, table, cutter: Cutter, bits: int = SKETCH_BITS)
     return texts.mapInArrow(run, PIECES)
 
 
-def repeated_windows(groups: list[list[tuple]], span: int) -> list[list[tuple[int, list[int]]]]:
+def repeated_windows(groups: list[list[tuple]], span: int, unit: int = 1) -> list[list[tuple[int, list[int]]]]:
     """For groups of (piece, low, high, edges), one core each: (piece, numbers of its repeated windows)."""
+    if unit > 1:  # name the symbols by small numbers
+        rank: dict[int, int] = {}
+        groups = [[(p, low, high, [rank.setdefault(x, len(rank)) for x in np.frombuffer(edges, np.uint64).tolist()]) for p, low, high, edges in own] for own in groups]
+        spare = len(rank)
+    else:
+        spare = 256
     text: list[int] = []
     origin: list[tuple[int, int]] = []
     for g, own in enumerate(groups):
         for i, (_, low, high, edges) in enumerate(own):
-            symbols = [b + 2 for b in edges[:high]] + [300 + g] + [b + 2 for b in edges[high:]] + [1]
+            symbols = [b + 2 for b in edges[:high]] + [2 + spare + g] + [b + 2 for b in edges[high:]] + [1]
             origin += [(g, i)] * len(symbols)
             text += symbols
     whole = np.array(text, np.int32)
@@ -293,12 +305,12 @@ def _intervals(numbers: list[int]) -> list[tuple[int, int]]:
 RANGES = "core long, piece long, low int, high int"
 
 
-def _by_suffixes(pieces: DataFrame, span: int) -> DataFrame:
+def _by_suffixes(pieces: DataFrame, span: int, unit: int) -> DataFrame:
     """RANGES of repeated windows of ``pieces`` (core, piece, low, high, edges), whole cores of bounded size."""
 
     def run(batches):
         def solve(groups):
-            rows = [(core, piece, a, b) for (core, _), found in zip(groups, repeated_windows([g[1] for g in groups], span), strict=True) for piece, numbers in found for a, b in _intervals(numbers)]
+            rows = [(core, piece, a, b) for (core, _), found in zip(groups, repeated_windows([g[1] for g in groups], span, unit), strict=True) for piece, numbers in found for a, b in _intervals(numbers)]
             columns = zip(*rows, strict=True) if rows else [()] * 4
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["core", "piece", "low", "high"])
 
@@ -312,20 +324,22 @@ def _by_suffixes(pieces: DataFrame, span: int) -> DataFrame:
                     groups.append((core, []))
                     now = core
                 groups[-1][1].append(tuple(piece))
-                symbols += len(piece[3]) + 2
+                symbols += len(piece[3]) // unit + 2
         if groups:
             yield solve(groups)
 
-    dealt = pieces.select("core", "piece", "low", "high", "edges").repartition("core").sortWithinPartitions("core", "piece")
+    # Few bytes but much work each, so the number of partitions is not left to sizes.
+    symbols = pieces.agg(F.coalesce(F.sum(F.octet_length("edges") / unit + 2), F.lit(0)).alias("n")).first()["n"]
+    dealt = pieces.select("core", "piece", "low", "high", "edges").repartition(max(8, int(symbols // TASK_SYMBOLS) + 1), "core").sortWithinPartitions("core", "piece")
     return dealt.mapInArrow(run, RANGES)
 
 
-def _by_halves(pieces: DataFrame, span: int) -> DataFrame:
+def _by_halves(pieces: DataFrame, span: int, unit: int) -> DataFrame:
     """RANGES of repeated windows of cores with very many pieces, by halving the range of windows.
 
     Counts and joins only: a group's rows may lie in any number of tasks.
     """
-    now = pieces.select("core", "piece", F.col("core").alias("key"), "low", "high", F.substring("edges", 1, F.col("high")).alias("left"), F.expr("substring(edges, high + 1)").alias("right"), "times", F.lit(0).alias("skip"))
+    now = pieces.select("core", "piece", F.col("core").alias("key"), "low", "high", F.expr(f"substring(edges, 1, high * {unit})").alias("left"), F.expr(f"substring(edges, high * {unit} + 1)").alias("right"), "times", F.lit(0).alias("skip"))
     found = []
     width = span
     while True:
@@ -346,11 +360,11 @@ def _by_halves(pieces: DataFrame, span: int) -> DataFrame:
         lower = rest.where(F.col("low") < half).select(
             "core",
             "piece",
-            F.xxhash64("key", F.lit(0), F.expr(f"substring(right, 1, {shared})")).alias("key"),
+            F.xxhash64("key", F.lit(0), F.expr(f"substring(right, 1, {shared * unit})")).alias("key"),
             "low",
             F.least("high", F.lit(half - 1)).alias("high"),
-            F.expr(f"substring(left, length(left) - least(high, {half - 1}) + 1)").alias("left"),
-            F.expr(f"substring(right, {shared + 1})").alias("right"),
+            F.expr(f"substring(left, length(left) - least(high, {half - 1}) * {unit} + 1)").alias("left"),
+            F.expr(f"substring(right, {shared * unit + 1})").alias("right"),
             "times",
             "skip",
         )
@@ -358,11 +372,11 @@ def _by_halves(pieces: DataFrame, span: int) -> DataFrame:
         upper = rest.where(F.col("high") >= half).select(
             "core",
             "piece",
-            F.xxhash64("key", F.lit(1), F.expr(f"substring(left, length(left) - {half} + 1)")).alias("key"),
+            F.xxhash64("key", F.lit(1), F.expr(f"substring(left, length(left) - {half * unit} + 1)")).alias("key"),
             (F.greatest("low", F.lit(half)) - half).alias("low"),
             (F.col("high") - half).alias("high"),
-            F.expr(f"substring(left, 1, length(left) - {half})").alias("left"),
-            F.expr(f"substring(right, 1, {width} - 1 - greatest(low, {half}))").alias("right"),
+            F.expr(f"substring(left, 1, length(left) - {half * unit})").alias("left"),
+            F.expr(f"substring(right, 1, ({width} - 1 - greatest(low, {half})) * {unit})").alias("right"),
             "times",
             (F.col("skip") + half).alias("skip"),
         )
@@ -375,9 +389,9 @@ def _by_halves(pieces: DataFrame, span: int) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame, cutter: Cutter, bits: int = SKETCH_BITS, most: int = MOST) -> DataFrame:
-    """text_a, text_b, spans: the byte ranges that repeated windows cover in each named text that has any."""
+    """text_a, text_b, spans: the ranges (in symbols) that repeated windows cover in each named text that has any."""
     spark = texts.sparkSession
-    long_texts = texts.where(F.octet_length("text") >= cutter.length)
+    long_texts = texts.where(F.octet_length("text") >= cutter.length * cutter.unit)
     table = spark.sparkContext.broadcast(repeated_cells(long_texts, cutter, bits))
     rows = stored(pieces_of(long_texts, table, cutter, bits))
     kinds = ["core", "piece", "low", "high"]
@@ -386,15 +400,15 @@ def repeated_spans(texts: DataFrame, cutter: Cutter, bits: int = SKETCH_BITS, mo
     distinct = stored(rows.join(cores, "core").groupBy(*kinds, "edges", "kinds").agg(F.sum(F.size("bases")).alias("times")))
     certain = distinct.where("times > 1").select("core", "piece", "low", "high")
     several = distinct.where("kinds > 1")
-    some = _by_suffixes(several.where(F.col("kinds") <= most), cutter.span)
+    some = _by_suffixes(several.where(F.col("kinds") <= most), cutter.span, cutter.unit)
     ranges = certain.unionByName(some)
     wide = several.where(F.col("kinds") > most)
     if wide.limit(1).count():
-        ranges = ranges.unionByName(_by_halves(wide, cutter.span))
+        ranges = ranges.unionByName(_by_halves(wide, cutter.span, cutter.unit))
     ranges = stored(ranges.distinct())
     places = rows.select("text_a", "text_b", "core", "piece", "bases").join(ranges, ["core", "piece"]).withColumn("base", F.explode("bases"))
     spans = places.select("text_a", "text_b", (F.col("base") - F.col("high")).alias("start"), (F.col("base") - F.col("low") + cutter.length).alias("stop"))
-    copies = long_texts.groupBy("text_a", "text_b").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("stop")).where("n > 1")
+    copies = long_texts.groupBy("text_a", "text_b").agg(F.count(F.lit(1)).alias("n"), F.max(F.floor(F.octet_length("text") / cutter.unit)).alias("stop")).where("n > 1")
     spans = spans.unionByName(copies.select("text_a", "text_b", F.lit(0).cast("long").alias("start"), F.col("stop").cast("long").alias("stop")))
     return spans.groupBy("text_a", "text_b").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
@@ -410,24 +424,32 @@ def merge_spans(spans) -> list[tuple[int, int]]:
 
 
 def passage_spans(texts: DataFrame, words: int, bits: int = SKETCH_BITS, most: int = MOST) -> DataFrame:
-    """text_a, text_b, spans: ranges of codes (CODE bytes a word) that repeated passages of more than ``words`` words cover."""
-    length = (words + 1) * CODE
-    return repeated_spans(coded_texts(texts, words), Cutter(length, length // 4, min(SPAN, length // 4)), bits, most)
+    """text_a, text_b, spans: ranges of words that repeated passages of more than ``words`` words cover."""
+    length = words + 1
+    return repeated_spans(coded_texts(texts, words), Cutter(length, max(1, length // 3), max(1, length // 4), CODE), bits, most)
 
 
-def with_spans(docs: DataFrame, cutter: Cutter | None = None, bits: int = SKETCH_BITS, most: int = MOST, spans: str = "spans", words: int | None = None, passages: str = "passages") -> DataFrame:
+def _found(docs: DataFrame, cutter: Cutter | None, bits: int, most: int, words: int | None) -> DataFrame:
+    """``docs`` hidden, its text, spans and passages (null where there are none)."""
+    texts = named_texts(docs.select("text"))
+    names = ["text_a", "text_b"]
+    found = stored(repeated_spans(texts, cutter or Cutter(), bits, most)).toDF(*names, "spans")
+    if words is None:
+        found = found.withColumn("passages", F.lit(None).cast("array<struct<start:bigint,stop:bigint>>"))
+    else:
+        found = found.join(stored(passage_spans(texts, words, bits, most)).toDF(*names, "passages"), names, "full")
+    body = F.coalesce(F.col("text"), F.lit(""))
+    named = hidden(docs, "text").withColumn("text_a", F.xxhash64(body)).withColumn("text_b", F.hash(body))
+    return named.join(found, names, "left").select("doc", "text", "spans", "passages")
+
+
+def with_spans(docs: DataFrame, cutter: Cutter | None = None, bits: int = SKETCH_BITS, most: int = MOST, words: int | None = None) -> DataFrame:
     """``docs`` with ``spans`` (array of start, stop in bytes; null where nothing repeats).
 
-    With ``words`` also ``passages``, the spans of passages of more words, in codes.
+    With ``words`` also ``passages``, the spans of passages of more words, in words.
     """
-    texts = named_texts(docs.select("text"))
-    found = stored(repeated_spans(texts, cutter or Cutter(), bits, most)).toDF("_text_a", "_text_b", spans)
-    if words is not None:
-        more = stored(passage_spans(texts, words, bits, most)).toDF("_text_a", "_text_b", passages)
-        found = found.join(more, ["_text_a", "_text_b"], "full")
-    body = F.coalesce(F.col("text"), F.lit(""))
-    named = docs.withColumn("_text_a", F.xxhash64(body)).withColumn("_text_b", F.hash(body))
-    return named.join(found, ["_text_a", "_text_b"], "left").drop("_text_a", "_text_b")
+    made = ("spans",) if words is None else ("spans", "passages")
+    return _found(docs, cutter, bits, most, words).select(*shown(docs.columns, "text", without=made), *made)
 
 
 def kept_bytes(text: bytes, spans) -> tuple[bytes, list[tuple[int, int]]]:
@@ -439,22 +461,30 @@ def kept_bytes(text: bytes, spans) -> tuple[bytes, list[tuple[int, int]]]:
     return b"".join([*kept, text[at:]]), merged
 
 
-def repeat_digests(docs: DataFrame, **options) -> DataFrame:
-    """``documents`` -> doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def repeat_digests(docs: DataFrame, words: int | None = None, cutter: Cutter | None = None, bits: int = SKETCH_BITS, most: int = MOST) -> DataFrame:
+    """``documents`` -> doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    With ``words`` also ``n_passage_words``, the words of the text that repeated
+    passages of more than so many words cover; these are reported, not removed.
+    """
+    made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"]
 
     def run(batches):
         for batch in batches:
             rows = []
-            for text, spans in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                kept, merged = kept_bytes(text, spans)
-                rows.append((len(text), len(text) - len(kept), len(merged), hashlib.sha256(kept).hexdigest()))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            for a, texts in text_slices(batch.column(1), CHUNK):
+                spans, passages = (batch.column(i).slice(a, len(texts)).to_pylist() for i in (2, 3))
+                for text, own, long in zip(texts, spans, passages, strict=True):
+                    kept, merged = kept_bytes(text, own)
+                    rows.append((len(text), len(text) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), sum(b - a for a, b in merge_spans(long))))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", *made])
 
-    found = with_spans(docs.select("doc_id", "text"), **options).select("doc_id", "text", "spans")
-    out = T.StructType([docs.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
-    return found.mapInArrow(run, out)
+    found = _found(docs.select("doc_id", "text"), cutter, bits, most, words).select(F.col("doc.doc_id").alias("doc_id"), "text", "spans", "passages")
+    out = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long")])
+    digests = found.mapInArrow(run, out)
+    return digests if words is not None else digests.drop("n_passage_words")
 
 
 def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -471,14 +501,9 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
 
 
 def whole_words(text: bytes, spans: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
-    """Spans of codes as spans of bytes, from the start of a word to the end of one."""
+    """Spans of words as spans of bytes, from the start of a word to the end of one."""
     at = [m.span() for m in _WORD.finditer(text)]
-    out = []
-    for a, b in spans:
-        first, stop = -(-a // CODE), b // CODE
-        if stop - first > words:
-            out.append((at[first][0], at[stop - 1][1]))
-    return out
+    return [(at[first][0], at[stop - 1][1]) for first, stop in spans if stop - first > words]
 
 
 def remove_repeats(docs: DataFrame, words: int | None = None, **options) -> DataFrame:
@@ -492,22 +517,21 @@ def remove_repeats(docs: DataFrame, words: int | None = None, **options) -> Data
     def cut(text, spans, passages):
         if text is None or not (spans or passages):
             return text
-        raw = text.encode()
+        raw = text.encode()  # one text at a time
         whole = whole_characters(raw, merge_spans(spans))
         if passages:
             whole += whole_words(raw, merge_spans(passages), words)
         return kept_bytes(raw, [{"start": a, "stop": b} for a, b in whole])[0].decode()
 
-    added = ["_repeated"] if words is None else ["_repeated", "_passages"]
+    schema = T.StructType([docs.schema["text"]])
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            by = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in added]
-            by += [[None] * len(batch)] * (2 - len(by))
-            made = [cut(*x) for x in zip(batch.column(at).to_pylist(), *by, strict=True)]
-            columns = [pa.array(made, pa.string()) if i == at else c for i, c in enumerate(batch.columns) if batch.schema.names[i] not in added]
-            yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n not in added])
-
-    found = with_spans(docs, spans="_repeated", words=words, passages="_passages", **options)
-    return found.select(*docs.columns, *added).mapInArrow(run, docs.schema)
+            made = []
+            for a, texts in text_slices(batch.column(1), CHUNK):
+                own = [batch.column(i).slice(a, len(texts)).to_pylist() for i in (1, 2, 3)]
+                made += [cut(*x) for x in zip(*own, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["doc", schema.names[0]])
+
+    found = _found(docs, options.get("cutter"), options.get("bits", SKETCH_BITS), options.get("most", MOST), words)
+    return found.mapInArrow(run, T.StructType([found.schema["doc"], *schema])).select(*shown(docs.columns, "text"))

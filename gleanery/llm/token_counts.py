@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import hidden, shared_dir, shown, stored
 from .vocabulary import load
 
 CACHE_SCHEMA = "version string, content binary, n_bytes long, n_tokens long"
@@ -95,8 +95,9 @@ def count_tokens(df: DataFrame, path: str, cache: str, text: str = "text") -> Da
     are reduced to one row per map task before that.
     """
     spark, version = df.sparkSession, tokenizer_version(path)
-    body = F.coalesce(F.col(text), F.lit(""))
-    keyed = df.withColumn("content", F.unhex(F.sha2(body, 256)))
+    columns = [c for c in df.columns if c != text]
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    keyed = hidden(df, text).withColumn("content", F.unhex(F.sha2(body, 256)))
     known = read_cache(spark, cache, version).select("content").distinct()
     placed = keyed.select("content", body.alias("body"), F.octet_length(body).cast("long").alias("n_bytes"))
     first = placed.dropDuplicates(["content"])
@@ -105,7 +106,7 @@ def count_tokens(df: DataFrame, path: str, cache: str, text: str = "text") -> Da
     added.write.mode("append").parquet(cache)
     # Written out, so that the last join has no aggregate above its shuffle and a hot content can be split.
     counts = stored(read_cache(spark, cache, version).groupBy("content").agg(F.max("n_bytes").alias("n_bytes"), F.max("n_tokens").alias("n_tokens")))
-    return keyed.drop(text).join(counts, "content", "left").drop("content")
+    return keyed.select("doc", "content").join(counts, "content", "left").select(*shown(columns, without=("n_bytes", "n_tokens")), "n_bytes", "n_tokens")
 
 
 def new_cache(spark: SparkSession) -> str:

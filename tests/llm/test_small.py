@@ -137,7 +137,9 @@ def test_wu_manber():
         text = [rng.choice(words) for _ in range(rng.randint(0, 60))]
         if rng.random() < 0.5:
             text[3:3] = items[0][1].split()
-        spans, found = decontaminate.Index(items, 4).search(text)
+        many = [b"", b" ".join(text), b"w1 " * 700]
+        n, spans, found = decontaminate.Index(items, 4).search(many)[1]
+        assert n == len(text)
         hit, named = set(), set()
         for name, t in items:
             w = t.split()
@@ -147,10 +149,20 @@ def test_wu_manber():
                     if text[j : j + n] == w[i : i + n]:
                         hit |= set(range(j, j + n))
                         named.add(name)
-        assert {p for a, b in spans for p in range(a, b)} == hit and found == named
+        assert {p for a, b in spans for p in range(a, b)} == hit and set(found) == named
     assert decontaminate.words_of("Aé_b 3\tÀ".encode()) == ["aé".encode(), b"b", b"3", "À".encode()]
 
 
+def test_index_is_small():
+    rng = random.Random(15)
+    items = [(str(i), " ".join(rng.choice("abcdefgh") * rng.randint(1, 4) + str(rng.randint(0, 9999)) for _ in range(60)).encode()) for i in range(10_000)]
+    size = sum(len(t) for _, t in items)
+    index = decontaminate.Index(items)
+    assert size > 4_000_000 and index.nbytes < 5 * size
+    [(n, spans, found)] = index.search([b"x y " + items[77][1] + b" z"])
+    assert n == 63 and spans == [(2, 62)] and "77" in found
+
+
 @pytest.mark.parametrize("role", ["user", "assistant", "", "a\nb", "<|im_start|>", "<\\n<\n", "x<\\\\|"])
 def test_chat_round_trip(role):
     for text in ["", "plain", chat.PROBE, "<|", "<\\|", "<\\\\|x", "a<|im_end|>\n<|im_start|>user\nb", "<<|>\n", "\\<|\\"]:
