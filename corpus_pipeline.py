@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import bpe, decontaminate, jaccard, quality, repeats
-from gleanery.llm.common import stored
+from gleanery.llm.common import hidden, shown, stored
 from gleanery.llm.vocabulary import default_path
 
 PASSAGE_WORDS = 50
@@ -15,8 +15,8 @@ PASSAGE_WORDS = 50
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is at least quality.ACCEPT go on."""
     model = quality.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score_column(docs.select(F.struct(*docs.columns).alias("doc"), "text"), model)
-    return scored.where(F.col("score") >= quality.ACCEPT).select("doc.*")
+    scored = quality.score_column(hidden(docs, "text"), model)
+    return scored.where(F.col("score") >= quality.ACCEPT).select(*shown(docs.columns, "text"))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +32,8 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window are left out."""
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text")
-    found = decontaminate.search_items(whole, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("spans") == 0).select("doc.*")
+    found = decontaminate.search_items(hidden(docs, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.size("spans") == 0).select(*shown(docs.columns, "text"))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
