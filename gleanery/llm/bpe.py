@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import adder
+from .common import adder, bounded_batches
 from .vocabulary import load
 
-CACHE_PIECES = 1_000_000  # encoded pieces that a worker remembers; then it starts anew
+CACHE_PIECES = 200_000  # encoded pieces that a worker remembers; then it starts anew
 CACHE_CHARS = 48
 
 # The split pattern in the standard library's dialect, equal for the characters
@@ -201,5 +201,6 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 text_sha.append(sha(c.decode(ids).encode()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bounded_batches(docs.sparkSession)
     out = [docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType(out))

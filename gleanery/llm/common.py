@@ -37,6 +37,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+ARROW_BYTES = 4 << 20
+_ARROW_DEFAULT = {"67108864b", "64MB", "64m"}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ARROW_BYTES where the session has Spark's default of 64 MB.
+
+    Texts are long: batches of the default size, copied between the JVM and
+    Python, take several hundred MB of each executor outside its heap.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") in _ARROW_DEFAULT:
+        spark.conf.set(key, f"{ARROW_BYTES}b")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
@@ -47,6 +62,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 def adder(df: DataFrame, fields: list[T.StructField]):
     """(schema, build): ``df`` with ``fields`` added, and what makes such a batch of one of ``df`` and the new arrays."""
+    bounded_batches(df.sparkSession)
     own = {f.name.lower() for f in fields}
     keep = [i for i, f in enumerate(df.schema) if f.name.lower() not in own]
     schema = T.StructType([*(df.schema[i] for i in keep), *fields])
@@ -59,6 +75,7 @@ def adder(df: DataFrame, fields: list[T.StructField]):
 
 def hidden(df: DataFrame, *apart: str) -> DataFrame:
     """``df`` with all columns but ``apart`` in one struct ``doc``, so that no other name can clash."""
+    bounded_batches(df.sparkSession)
     rest = [F.col(f"`{c}`") for c in df.columns if c not in apart]
     spare = "_" * (1 + max(map(len, df.columns)))  # a struct needs a field
     return df.select(F.struct(*rest, F.lit(0).alias(spare)).alias("doc"), *(F.col(f"`{c}`") for c in apart))

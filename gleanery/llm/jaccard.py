@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, row_key, stored, text_slices
+from .common import bounded_batches, mix64, row_key, stored, text_slices
 from .components import components
 from .shingles import WORDS, shingle_sets
 
@@ -497,6 +497,7 @@ def links_in_cells(members: DataFrame, threshold: int = THRESHOLD, cell: int = C
 
 def similarity_rows(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, **options) -> tuple[DataFrame, DataFrame]:
     """(doc_id, row_a, row_b, n, class of every row; class, root of the classes that have links)."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = max(8, -(-size // PART_BYTES))

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hidden, merged_parts, mix64, shown, stored, text_bytes, text_slices
+from .common import bounded_batches, hidden, merged_parts, mix64, shown, stored, text_bytes, text_slices
 from .shingles import CASED, _tables, word_hashes
 from .suffixes import suffix_array
 
@@ -391,6 +391,7 @@ def _by_halves(pieces: DataFrame, span: int, unit: int) -> DataFrame:
 def repeated_spans(texts: DataFrame, cutter: Cutter, bits: int = SKETCH_BITS, most: int = MOST) -> DataFrame:
     """text_a, text_b, spans: the ranges (in symbols) that repeated windows cover in each named text that has any."""
     spark = texts.sparkSession
+    bounded_batches(spark)
     long_texts = texts.where(F.octet_length("text") >= cutter.length * cutter.unit)
     table = spark.sparkContext.broadcast(repeated_cells(long_texts, cutter, bits))
     rows = stored(pieces_of(long_texts, table, cutter, bits))
