@@ -48,7 +48,7 @@ def bounded_batches(spark: SparkSession) -> None:
     Python, take several hundred MB of each executor outside its heap.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") in _ARROW_DEFAULT:
+    if spark.conf.get(key, "64MB") in _ARROW_DEFAULT:
         spark.conf.set(key, f"{ARROW_BYTES}b")
 
 
