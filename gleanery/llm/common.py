@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -52,12 +53,49 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{ARROW_BYTES}b")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder and read it back; ``keep``: also beyond ``scratch``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/gleanery-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not keep:
+        for held in _scopes:
+            held.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+_scopes: list[list[str]] = []
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``stored`` wrote for these tables; nothing may read them any more."""
+    for t in tables:
+        _, path = _paths.pop(id(t))
+        _delete(t.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete, at the end, all that ``stored`` has written inside (results must be written elsewhere by then)."""
+    held: list[str] = []
+    _scopes.append(held)
+    try:
+        yield
+    finally:
+        _scopes.remove(held)
+        for path in held:
+            _delete(spark, path)
+        gone = set(held)
+        for k in [k for k, (_, path) in _paths.items() if path in gone]:
+            del _paths[k]
 
 
 def adder(df: DataFrame, fields: list[T.StructField]):

@@ -20,9 +20,10 @@ of the tokens.
    central one, the hub.  A class x that the hub c does not link can only link
    to a y of the cell with |x & y| >= k = ceil(t' (|x| + |y|)), and at most
    |x & c| of these tokens lie in c: so y shares one of the first
-   |x - c| - (k - |x & c|) + 1 tokens of x outside c.  Lists of such tokens make
-   smaller cells, round after round; what is still large after ``ROUNDS`` is
-   compared in blocks.
+   |x - c| - (k - |x & c|) + 1 tokens of x outside c.  Short lists of such tokens
+   give pairs to verify, long ones make smaller cells for another round.  The few
+   x with |x & c| >= k, and what is still large after ``ROUNDS``, are compared in
+   blocks.
 4. Components of the found links, with the smallest doc_id of each.
 
 Nothing is capped: all prefix tokens and all pairs that could still link are
@@ -47,7 +48,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, mix64, row_key, stored, text_slices
+from .common import bounded_batches, discard, mix64, row_key, stored, text_slices
 from .components import components
 from .shingles import WORDS, shingle_sets
 
@@ -60,6 +61,7 @@ PART_BYTES = 8_000_000  # of text whose tokens make a part
 CELL = 256  # classes in a cell that one task compares
 CELL_TOKENS = 1_000_000
 ROUNDS = 8
+LIST = 64  # members of a list whose pairs are verified one by one
 SEEN = 200_000  # classes a task remembers; a forgotten one is merely sent again
 
 _LOW = np.uint64((1 << TOKEN_BITS) - 1)
@@ -333,7 +335,9 @@ def joined_by_lists(lists: DataFrame) -> DataFrame:
     met = stored(lists.join(hubs, keys).select("class", "hub").distinct())
     least = met.groupBy("class").agg(F.min("hub").alias("least"))
     ties = met.join(least, "class").select(F.explode(F.array(F.struct(F.col("class").alias("a"), F.col("least").alias("b")), F.struct(F.col("hub").alias("a"), F.col("least").alias("b")))).alias("t"))
-    return components(ties.select("t.a", "t.b").where("a <> b").distinct()).select(F.col("node").alias("class"), F.col("root").alias("cell"))
+    found = components(ties.select("t.a", "t.b")).select(F.col("node").alias("class"), F.col("root").alias("cell"))
+    discard(met)
+    return found
 
 
 def _incidence(sets: list[np.ndarray], common: np.ndarray, low: int, width: int) -> np.ndarray:
@@ -424,7 +428,7 @@ def _around_hubs(members: DataFrame, threshold: int) -> DataFrame:
     """class, cell, hub, linked, loose, asked, known of every class but the hubs (see the module's step 3).
 
     ``asked`` are the tokens outside the hub by which an unlinked class finds its
-    partners, ``known`` all of them; ``loose`` classes may have partners without.
+    partners, ``known`` all of them; ``loose`` classes may have partners without any.
     """
     hubs = members.groupBy("cell").agg(F.max_by(F.struct("class", "n", "tokens"), F.struct("weight", "class")).alias("hub"), F.min("n").alias("least"))
     pairs = members.join(hubs, "cell").where(F.col("class") != F.col("hub.class"))
@@ -451,16 +455,22 @@ def _around_hubs(members: DataFrame, threshold: int) -> DataFrame:
     return pairs.mapInArrow(run, "class long, cell long, hub long, linked boolean, loose boolean, asked array<long>, known array<long>")
 
 
-def _block_pairs(members: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
-    """a, b: links inside cells of any size, block against block."""
-    many = F.ceil(F.greatest(F.col("m") / (CELL // 2), F.col("t") * 2 / CELL_TOKENS)).cast("int")
-    placed = members.join(sizes.select("cell", many.alias("blocks")), "cell").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = placed.select("cell", "own", other, "class", "n", "tokens", "levels").select("cell", F.least("own", "other").alias("k"), F.greatest("own", "other").alias("j"), "own", "class", "n", "tokens", "levels")
+def _block_pairs(members: DataFrame, asking: DataFrame, threshold: int) -> DataFrame:
+    """a, b: links between the classes of ``asking`` (cell, class) and all of their cells, block against block."""
+    sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.sum(F.length("levels")).alias("t"))
+    asked = asking.groupBy("cell").agg(F.count(F.lit(1)).alias("r"))
+    half = CELL // 2
+    many = F.ceil(F.greatest(F.col("m") / half, F.col("t") * 2 / CELL_TOKENS)).cast("int")
+    blocks = stored(sizes.join(asked, "cell").select("cell", many.alias("nk"), F.ceil(F.col("r") * many / F.col("m")).cast("int").alias("nr")))
+    columns = ["cell", "k", "j", "asks", "class", "n", "tokens", "levels"]
+    own, ask = F.pmod(F.xxhash64("class"), F.col("nk")).cast("int"), F.pmod(F.xxhash64("class", F.lit(1)), F.col("nr")).cast("int")
+    placed = members.join(blocks, "cell")
+    known = placed.withColumns({"k": own, "asks": F.lit(False)}).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)))
+    left = placed.join(asking, ["cell", "class"]).withColumns({"j": ask, "asks": F.lit(True)}).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nk") - 1)))
+    spread = known.select(*columns).unionByName(left.select(*columns))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, j = int(pdf["k"].iloc[0]), int(pdf["j"].iloc[0])
-        sides = [pdf[pdf["own"] == x] for x in (k, j)]
+        sides = [pdf[pdf["asks"]], pdf[~pdf["asks"]]]
         out = []
         if all(len(s) for s in sides):
             sets = [[(n, *_read(t, v)) for n, t, v in zip(s["n"], s["tokens"], s["levels"], strict=True)] for s in sides]
@@ -470,29 +480,54 @@ def _block_pairs(members: DataFrame, sizes: DataFrame, threshold: int) -> DataFr
     return spread.groupBy("cell", "k", "j").applyInPandas(compare, "a long, b long")
 
 
-def links_in_cells(members: DataFrame, threshold: int = THRESHOLD, cell: int = CELL, cell_tokens: int = CELL_TOKENS, rounds: int = ROUNDS) -> DataFrame:
+def _verified(pairs: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that link: both orders' prefix filters and the exact comparison."""
+    side = lambda c: members.select(F.col("class").alias(c), F.struct("n", "tokens", "levels").alias(f"set_{c}"))
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
+                one, two = ((v["n"], *_read(v["tokens"], v["levels"])) for v in (x, y))
+                keep.append(bool(block_links([one], [two], threshold)[0, 0]))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+
+
+def links_in_cells(members: DataFrame, threshold: int = THRESHOLD, cell: int = CELL, cell_tokens: int = CELL_TOKENS, rounds: int = ROUNDS, short: int = LIST) -> DataFrame:
     """a, b: links that join all similar classes of ``members`` (cell, class, n, tokens, levels, weight)."""
-    found = None
+    found: list[DataFrame] = []
     for turn in range(rounds + 1):
         sizes = stored(members.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.sum(F.length("levels")).alias("t")).where("m > 1"))
         small = (F.col("m") <= cell) & (F.col("t") <= cell_tokens)
-        links = _cell_links(members.join(sizes.where(small).select("cell"), "cell"), threshold)
-        large = sizes.where(~small)
-        if not large.limit(1).count():
-            return links if found is None else found.unionByName(links)
-        members = stored(members.join(large.select("cell"), "cell"))
+        found.append(stored(_cell_links(members.join(sizes.where(small).select("cell"), "cell"), threshold)))
+        if not sizes.where(~small).limit(1).count():
+            break
+        large = stored(members.join(sizes.where(~small).select("cell"), "cell"))
         if turn == rounds:
-            return found.unionByName(links).unionByName(_block_pairs(members, large, threshold)) if found is not None else links.unionByName(_block_pairs(members, large, threshold))
-        star = stored(_around_hubs(members, threshold))
-        links = stored(links.unionByName(star.where("linked").select(F.col("class").alias("a"), F.col("hub").alias("b"))))
-        found = links if found is None else found.unionByName(links)
-        asked = star.select(F.col("cell").alias("within"), F.explode("asked").alias("token")).distinct()
-        lists = star.select(F.col("cell").alias("within"), F.explode("known").alias("token"), "class").join(asked, ["within", "token"]).select("within", "token", "class")
-        loose = star.where("loose").select("cell").distinct()
-        lists = lists.unionByName(star.join(loose, "cell").select(F.col("cell").alias("within"), F.lit(-1).cast("long").alias("token"), "class"))
-        cells = joined_by_lists(lists)
-        members = stored(members.drop("cell").join(cells, "class"))
-    raise AssertionError("the last round returns")
+            found.append(stored(_block_pairs(large, large.select("cell", "class"), threshold)))
+            break
+        star = stored(_around_hubs(large, threshold))
+        found.append(star.where("linked").select(F.col("class").alias("a"), F.col("hub").alias("b")))
+        if star.where("loose").limit(1).count():
+            found.append(stored(_block_pairs(large, star.where("loose").select("cell", "class"), threshold)))
+        keys = ["within", "token"]
+        asked = star.select(F.col("cell").alias("within"), F.explode("asked").alias("token"), "class")
+        known = star.select(F.col("cell").alias("within"), F.explode("known").alias("token"), "class")
+        lists = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).join(asked.select(*keys).distinct(), keys).where("size > 1")
+        lists = stored(lists)
+        few = lists.where(F.col("size") <= short).select(*keys)
+        pairs = asked.join(few, keys).withColumnRenamed("class", "a").join(known.withColumnRenamed("class", "b"), keys).where("a <> b")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found.append(stored(_verified(pairs, large.select("class", "n", "tokens", "levels"), threshold)))
+        cells = joined_by_lists(known.join(lists.where(F.col("size") > short).select(*keys), keys).select(*keys, "class"))
+        members = stored(large.drop("cell").join(cells, "class"))
+        discard(large, sizes, lists)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def similarity_rows(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, **options) -> tuple[DataFrame, DataFrame]:
