@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import bpe, decontaminate, jaccard, quality, repeats
-from gleanery.llm.common import hidden, shown, stored
+from gleanery.llm.common import discard, hidden, scratch, shown, stored
 from gleanery.llm.vocabulary import default_path
 
 PASSAGE_WORDS = 50
@@ -56,8 +56,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stored(docs)
-    return docs
+    before = None
+    for _, stage in STAGES[:-1]:
+        with scratch(spark):  # what the stage wrote goes when its result is written
+            docs = stored(stage(spark, docs, sf_dir), keep=True)
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
