@@ -3,6 +3,8 @@
 Fixed values of the ranking: K1, B and EPSILON (a negative idf becomes EPSILON
 times the mean idf).  N and the average length cover all documents, also those
 without tokens.
+
+``build_index`` reads and tokenises the corpus once; retrieval works on its tables.
 """
 
 from __future__ import annotations
@@ -11,10 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import indexed_text, tokens
+from ..sources.tables import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 9  # scores are ranked and returned so rounded: sums in any order then tie alike
-SMALL_QUERIES = 200_000  # query terms up to which they are broadcast
+SMALL_QUERIES = 200_000  # query terms, or retrieved rows, up to which they are broadcast
 
 
 def document_terms(corpus: DataFrame) -> DataFrame:
@@ -50,25 +53,43 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return rows.groupBy("id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+class Index:
+    """terms (doc_ord, term, tf, length), frequency (term, df, total) and size (one row: n, avgdl)."""
+
+    def __init__(self, terms: DataFrame, frequency: DataFrame, size: DataFrame):
+        self.terms, self.frequency, self.size = terms, frequency, size
+
+
+def build_index(corpus: DataFrame) -> Index:
+    """Write the term table and the document frequencies; the corpus is tokenised once."""
+    terms = written(document_terms(corpus))
+    frequency = written(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")))
+    size = corpus.agg(F.count(F.lit(1)).alias("n")).crossJoin(frequency.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("words")))
+    return Index(terms, frequency, written(size.select("n", (F.col("words") / F.col("n")).alias("avgdl"))))
+
+
+def scores(queries: DataFrame, index: Index) -> DataFrame:
     """id, doc_ord, score of all documents that share a term with the query.
 
-    Postings are cut to the queries' terms before their statistics are joined.
-    The query side is broadcast only when it is counted small; else both sides
-    shuffle by term, where adaptive execution splits hot terms.
+    Only the queries' terms get statistics (the mean idf needs one pass over the
+    document frequencies), and the term table is cut to them first.  The query
+    side is broadcast only when it is counted small; else both sides shuffle by
+    term, where adaptive execution splits hot terms.
     """
-    terms, size = document_terms(corpus), corpus_size(corpus)
     asked = query_terms(queries)
     few = queries.agg(F.coalesce(F.sum(F.size(tokens(F.col("query")))), F.lit(0)).alias("n")).first()["n"] <= SMALL_QUERIES
     hint = F.broadcast if few else lambda x: x
-    stats = term_stats(terms, size).join(hint(asked.select("term").distinct()), "term", "left_semi")
-    wanted = terms.join(hint(stats.select("term", "idf")), "term").crossJoin(F.broadcast(size.select("avgdl")))
+    size = F.broadcast(index.size)
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    mean = F.broadcast(index.frequency.crossJoin(size).agg(F.avg(raw).alias("mean")))
+    own = index.frequency.join(hint(asked.select("term").distinct()), "term", "left_semi").crossJoin(size).crossJoin(mean)
+    stats = own.select("term", "avgdl", F.when(raw < 0, EPSILON * F.col("mean")).otherwise(raw).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    hits = wanted.select("term", "doc_ord", part.alias("part")).join(hint(asked), "term")
-    return hits.groupBy("id", "doc_ord").agg(F.round(F.sum(F.col("times") * F.col("part")), DIGITS).alias("score"))
+    hits = index.terms.join(hint(asked.join(stats, "term")), "term")
+    return hits.groupBy("id", "doc_ord").agg(F.round(F.sum(F.col("times") * part), DIGITS).alias("score"))
 
 
-def retrieve(queries: DataFrame, corpus: DataFrame, top_n: int) -> DataFrame:
+def retrieve(queries: DataFrame, corpus: DataFrame, top_n: int, index: Index | None = None) -> DataFrame:
     """id, rank, doc_ord, score: the top ``top_n`` documents, ties in corpus order.
 
     Queries with fewer matches are filled up with documents of score 0 in corpus
@@ -79,7 +100,7 @@ def retrieve(queries: DataFrame, corpus: DataFrame, top_n: int) -> DataFrame:
     """
     if top_n <= 0:
         raise ValueError("top_n must be positive")
-    matched = scores(queries, corpus)
+    matched = written(scores(queries, index or build_index(corpus)))
     best = Window.partitionBy("id").orderBy(F.col("score").desc(), "doc_ord")
     top = matched.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n)
     found = matched.groupBy("id").agg(F.count(F.lit(1)).alias("matches"), F.min("score").alias("least"), F.count_if(F.col("score") > 0).alias("above"))
@@ -88,17 +109,26 @@ def retrieve(queries: DataFrame, corpus: DataFrame, top_n: int) -> DataFrame:
     if reach is None:
         return top.select("id", "rank", "doc_ord", "score")
     first = corpus.select("doc_ord").orderBy("doc_ord").limit(int(reach))
-    padding = short.select("id").crossJoin(F.broadcast(first)).join(matched.select("id", "doc_ord"), ["id", "doc_ord"], "left_anti").withColumn("score", F.lit(0.0))
+    if reach <= SMALL_QUERIES:  # else, with negative scores only, its size has no such bound
+        first = F.broadcast(first)
+    padding = short.select("id").crossJoin(first).join(matched.select("id", "doc_ord"), ["id", "doc_ord"], "left_anti").withColumn("score", F.lit(0.0))
     filled = top.select("id", "doc_ord", "score").unionByName(padding).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n)
     return filled.select("id", "rank", "doc_ord", "score")
 
 
+def with_documents(top: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``top`` joined to its documents."""
+    top = written(top)
+    return corpus.join(F.broadcast(top) if top.count() <= SMALL_QUERIES else top, "doc_ord")
+
+
 def nest_candidates(top: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """One row a query: id, query, label, split, candidates in rank order.
 
-    ``corpus`` has doc_ord, doc_id, title, text; text joins only the top rows.
+    ``corpus`` has doc_ord, doc_id, title, text.  Where the top rows are counted
+    few they are broadcast, so that no text of another document is shuffled.
     """
-    rows = top.join(corpus.select("doc_ord", "doc_id", "title", "text"), "doc_ord")
+    rows = with_documents(top, corpus.select("doc_ord", "doc_id", "title", "text"))
     items = F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score", "title", "text")))
     nested = rows.groupBy("id").agg(F.transform(items, lambda c: F.struct(c["doc_id"].alias("doc_id"), c["rank"].alias("rank"), c["score"].alias("score"), c["title"].alias("title"), c["text"].alias("text"))).alias("candidates"))
     return queries.select("id", "query", "label", "split").join(nested, "id")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..functions.vectors import cosine, entropy, minus, norm
-from ..sources.jsonl import dense_index
 
 
 def feature_names(labels: list[str]) -> list[str]:
@@ -53,7 +52,7 @@ def states(teacher: DataFrame, posteriors: DataFrame, max_states: int | None = N
     """
     steps = teacher.select("id", F.explode("steps").alias("s")).select("id", F.col("s.step").alias("step"), F.transform("s.current_doc_ids", lambda x: x.cast("string")).alias("current"), F.col("s.best_doc_id").cast("string").alias("best"), F.col("s.candidate_gains").alias("gains"))
     if max_states is not None:
-        steps = dense_index(steps, F.col("id"), ["step"], "n").where(F.col("n") <= max_states).drop("n")
+        steps = steps.orderBy("id", "step").limit(max_states)  # each task keeps its first ones only
     rows = steps.join(posteriors.select("id", "query", "eta0", "candidates", F.lit(True).alias("found")), "id", "left")
     # As a filter, since an unused column would be pruned together with its check.
     there = F.when(F.col("found").isNull(), F.raise_error(F.concat(F.lit("no posterior row for "), F.col("id").cast("string"))).cast("boolean")).otherwise(F.lit(True))
@@ -128,7 +127,7 @@ def listwise_groups(teacher: DataFrame, posteriors: DataFrame, retrieval: DataFr
     """Groups of at least two usable candidates: id, step, query, current_doc_ids, candidates, selected_docs."""
     rows = _group_rows(teacher, posteriors, retrieval, max_candidates).where(F.size("candidates") >= 2)
     if max_groups is not None:
-        rows = dense_index(rows, F.col("id"), ["step"], "n").where(F.col("n") <= max_groups)
+        rows = rows.orderBy("id", "step").limit(max_groups)
     shape = F.transform("candidates", lambda c: F.struct(c["d"]["doc_id"].alias("doc_id"), c["d"]["title"].alias("title"), c["d"]["text"].alias("text"), c["d"]["rank"].alias("rank"), c["d"]["retrieval_score"].alias("retrieval_score"), c["gain"].alias("gain")))
     return rows.select("id", "step", "query", F.col("current").alias("current_doc_ids"), shape.alias("candidates"), "selected_docs")
 

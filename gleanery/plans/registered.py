@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from ..functions import vectors as V
 from ..operators import bm25, claims, evaluate, losses, posterior, selection, setvalue, training
 from ..operators import corpus as pages_
 from ..sources import jsonl
+from ..sources.tables import shared_folder
 from . import views
 from .views import DROP, LABEL_MAP, LABELS, TOP_M, TOP_N, table
 
@@ -123,6 +125,12 @@ def score_posteriors(spark, d):
     return rows.select("id", r6(F.col("eta0")[0]).alias("eta0"), F.posexplode("candidates").alias("place", "c")).select("id", "eta0", "place", F.col("c.doc_id").alias("doc_id"), r6(F.col("c.eta")[0]).alias("eta"))
 
 
+@registered
+def score_all_posteriors(spark, d):
+    rows = posterior.score_posteriors(views.retrieval(spark, d), views.digest_scorer, LABELS, P.VERBALIZERS)
+    return rows.select("id", r6(F.col("eta0")[0]).alias("eta0"), F.posexplode("candidates").alias("place", "c")).select("id", "eta0", "place", F.col("c.doc_id").alias("doc_id"), r6(F.col("c.eta")[0]).alias("eta"))
+
+
 @registered
 def candidate_count(spark, d):
     return posterior.candidate_count(views.posteriors(spark, d, texts=False))
@@ -150,6 +158,30 @@ def prompts(spark, d):
     return rows.select("id", "place", F.char_length("prompt").alias("chars"), F.sha2("prompt", 256).alias("sha"))
 
 
+@registered
+def prompts_all(spark, d):
+    rows = posterior.posterior_prompts(views.retrieval(spark, d), LABELS, P.VERBALIZERS)
+    return rows.select("id", "place", F.char_length("prompt").alias("chars"), F.sha2("prompt", 256).alias("sha"))
+
+
+@registered
+def jsonl_round_trip(spark, d):
+    """Labels written as JSON lines and read back, with keys checked and rows numbered."""
+    path = f"{shared_folder(spark)}/labels-{uuid.uuid4().hex}"
+    jsonl.write_jsonl(table(spark, d, "labels").orderBy("doc_id"), path)
+    rows = jsonl.read_jsonl(spark, path, "doc_id long, quality int, toxic int")
+    return jsonl.require_keys(rows, ["doc_id", "quality", "toxic"], "labels").select("ord", "doc_id", "quality", "toxic")
+
+
+@registered
+def page_shards(spark, d):
+    """Pages written in shards and read back from all files below the folder."""
+    path = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    jsonl.write_pages(views.pages(spark, d), path, 100)
+    rows = jsonl.read_jsonl(spark, path, "id string, text string, lines string", recursive=False)
+    return rows.select("id", "text", F.char_length("lines").alias("chars"), F.sha2("lines", 256).alias("sha"))
+
+
 def _effects(spark, d, **options):
     rows = setvalue.with_effects(views.posteriors(spark, d, texts=False), **options)
     return rows.select("id", "direction", F.explode("candidates").alias("c"))
@@ -334,6 +366,41 @@ def predictions(spark, d):
     return rows.select("id", "gold", "pred", "correct", r6(F.col("probs")[0]).alias("p0"), "num_docs", "evidence_chars", F.array_join("selected_doc_ids", ",").alias("selected"), "method")
 
 
+def _shown(rows):
+    return rows.select("id", "gold", "pred", "correct", r6(F.col("probs")[0]).alias("p0"), "num_docs", "evidence_chars", F.array_join("selected_doc_ids", ",").alias("selected"), "method")
+
+
+def _without_evidence(spark, d):
+    chosen = selection.select_naive(views.retrieval(spark, d), TOP_M)
+    asked = evaluate.evaluation_prompts(chosen, LABELS, P.VERBALIZERS, no_evidence=True)
+    return evaluate.predictions(posterior.score_prompts(asked, views.digest_scorer, LABELS), LABELS, no_evidence=True)
+
+
+@registered
+def no_evidence_predictions(spark, d):
+    return _shown(_without_evidence(spark, d))
+
+
+@registered
+def no_evidence_metrics(spark, d):
+    rows = evaluate.summary(_without_evidence(spark, d))
+    return rows.withColumns({c: r6(c) for c in ("accuracy", "avg_num_docs", "median_num_docs", "avg_evidence_chars")})
+
+
+@registered
+def recovered_predictions(spark, d):
+    """Documents come from ids and candidates, two of each selection."""
+    found = views.retrieval(spark, d)
+    chosen = selection.select_naive(found, TOP_M).drop("selected_docs").join(found.select("id", "candidates"), "id")
+    asked = evaluate.evaluation_prompts(chosen, LABELS, P.VERBALIZERS, max_docs=2)
+    return _shown(evaluate.predictions(posterior.score_prompts(asked, views.digest_scorer, LABELS), LABELS))
+
+
+@registered
+def confusion_of_seen_labels(spark, d):
+    return evaluate.confusion(_predictions(spark, d))
+
+
 @registered
 def metrics_summary(spark, d):
     rows = evaluate.summary(_predictions(spark, d))

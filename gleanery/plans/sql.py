@@ -80,6 +80,14 @@ asked AS (SELECT *, {_prompt('e')} AS prompt FROM blocks),
 probs AS (SELECT *, {_CHANCE.format('prompt')} AS p0 FROM asked),
 preds AS (SELECT id, label AS gold, CASE WHEN p0 >= 1 - p0 THEN 'SUPPORTS' ELSE 'REFUTES' END AS pred, p0, CAST(num_docs AS INT) AS num_docs, CAST(length(e) AS INT) AS evidence_chars, selected FROM probs)"""
 
+_ALONE = f"""{_TOP},
+asked AS (SELECT id, label, {_prompt('CAST(NULL AS VARCHAR)')} AS prompt FROM q),
+probs AS (SELECT *, {_CHANCE.format('prompt')} AS p0 FROM asked),
+preds AS (SELECT id, label AS gold, CASE WHEN p0 >= 1 - p0 THEN 'SUPPORTS' ELSE 'REFUTES' END AS pred, p0 FROM probs)"""
+
+_SCORED = f"""WITH {_TOP}, base AS (SELECT id, {_CHANCE.format(_prompt('CAST(NULL AS VARCHAR)'))} AS eta0 FROM q)
+SELECT id, round(eta0, 6) AS eta0, CAST(rank - 1 AS INT) AS place, CAST(doc_id AS VARCHAR) AS doc_id, round({_CHANCE.format(_prompt('documents.text'))}, 6) AS eta FROM top JOIN documents USING (doc_id) JOIN q USING (id) JOIN base USING (id)"""
+
 _LINES = rf"""
 pages AS (SELECT doc_id, source, string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS parts FROM documents WHERE coalesce(source, '') <> '' AND {_TRIM("coalesce(text, '')")} <> ''),
 cut AS (SELECT doc_id, source, CASE WHEN parts[len(parts)] = '' THEN parts[1:len(parts) - 1] ELSE parts END AS parts FROM pages),
@@ -139,8 +147,16 @@ SELECT count(*) AS pages, CAST(sum(ok) AS BIGINT) AS passages, CAST(sum(short +
     "posterior_from_logits": f"""WITH z AS (SELECT vec_id, list_transform([embedding[1:3], embedding[4:6], embedding[7:9]], lambda g: ln(list_sum(list_transform(g, lambda v: exp(v::DOUBLE))))) AS l FROM embeddings),
 e AS (SELECT vec_id, exp(l[1]) AS a, exp(l[2]) AS b, exp(l[3]) AS c FROM z), p AS (SELECT vec_id, a / (a + b + c) AS p0, b / (a + b + c) AS p1, c / (a + b + c) AS p2 FROM e)
 SELECT vec_id, round(p0, 6) AS p0, round(p1, 6) AS p1, round(p2, 6) AS p2, true AS valid, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 'a' WHEN p1 >= p2 THEN 'b' ELSE 'c' END AS best, round(-(p0 * ln(p0) + p1 * ln(p1) + p2 * ln(p2)), 6) AS entropy FROM p""",
-    "score_posteriors": f"""WITH {_TOP}, base AS (SELECT id, {_CHANCE.format(_prompt('CAST(NULL AS VARCHAR)'))} AS eta0 FROM q)
-SELECT id, round(eta0, 6) AS eta0, CAST(rank - 1 AS INT) AS place, CAST(doc_id AS VARCHAR) AS doc_id, round({_CHANCE.format(_prompt('documents.text'))}, 6) AS eta FROM top JOIN documents USING (doc_id) JOIN q USING (id) JOIN base USING (id) WHERE rank <= 5""",
+    "score_posteriors": f"{_SCORED} WHERE rank <= 5",
+    "score_all_posteriors": _SCORED,
+    "prompts_all": f"""WITH {_TOP}, asked AS (SELECT id, 0 AS place, {_prompt('CAST(NULL AS VARCHAR)')} AS prompt FROM q UNION ALL SELECT id, rank, {_prompt('documents.text')} FROM top JOIN documents USING (doc_id) JOIN q USING (id))
+SELECT id, CAST(place AS INT) AS place, CAST(length(prompt) AS INT) AS chars, sha256(prompt) AS sha FROM asked""",
+    "jsonl_round_trip": "SELECT row_number() OVER (ORDER BY doc_id) AS ord, doc_id, CAST(quality AS INT) AS quality, CAST(toxic AS INT) AS toxic FROM labels",
+    "page_shards": "SELECT source AS id, '' AS text, CAST(length(text) AS INT) AS chars, sha256(text) AS sha FROM documents",
+    "no_evidence_predictions": f"WITH {_ALONE} SELECT id, gold, pred, pred = gold AS correct, round(p0, 6) AS p0, CAST(0 AS INT) AS num_docs, CAST(0 AS INT) AS evidence_chars, '' AS selected, 'no_evidence' AS method FROM preds",
+    "no_evidence_metrics": f"""WITH {_ALONE} SELECT count(*) AS num_examples, count(*) FILTER (pred = gold) AS num_correct, round(count(*) FILTER (pred = gold) / count(*), 6) AS accuracy, CAST(0 AS DOUBLE) AS avg_num_docs, CAST(0 AS DOUBLE) AS median_num_docs, CAST(0 AS INT) AS min_num_docs, CAST(0 AS INT) AS max_num_docs, CAST(0 AS DOUBLE) AS avg_evidence_chars, count(*) FILTER (isinf(p0) OR isnan(p0)) AS num_non_finite, count(*) FILTER (pred IS NULL) AS num_missing FROM preds""",
+    "recovered_predictions": f"WITH {_PRED.replace('rank <= 4', 'rank <= 2')} SELECT id, gold, pred, pred = gold AS correct, round(p0, 6) AS p0, num_docs, evidence_chars, selected, 'naive_topm' AS method FROM preds",
+    "confusion_of_seen_labels": f"""WITH {_PRED}, names AS (SELECT gold AS label FROM preds UNION SELECT pred FROM preds) SELECT g.label AS gold, p.label AS pred, count(x.id) AS n FROM names g CROSS JOIN names p LEFT JOIN preds x ON x.gold = g.label AND x.pred = p.label GROUP BY ALL""",
     "candidate_count": "SELECT count(*) AS rows, CAST(count(*) * least(20, (SELECT count(*) FROM documents)) AS BIGINT) AS candidates FROM benchmark",
     "pending_rows": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "duplicate_ids": "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1",

@@ -77,7 +77,7 @@ def posteriors(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFram
     moved = lambda prior, hot: F.when(F.col("quality").isNull(), prior).otherwise((1 - w) * prior + w * hot)
     first, second = F.col("p"), 1 - F.col("p")
     eta = F.array(moved(first, (F.col("quality") == 1).cast("double")), moved(second, (F.col("quality") != 1).cast("double")))
-    rows = top.join(docs, "doc_ord") if texts else top.join(docs.select("doc_ord", "doc_id"), "doc_ord").withColumns({"title": F.lit(None).cast("string"), "text": F.lit(None).cast("string")})
+    rows = bm25.with_documents(top, docs) if texts else bm25.with_documents(top, docs.select("doc_ord", "doc_id")).withColumns({"title": F.lit(None).cast("string"), "text": F.lit(None).cast("string")})
     item = F.struct("rank", "doc_id", F.col("score").alias("retrieval_score"), "title", "text", eta.alias("eta"))
     nested = rows.groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("items"), F.first(F.array(first, second)).alias("eta0"))
     shape = F.transform("items", lambda c: F.struct(c["doc_id"].alias("doc_id"), c["rank"].alias("rank"), c["retrieval_score"].alias("retrieval_score"), c["title"].alias("title"), c["text"].alias("text"), c["eta"].alias("eta")))

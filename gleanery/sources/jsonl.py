@@ -83,8 +83,8 @@ def require_columns(df: DataFrame, names: list[str], where: str) -> DataFrame:
 def require_keys(df: DataFrame, names: list[str], where: str) -> DataFrame:
     """Fail on rows of ``read_jsonl`` whose object lacks one of the keys (a null value is there)."""
     lacking = F.array_except(F.array(*map(F.lit, names)), F.col("keys"))
-    checked = F.when(F.size(lacking) > 0, F.raise_error(F.concat(F.lit(f"{where} lacks "), F.array_join(lacking, ", ")))).otherwise(F.col("keys"))
-    return df.withColumn("keys", checked)
+    complete = F.when(F.size(lacking) > 0, F.raise_error(F.concat(F.lit(f"{where} lacks "), F.array_join(lacking, ", ")))).otherwise(F.lit(True))
+    return df.where(complete)  # a filter, as an unused column would be pruned with its check
 
 
 def pending(source: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
