@@ -8,11 +8,14 @@ labelled rows that the dictionaries have not seen turns it into a score.
 
 Fitting uses a bounded sample: at most ``PER_CLASS`` ids of each label, those
 with the lowest hash, and one text of at most ``FIT_BYTES`` bytes for each (the
-smallest, if an id is repeated).  Scoring covers every row and whole texts.
-
-Defined results: null and empty texts score what a difference of 0 gives; without
-labelled rows of both kinds every score is the share of good ones (0.5 without
-any); null labels are skipped; a null id is never held out.  ``score_column``
+smallest, if an id is repeated).  A dictionary learns from two thirds of its
+kind's texts, at most ``TRAIN_BYTES`` bytes of them (the library's trainer takes
+time beyond proportion); the rest fit the curve.  Scoring covers every row and
+whole texts.
+
+Defined results: null and empty texts score what a difference of 0 gives; with
+fewer than ``LEAST`` usable texts of either kind, or too few bytes for the trainer,
+every score is the share of good labels (0.5 without any); null labels are skipped; a null id is never held out.  ``score_column``
 keeps all columns, ``quality_scores`` carries none.
 """
 
@@ -32,6 +35,7 @@ PER_CLASS = 2000
 FIT_BYTES = 20_000
 DICTIONARY_BYTES = 262_144
 TRAIN_BYTES = 8_000_000
+LEAST = 16
 BLOCK = 500
 LEVEL = 3
 BATCH_BYTES = 1_000_000
@@ -98,7 +102,7 @@ def fit_model(rows: list[tuple[bytes, int]], weight: float | None = None) -> Mod
     share = weight if weight is not None else (sum(y for _, y in rows) / len(rows) if rows else 0.5)
     prior = math.log(max(share, 1e-3) / max(1 - share, 1e-3))
     kinds = [[t for t, y in rows if y == k and t] for k in (0, 1)]
-    if min(map(len, kinds)) < 16:
+    if min(map(len, kinds)) < LEAST:
         return Model(shift=prior)
     import zstandard
 

@@ -1,14 +1,18 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-Groups (equal texts) are never split.  Groups of at least 1/``big`` of all bytes
-are items of their own, so there are at most ``big`` of them; all other groups
-are dealt by hash into ``bundles`` items.  The number of items is therefore
-bounded whatever the input, and only their sizes reach the driver, which packs
-them: sorted by falling size, each enters the bin with the tightest remaining
-capacity that still holds it, found in a balanced tree.  The capacity is the
-smallest (by bisection) for which the shards suffice, which makes their sizes
-near equal; an item above an equal share gets a shard alone and the rest share
-what is left.
+Groups (equal texts) are never split.  Only the histogram of their sizes reaches
+the driver: it has no more than sqrt(2 * bytes) rows, since so many different sizes
+already add up to all bytes.  The driver packs it: sizes fall, and each group
+enters the bin with the tightest remaining capacity that still holds it, found in
+a balanced tree.  Groups of one size that follow each other into a bin are placed
+at once, as that bin stays the tightest while it holds them.  The capacity is the
+smallest (by bisection) for which the shards suffice, which makes their sizes near
+equal; a group above an equal share gets a shard alone and the rest share what is
+left.
+
+A size whose groups all go to one shard gives them that shard; where they go to
+several, a group's rank inside its size (by hash cells, so that no task needs all
+groups of a size) says to which.
 
 Rows are numbered inside their shard without gathering it: shard and a hash cell
 give bounded counts, their prefix sums are the offsets, and ``row_number`` runs
@@ -16,7 +20,7 @@ inside a cell.
 
 Defined results: null text has no bytes and groups with empty ones; an empty
 table gives no rows; repeated rows are rows of the same group and get slots of
-their own; ties break by item key.
+their own; ties break by the group's hash; other columns stay (see ``common``).
 """
 
 from __future__ import annotations
@@ -24,12 +28,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, stored
+from .common import discard, hidden, row_key, shown, stored
 
 SHARDS = 24
-BUNDLES = 6144
-BIG = 4800
 CELLS = 256
+FEW = 20_000  # rows of the driver's tables up to which they are broadcast
 
 
 class Tree:
@@ -78,44 +81,53 @@ class Tree:
         return [b[0], b[1], self._join(a, b[2]), b[3]]
 
 
-def best_fit(sizes: list[int], capacity: int) -> list[int]:
-    """Bin of each size; ``sizes`` fall, none exceeds ``capacity``."""
+def best_fit(sizes: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int]]:
+    """(size, bin, number) runs in the order of placing; ``sizes`` are (size, number), falling, none above ``capacity``."""
     tree, bins, out = Tree(), 0, []
-    for size in sizes:
-        found = tree.ceiling((size, -1))
-        if found is None:
-            remaining, b = capacity, bins
-            bins += 1
-        else:
-            remaining, b = found
-            tree.remove(found)
-        tree.insert((remaining - size, b))
-        out.append(b)
+    for size, many in sizes:
+        while many:
+            found = tree.ceiling((size, -1))
+            if found is None:
+                remaining, b = capacity, bins
+                bins += 1
+            else:
+                remaining, b = found
+                tree.remove(found)
+            now = min(many, remaining // size) if size else many
+            tree.insert((remaining - now * size, b))
+            out.append((size, b, now))
+            many -= now
     return out
 
 
-def pack(items: list[tuple[tuple, int]], shards: int) -> dict[tuple, int]:
-    """Shard of every (key, size) item, with shard sizes as near equal as whole items allow."""
-    left = sorted(items, key=lambda x: (-x[1], x[0]))
-    out: dict[tuple, int] = {}
-    total, used = sum(s for _, s in left), 0
-    while left and used < shards - 1 and left[0][1] * (shards - used) > total:
-        key, size = left.pop(0)
-        out[key] = used
+def pack(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int]]:
+    """(size, shard, number) runs for a histogram, with shard sizes as near equal as whole groups allow."""
+    left = sorted(([s, n] for s, n in sizes if n), reverse=True)
+    out: list[tuple[int, int, int]] = []
+    total, used = sum(s * n for s, n in left), 0
+    while left and used < shards - 1 and left[0][0] * (shards - used) > total:
+        size = left[0][0]
+        out.append((size, used, 1))
         total, used = total - size, used + 1
+        left[0][1] -= 1
+        if not left[0][1]:
+            left.pop(0)
     if not left:
         return out
-    sizes, room = [s for _, s in left], shards - used
-    low, high = max(sizes[0], -(-total // room)), max(total, 1)
+    rest, room = [(s, n) for s, n in left], shards - used
+    low, high = max(rest[0][0], -(-total // room)), max(total, 1)
+    fits = lambda c: max(b for _, b, _ in best_fit(rest, c)) < room
+    step = max(1, low // 2000)
+    while low + step < high and not fits(low + step):  # the answer is nearly always close to an equal share
+        low, step = low + step + 1, step * 2
+    high = min(high, low + step)
     while high - low > low // 5000:
-        middle = min((low + high) // 2, low + max(1, low // 50)) if high > 2 * low else (low + high) // 2
-        if max(best_fit(sizes, middle)) < room:
+        middle = (low + high) // 2
+        if fits(middle):
             high = middle
         else:
             low = middle + 1
-    for (key, _), b in zip(left, best_fit(sizes, high), strict=True):
-        out[key] = used + b
-    return out
+    return out + [(s, used + b, n) for s, b, n in best_fit(rest, high)]
 
 
 def numbered(df: DataFrame, order: list, cells: int = CELLS) -> DataFrame:
@@ -131,34 +143,41 @@ def numbered(df: DataFrame, order: list, cells: int = CELLS) -> DataFrame:
     return celled.withColumn("at", F.row_number().over(inside)).join(F.broadcast(offsets), ["shard", "cell"]).withColumn("slot", F.col("offset") + F.col("at") - 1).drop("cell", "at", "offset")
 
 
-def assign_shards(df: DataFrame, group, size, shards: int = SHARDS, bundles: int = BUNDLES, big: int = BIG) -> DataFrame:
+def assign_shards(df: DataFrame, group, size, shards: int = SHARDS) -> DataFrame:
     """Add ``shard`` to ``df``; rows with one value of ``group`` stay together.
 
     ``group`` is a 64-bit column expression (groups that share a value stay
     together, so a hash serves) and ``size`` a long one.
     """
     spark = df.sparkSession
-    bundle = F.pmod(F.xxhash64(F.col("_group"), F.lit(7)), F.lit(bundles))
-    rows = df.withColumn("_group", group).withColumn("_size", size)
-    groups = stored(rows.groupBy("_group").agg(F.sum("_size").alias("bytes")))
-    total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
-    large = groups.where(F.col("bytes") * big >= F.lit(max(total, 1)))
-    # At most ``big`` rows: their sizes add up to no more than the total.
-    large = [(r["_group"], r["bytes"]) for r in large.collect()]
-    table = spark.createDataFrame([(g, True) for g, _ in large], "_group long, _own boolean")
-    marked = F.broadcast(table)
-    small = groups.join(marked, "_group", "left_anti").groupBy(bundle.alias("bundle")).agg(F.sum("bytes").alias("bytes"))
-    items = [((1, r["bundle"]), r["bytes"]) for r in small.collect()] + [((0, g), b) for g, b in large]
-    placed = pack(items, shards)
-    own = spark.createDataFrame([(k[1], s) for k, s in placed.items() if k[0] == 0], "_group long, _a int")
-    by_bundle = spark.createDataFrame([(k[1], s) for k, s in placed.items() if k[0] == 1], "_bundle long, _b int")
-    return (
-        rows.withColumn("_bundle", bundle)
-        .join(F.broadcast(own), "_group", "left")
-        .join(F.broadcast(by_bundle), "_bundle", "left")
-        .withColumn("shard", F.coalesce("_a", "_b"))
-        .drop("_group", "_size", "_bundle", "_a", "_b")
-    )
+    own, weight = ("_" * max(map(len, df.columns)) + x for x in ("_group", "_size"))  # longer than any other name
+    keyed = hidden(df.withColumns({own: group, weight: size}), own, weight).withColumnsRenamed({own: "own", weight: "weight"})
+    groups = stored(keyed.groupBy(F.col("own").alias("group")).agg(F.sum("weight").alias("bytes")))
+    sizes = [(r["bytes"], r["n"]) for r in groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).collect()]  # at most sqrt(2 * all bytes) rows
+    runs: dict[int, list[tuple[int, int]]] = {}
+    for s, b, n in pack(sizes, shards):
+        runs.setdefault(s, []).append((b, n))
+    one = [(s, own[0][0]) for s, own in runs.items() if len({b for b, _ in own}) == 1]
+    several, first = [], 0
+    for s, own in runs.items():
+        if len({b for b, _ in own}) > 1:
+            first = 0
+            for b, n in own:
+                several.append((s, first, first + n, b))
+                first += n
+    table = lambda rows, ddl: (F.broadcast if len(rows) <= FEW else lambda x: x)(spark.createDataFrame(rows, ddl))
+    whole = groups.join(table(one, "bytes long, shard int"), "bytes").select("group", "shard")
+    split = groups.join(table(sorted({(r[0],) for r in several}), "bytes long"), "bytes").withColumn("cell", F.pmod(F.xxhash64("group"), F.lit(CELLS)).cast("int"))
+    counts = split.groupBy("bytes", "cell").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("bytes").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("bytes", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    nth = F.row_number().over(Window.partitionBy("bytes", "cell").orderBy("group"))
+    ranked = split.withColumn("at", nth).join(offsets, ["bytes", "cell"]).select("bytes", "group", (F.col("offset") + F.col("at") - 1).alias("rank"))
+    places = table(several, "bytes long, first long, stop long, shard int")
+    split = ranked.join(places, "bytes").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("stop"))).select("group", "shard")
+    placed = stored(whole.unionByName(split))
+    discard(groups)
+    return keyed.join(placed, F.col("own") == F.col("group")).select(*shown(df.columns, without=("shard",)), "shard")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

@@ -3,11 +3,12 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from gleanery.llm import bpe, chat, decontaminate, jaccard, media, quality, repeats, shards, token_counts
+from gleanery.llm import bpe, chat, decontaminate, jaccard, language, media, quality, repeats, shards, token_counts
 from gleanery.llm.shingles import shingle_sets
 from gleanery.llm.suffixes import suffix_array
 from gleanery.llm.vocabulary import default_path
@@ -107,26 +108,28 @@ def test_repeated_windows_against_brute_force():
 
 def test_best_fit_decreasing():
     rng = random.Random(4)
-    sizes = sorted((rng.randint(1, 100) for _ in range(500)), reverse=True)
-    got = shards.best_fit(sizes, 130)
-    room, want = [], []
-    for s in sizes:
-        fits = [(r, i) for i, r in enumerate(room) if r >= s]
-        if fits:
-            i = min(fits)[1]
-        else:
-            i = len(room)
-            room.append(130)
-        room[i] -= s
-        want.append(i)
-    assert got == want
-    placed = shards.pack([((1, i), s) for i, s in enumerate(sizes)] + [((0, 1), 30_000)], 24)
+    for most in (3, 20, 100):
+        sizes = sorted((rng.randint(1, most) for _ in range(500)), reverse=True)
+        got = [b for _, b, n in shards.best_fit(sorted(Counter(sizes).items(), reverse=True), 130) for _ in range(n)]
+        room, want = [], []
+        for s in sizes:
+            fits = [(r, i) for i, r in enumerate(room) if r >= s]
+            if fits:
+                i = min(fits)[1]
+            else:
+                i = len(room)
+                room.append(130)
+            room[i] -= s
+            want.append(i)
+        assert got == want
+    placed = shards.pack([*Counter(sizes).items(), (30_000, 1)], 24)
+    assert sorted((s for s, _, n in placed for _ in range(n)), reverse=True) == [30_000, *sizes]
     load = [0] * 24
-    for (kind, i), b in placed.items():
-        load[b] += sizes[i] if kind else 30_000
+    for s, b, n in placed:
+        load[b] += s * n
     rest = sorted(load)[:-1]
     assert max(load) == 30_000 and max(rest) - min(rest) <= 100
-    assert shards.pack([], 24) == {}
+    assert shards.pack([], 24) == [] and shards.pack([(8, 3)], 24) == [(8, 0, 1), (8, 1, 1), (8, 2, 1)]
 
 
 def test_wu_manber():
@@ -225,5 +228,24 @@ def test_quality_model():
     model = quality.fit_model([f() for _ in range(150) for f in (good, bad)])
     assert all(model.score(good()[0]) > 0.5 > model.score(bad()[0]) for _ in range(20))
     assert 0 <= model.score(b"") <= 1 and quality.fit_model([]).score(b"x") == 0.5
+    from zstandard import ZstdCompressionDict, ZstdCompressor
+
+    pair = [ZstdCompressor(level=quality.LEVEL, dict_data=ZstdCompressionDict(raw), write_content_size=False, write_checksum=False, write_dict_id=False) for raw in (model.good, model.bad)]
+    for text in (good()[0], bad()[0], b"plain words " * 200, b"x"):  # the score from two plain dictionaries
+        parts = quality.blocks(text)
+        mean = sum((len(pair[0].compress(p)) - len(pair[1].compress(p))) / len(p) for p in parts) / len(parts)
+        assert abs(model.score(text) - 1 / (1 + np.exp(-(model.slope * mean + model.shift)))) < 1e-9
     assert b"".join(quality.blocks(b"x" * 1234)) == b"x" * 1234 and quality.blocks(b"") == [b""]
     assert zlib.crc32(b"") == 0 and hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_language_margins():
+    rng = random.Random(16)
+    vocab = {"en": ["the", "and", "with"], "de": ["der", "und", "schön"], "fr": ["le", "être", "ça"], "es": ["el", "niño", "ción"]}
+    langs = [rng.choice(list(vocab)) for _ in range(80)]
+    texts = [" ".join(rng.choice(vocab[v]) for _ in range(9)) for v in langs]
+    model = language.Model(texts, langs)
+    some = [*texts[:20], "A", "ÉTÉ und the", "mixed der le el " * 50]
+    want = language.features(some).astype(np.float64) @ model.weights + model.shifts
+    assert np.allclose(model.margins(some), want, atol=1e-4)
+    assert sum(p == v for (p, _), v in zip(model.predict(texts), langs, strict=True)) >= 76
