@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, hidden, merged_parts, mix64, shown, stored, text_bytes, text_slices
+from .common import bounded_batches, discard, hidden, merged_parts, mix64, scratch, shown, stored, text_bytes, text_slices
 from .shingles import CASED, _tables, word_hashes
 from .suffixes import suffix_array
 
@@ -407,6 +407,7 @@ def repeated_spans(texts: DataFrame, cutter: Cutter, bits: int = SKETCH_BITS, mo
     if wide.limit(1).count():
         ranges = ranges.unionByName(_by_halves(wide, cutter.span, cutter.unit))
     ranges = stored(ranges.distinct())
+    discard(cores, distinct)
     places = rows.select("text_a", "text_b", "core", "piece", "bases").join(ranges, ["core", "piece"]).withColumn("base", F.explode("bases"))
     spans = places.select("text_a", "text_b", (F.col("base") - F.col("high")).alias("start"), (F.col("base") - F.col("low") + cutter.length).alias("stop"))
     copies = long_texts.groupBy("text_a", "text_b").agg(F.count(F.lit(1)).alias("n"), F.max(F.floor(F.octet_length("text") / cutter.unit)).alias("stop")).where("n > 1")
@@ -432,13 +433,16 @@ def passage_spans(texts: DataFrame, words: int, bits: int = SKETCH_BITS, most: i
 
 def _found(docs: DataFrame, cutter: Cutter | None, bits: int, most: int, words: int | None) -> DataFrame:
     """``docs`` hidden, its text, spans and passages (null where there are none)."""
-    texts = named_texts(docs.select("text"))
+    texts, spark = named_texts(docs.select("text")), docs.sparkSession
     names = ["text_a", "text_b"]
-    found = stored(repeated_spans(texts, cutter or Cutter(), bits, most)).toDF(*names, "spans")
+    with scratch(spark):  # the first search's tables go before the second begins
+        found = stored(repeated_spans(texts, cutter or Cutter(), bits, most), keep=True).toDF(*names, "spans")
     if words is None:
         found = found.withColumn("passages", F.lit(None).cast("array<struct<start:bigint,stop:bigint>>"))
     else:
-        found = found.join(stored(passage_spans(texts, words, bits, most)).toDF(*names, "passages"), names, "full")
+        with scratch(spark):
+            more = stored(passage_spans(texts, words, bits, most), keep=True)
+        found = found.join(more.toDF(*names, "passages"), names, "full")
     body = F.coalesce(F.col("text"), F.lit(""))
     named = hidden(docs, "text").withColumn("text_a", F.xxhash64(body)).withColumn("text_b", F.hash(body))
     return named.join(found, names, "left").select("doc", "text", "spans", "passages")
