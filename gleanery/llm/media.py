@@ -399,8 +399,9 @@ def _pad(text: bytes) -> bytes:
 def encode_media(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """Add binary column ``media``: each text stored losslessly as baseline JPEG.
 
-    ``text`` (the column) is dropped; all other columns stay.
+    ``media`` stands where ``text`` did; all other columns stay.
     """
+    order = [f"`{media if c == text else c}`" for c in df.columns if c == text or c.lower() != media.lower()]
     names = [f"`{c}`" for c in df.columns if c != text and c.lower() != media.lower()]
     df = df.select(*names, F.col(f"`{text}`").alias(media))
     schema, build = adder(df, [T.StructField(media, T.BinaryType())])
@@ -412,7 +413,7 @@ def encode_media(df: DataFrame, text: str = "text", media: str = "media") -> Dat
                 made += encode_payloads([_pad(x) for x in part], [len(x).to_bytes(8, "big") for x in part])
             yield build(batch, [pa.array(made, pa.binary())])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema).select(*order)
 
 
 MEDIA_FIELDS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width int, height int, frames int, feature string, error string"

@@ -255,6 +255,39 @@ def test_language_held_out(spark):
     assert len(held) > 80 and sum(a == b for a, b in held) >= 0.97 * len(held)
 
 
+CLASHES = ["media", "n_bytes", "n_tokens", "content", "ids", "decoded", "score", "lang_pred", "shard", "own", "weight", "group", "bytes", "cell", "doc", "_a", "_group", "spans", "items", "n_words", "text_a", "text_b", "_text_a", "passages", "_nth", "_row_a", "row_a", "row_b", "nth", "once"]
+
+
+def test_no_column_is_touched(spark):
+    """Every internal and result name as an extra column of every function that keeps columns."""
+    path = default_path()
+    rows = [(i, f"words of text number {i} and some more {i * 7}", "en") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(c) for c in CLASHES})
+    items = spark.createDataFrame([(1, "number 3 and some"), (2, "nothing here")], "item_id long, text string")
+    model = language.Model(["a b", "c d"], ["en", "de"])
+    made = {
+        "media": (media.encode_media(df), {"media"}),
+        "read": (media.read_media(media.encode_media(df)), {"n_bytes", "media"}),
+        "tokens": (token_counts.count_tokens(df, path, token_counts.new_cache(spark)), {"n_bytes", "n_tokens"}),
+        "bpe": (bpe.decode_column(bpe.encode_column(df, path), path), {"ids", "decoded"}),
+        "quality": (quality.score_column(df, quality.fit_model([])), {"score"}),
+        "language": (language.language_columns(df, model), {"lang_pred", "score"}),
+        "shards": (shards.assign_shards(df, F.xxhash64("text"), F.octet_length("text").cast("long"), 3), {"shard"}),
+        "items": (decontaminate.search_items(df, items), {"spans", "items", "n_words"}),
+        "blocks": (decontaminate.search_items(df, items, max_block_bytes=10), {"spans", "items", "n_words"}),
+        "jaccard": (jaccard.one_of_each_component(df), set()),
+        "spans": (repeats.with_spans(df, bits=12), {"spans"}),
+        "repeats": (repeats.remove_repeats(df, bits=12), set()),
+    }
+    for name, (out, results) in made.items():
+        assert len(set(out.columns)) == len(out.columns), name
+        kept = [c for c in CLASHES if c not in results]
+        got = out.select("doc_id", *kept).collect()
+        assert sorted(r["doc_id"] for r in got) == list(range(12)), name
+        assert all(r[c] == c for r in got for c in kept), name
+        assert not any(r[c] == c for r in out.select(*(results & set(out.columns)), "doc_id").collect() for c in results & set(out.columns)), name
+
+
 def test_registered():
     assert sorted(n.split("_")[0] for n in queries()) == sorted(f"op{i}" for i in range(1, 11))
     assert set(oracle_sql()) <= set(queries())
