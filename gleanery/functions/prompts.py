@@ -32,6 +32,13 @@ def claim_prompt(claim: Column, labels: list[str], verbalizers: dict[str, list[s
     return F.when(F.coalesce(strip(claim), F.lit("")) != "", body).otherwise(F.raise_error(F.lit("blank claim")))
 
 
+def prompt_contract(labels: list[str], verbalizers: dict[str, list[str]]) -> Column:
+    """Fingerprint of wording, labels and verbalizers: scores under different ones must not be mixed."""
+    sample = claim_prompt(F.lit("claim"), labels, verbalizers, F.lit("evidence"))
+    names = [F.array(*(F.lit(v) for v in verbalizers[label])) for label in labels]
+    return F.sha2(F.to_json(F.struct(sample.alias("prompt"), F.array(*map(F.lit, labels)).alias("labels"), F.array(*names).alias("verbalizers"))), 256)
+
+
 def evidence_block(docs: Column) -> Column:
     """Numbered documents with their titles, a blank line between."""
     one = lambda d, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.when(F.coalesce(d["title"], F.lit("")) != "", F.concat(F.lit("Title: "), d["title"], F.lit("\n"))).otherwise(F.lit("")), F.coalesce(d["text"], F.lit("")))

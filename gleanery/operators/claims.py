@@ -51,6 +51,17 @@ def prepare_claims(raw: DataFrame, dataset: str, split: str, label_map: dict[str
     )
 
 
+def prepare_splits(raws: dict[str, DataFrame], dataset: str, label_map: dict[str, str], drop: list[str]) -> DataFrame:
+    """Kept claims of several splits in one table; each split has numbers of its own."""
+    out = None
+    for split, raw in raws.items():
+        own = prepare_claims(raw, dataset, split, label_map, drop)
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise ValueError("no splits")
+    return out
+
+
 def claim_stats(raw: DataFrame, split: str, label_map: dict[str, str], drop: list[str], limit: int | None = None) -> DataFrame:
     """One row: read, kept, dropped, skipped."""
     rows = classify(raw, split, label_map, drop, limit)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prompts import claim_prompt, evidence_block
 from ..functions.vectors import first_best
+from ..sources.tables import written
 
 SCHEMA_VERSION = "metrics.v2"
 
@@ -121,7 +122,8 @@ def num_docs_histogram(preds: DataFrame) -> DataFrame:
 
 
 def metrics_document(preds: DataFrame, labels: list[str] | None = None) -> DataFrame:
-    """All metrics as one nested row."""
+    """All metrics as one nested row; the predictions are written once and read for each part."""
+    preds = written(preds)
     entries = lambda df, key, value: df.agg(F.map_from_entries(F.collect_list(F.struct(key, value))))
     one = per_class(preds, labels).select("label", F.struct("num_examples", "num_correct", "accuracy").alias("v"))
     cells = confusion(preds, labels).groupBy("gold").agg(F.map_from_entries(F.collect_list(F.struct("pred", "n"))).alias("v"))

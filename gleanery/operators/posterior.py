@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.prompts import claim_prompt
+from ..functions.prompts import claim_prompt, prompt_contract
+from ..sources.jsonl import resume
 
 SCHEMA_VERSION = "posteriors.v2"
 
@@ -61,6 +62,32 @@ def score_posteriors(retrieval: DataFrame, make_scorer, labels: list[str], verba
     )
 
 
+def append_posteriors(retrieval: DataFrame, path: str, make_scorer, labels: list[str], verbalizers: dict[str, list[str]], max_candidates: int | None = None, batch_size: int = 64) -> DataFrame:
+    """Score the rows that the Parquet table ``path`` lacks, append them and return the table.
+
+    Each row keeps the fingerprint of its prompts.  Rows of other prompts,
+    repeated ids, finished rows that are not expected and a wrong final count
+    are errors.  A run that broke off is simply started again.
+    """
+    spark = retrieval.sparkSession
+    contract = prompt_contract(labels, verbalizers)
+
+    def score(rows: DataFrame) -> DataFrame:
+        return score_posteriors(rows, make_scorer, labels, verbalizers, max_candidates, batch_size).withColumn("prompt_contract", contract)
+
+    shape = score(retrieval.limit(0))
+    shape.write.mode("append").parquet(path)  # so that there is a table, however empty
+    done = spark.read.schema(shape.schema).parquet(path)
+    if done.where(~F.col("prompt_contract").eqNullSafe(contract)).limit(1).count():
+        raise ValueError("the finished rows were scored with other prompts")
+    score(resume(retrieval, done.select("id"))).write.mode("append").parquet(path)
+    out = spark.read.schema(shape.schema).parquet(path)
+    have, want = out.count(), retrieval.count()
+    if have != want:
+        raise ValueError(f"{have} rows are finished, {want} were expected")
+    return out
+
+
 def candidate_count(posteriors: DataFrame) -> DataFrame:
     """One row: rows and candidate prompts scored."""
     return posteriors.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("candidates")), F.lit(0)).alias("candidates"))

@@ -62,6 +62,13 @@ def set_value(x: np.ndarray, d: np.ndarray, chosen: list[int], ridge: float) ->
     return float(c @ np.linalg.solve(own @ own.T + ridge * np.eye(len(chosen)), c))
 
 
+def marginal_gain(x: np.ndarray, d: np.ndarray, chosen: list[int], one: int, ridge: float) -> float:
+    """What row ``one`` of x adds to the rows ``chosen``; a chosen row is an error."""
+    if one in chosen:
+        raise ValueError(f"document {one} is selected already")
+    return set_value(x, d, [*chosen, one], ridge) - set_value(x, d, chosen, ridge)
+
+
 def _gains(x: np.ndarray, d: np.ndarray, inverse: np.ndarray, ridge: float) -> np.ndarray:
     pull = x @ inverse
     return ridge * (pull @ d) ** 2 / (1 + (pull * x).sum(axis=-1))

@@ -14,7 +14,7 @@ from ..functions import vectors as V
 from ..operators import bm25, claims, evaluate, losses, posterior, selection, setvalue, training
 from ..operators import corpus as pages_
 from ..sources import jsonl
-from ..sources.tables import shared_folder
+from ..sources.tables import shared_folder, written
 from . import views
 from .views import DROP, LABEL_MAP, LABELS, TOP_M, TOP_N, table
 
@@ -46,6 +46,12 @@ def claim_stats(spark, d):
     return claims.claim_stats(views.raw_claims(spark, d), "train", LABEL_MAP, DROP)
 
 
+@registered
+def claims_of_splits(spark, d):
+    rows = claims.prepare_splits({"train": views.raw_claims(spark, d), "dev": views.dev_claims(spark, d)}, "fever2", LABEL_MAP, DROP)
+    return rows.select("id", "split", "query", "label")
+
+
 @registered
 def sentence_corpus(spark, d):
     rows = pages_.sentence_corpus(views.pages(spark, d))
@@ -131,6 +137,17 @@ def score_all_posteriors(spark, d):
     return rows.select("id", r6(F.col("eta0")[0]).alias("eta0"), F.posexplode("candidates").alias("place", "c")).select("id", "eta0", "place", F.col("c.doc_id").alias("doc_id"), r6(F.col("c.eta")[0]).alias("eta"))
 
 
+@registered
+def resumed_posteriors(spark, d):
+    """A posterior job that finds the claims of one label done and scores the others."""
+    path = f"{shared_folder(spark)}/posteriors-{uuid.uuid4().hex}"
+    found = written(views.retrieval(spark, d))
+    args = views.digest_scorer, LABELS, P.VERBALIZERS
+    posterior.append_posteriors(found.where(F.col("label") == "REFUTES"), path, *args)
+    rows = posterior.append_posteriors(found, path, *args)
+    return rows.select("id", r6(F.col("eta0")[0]).alias("eta0"), F.posexplode("candidates").alias("place", "c")).select("id", "eta0", "place", F.col("c.doc_id").alias("doc_id"), r6(F.col("c.eta")[0]).alias("eta"))
+
+
 @registered
 def candidate_count(spark, d):
     return posterior.candidate_count(views.posteriors(spark, d, texts=False))
@@ -243,6 +260,14 @@ def feature_rows(spark, d):
     return _features(spark, d).select("id", "step", "doc_id", *(r6(F.col("features")[i] + 0.0).alias(f"f{i:02d}") for i in range(20)), r6("gain").alias("gain"), "is_best")
 
 
+@registered
+def first_feature_rows(spark, d):
+    """The first 100 states with their first five candidates each."""
+    own = views.posteriors(spark, d, texts=False)
+    rows = training.feature_rows(setvalue.greedy_teacher(own, TOP_M, RIDGE, EPS), own, max_states=100, max_candidates=5)
+    return rows.select("id", "step", "doc_id", r6("gain").alias("gain"), "is_best")
+
+
 @registered
 def train_balance(spark, d):
     return training.train_balance(_features(spark, d))
@@ -268,6 +293,11 @@ def listwise_groups(spark, d):
     return rows.select("id", "step", "n_selected", F.col("c.doc_id").alias("doc_id"), F.col("c.rank").alias("rank"), F.char_length("c.text").alias("chars"), r6("c.gain").alias("gain"))
 
 
+@registered
+def epoch_order(spark, d):
+    return training.epoch_order(training.listwise_groups(*_groups(spark, d)), 7, 1).select("id", "step", F.size("candidates").alias("candidates"))
+
+
 @registered
 def group_stats(spark, d):
     return training.group_stats(*_groups(spark, d))
@@ -407,6 +437,15 @@ def metrics_summary(spark, d):
     return rows.withColumns({c: r6(c) for c in ("accuracy", "avg_num_docs", "median_num_docs", "avg_evidence_chars")})
 
 
+@registered
+def metrics_document(spark, d):
+    """The nested document, unfolded again."""
+    rows = evaluate.metrics_document(_predictions(spark, d), LABELS)
+    cells = rows.select("schema_version", "num_examples", r6("accuracy").alias("accuracy"), "per_class", "prediction_distribution", "num_docs_histogram", F.explode("confusion_matrix").alias("gold", "cells"))
+    flat = cells.select("*", F.explode("cells").alias("pred", "n"))
+    return flat.select("schema_version", "num_examples", "accuracy", "gold", "pred", "n", F.col("per_class")[F.col("gold")]["num_examples"].alias("gold_rows"), F.col("prediction_distribution")[F.col("pred")].alias("pred_rows"), F.aggregate(F.map_values("num_docs_histogram"), F.lit(0).cast("long"), lambda a, v: a + v).alias("counted"))
+
+
 @registered
 def metrics_per_class(spark, d):
     return evaluate.per_class(_predictions(spark, d), LABELS).withColumn("accuracy", r6("accuracy"))

@@ -42,11 +42,15 @@ def rare_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = F.when(F.col("toxic") == 1, "NOT ENOUGH INFO").when(F.col("quality") == 1, "SUPPORTS").otherwise("REFUTES")
+    label = F.when((F.col("toxic") == 1) & (F.col("quality") == 1), "DISPUTED").when(F.col("toxic") == 1, "NOT ENOUGH INFO").when(F.col("quality") == 1, "SUPPORTS").otherwise("REFUTES")
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return rows.select(F.col("doc_id").alias("ord"), F.col("doc_id").alias("id"), F.col("text").alias("claim"), label.alias("label"))
 
 
+def dev_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries(spark, sf_dir).select(F.col("id").alias("ord"), "id", F.col("query").alias("claim"), "label")
+
+
 def flat_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ord"),

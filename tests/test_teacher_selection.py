@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.operators import evaluate, losses, selection, setvalue, training
+from gleanery.functions.prompts import VERBALIZERS
+from gleanery.operators import evaluate, losses, posterior, selection, setvalue, training
+from gleanery.plans.views import digest_scorer
 
 LABELS = ["SUPPORTS", "REFUTES"]
 DDL = "id string, query string, label string, split string, labels array<string>, eta0 array<double>, candidates array<struct<doc_id:string,rank:int,retrieval_score:double,title:string,text:string,eta:array<double>>>"
@@ -155,3 +157,42 @@ def test_metrics(spark):
     assert none["num_examples"] == 0 and none["accuracy"] == 0.0
     bare = evaluate.summary(preds.select("id", "gold", "pred")).first()
     assert bare["avg_num_docs"] == 0.0
+
+
+def test_marginal_gain():
+    x, d = np.array([[0.5, -0.5], [0.2, -0.2], [-0.1, 0.1]]), np.array([0.6, -0.6])
+    assert setvalue.marginal_gain(x, d, [], 0, 0.01) == pytest.approx(float(x[0] @ d) ** 2 / (float(x[0] @ x[0]) + 0.01))
+    assert setvalue.marginal_gain(x, d, [0, 2], 1, 0.01) == pytest.approx(setvalue.set_value(x, d, [0, 1, 2], 0.01) - setvalue.set_value(x, d, [0, 2], 0.01))
+    with pytest.raises(ValueError, match="selected already"):
+        setvalue.marginal_gain(x, d, [0], 0, 0.01)
+
+
+def test_posterior_job_resumes(spark, tmp_path):
+    ddl = "id long, query string, label string, split string, candidates array<struct<doc_id:string,rank:int,score:double,title:string,text:string>>"
+    rows = [(i, f"claim {i}", "SUPPORTS", "dev", [{"doc_id": "a", "rank": 1, "score": 2.0, "title": None, "text": f"text {i}"}] if i else []) for i in range(6)]
+    found, path = spark.createDataFrame(rows, ddl), f"file://{tmp_path}/posteriors"
+    asked = []
+
+    def job(source, verbalizers=VERBALIZERS):
+        out = posterior.append_posteriors(source, path, digest_scorer, LABELS, verbalizers)
+        asked.append(out.count())
+        return {r["id"]: r for r in out.collect()}
+
+    assert job(found.limit(0)) == {}
+    part = job(found.where("id < 4"))
+    whole = job(found)
+    assert set(whole) == set(range(6)) and all(whole[i] == part[i] for i in part)
+    assert job(found) == whole and asked == [0, 4, 6, 6]
+    fresh = {r["id"]: r for r in posterior.score_posteriors(found, digest_scorer, LABELS, VERBALIZERS).collect()}
+    assert all((whole[i]["eta0"], whole[i]["candidates"]) == (fresh[i]["eta0"], fresh[i]["candidates"]) for i in fresh)
+    with pytest.raises(ValueError, match="other prompts"):
+        job(found, {"SUPPORTS": ["X"], "REFUTES": ["B"]})
+    with pytest.raises(ValueError, match="unexpected"):
+        job(found.where("id < 3"))
+
+
+def test_epoch_order(spark):
+    groups = spark.createDataFrame([(i, s) for i in range(20) for s in range(3)], "id long, step int")
+    order = lambda seed, epoch: [tuple(r) for r in training.epoch_order(groups.repartition(3), seed, epoch).collect()]
+    assert order(7, 1) == order(7, 1) != order(7, 2)
+    assert sorted(order(7, 1)) == sorted(order(7, 2)) == [(i, s) for i in range(20) for s in range(3)]
