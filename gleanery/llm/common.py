@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from contextlib import contextmanager
 
 import numpy as np
@@ -54,20 +55,20 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def stored(df: DataFrame, keep: bool = False) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back; ``keep``: also beyond ``scratch``."""
+    """Cut the lineage: write ``df`` to the shared folder and read it back; ``keep``: also beyond the innermost ``scratch``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/gleanery-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not keep:
-        for held in _scopes:
-            held.append(path)
+    owner = len(_scopes) - (2 if keep else 1)
+    if owner >= 0:
+        _scopes[owner].append(path)
     out = spark.read.schema(df.schema).parquet(path)
-    _paths[id(out)] = (out, path)
+    _paths[out] = path
     return out
 
 
 _scopes: list[list[str]] = []
-_paths: dict[int, tuple[DataFrame, str]] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -78,24 +79,24 @@ def _delete(spark: SparkSession, path: str) -> None:
 def discard(*tables: DataFrame) -> None:
     """Delete what ``stored`` wrote for these tables; nothing may read them any more."""
     for t in tables:
-        _, path = _paths.pop(id(t))
-        _delete(t.sparkSession, path)
+        _delete(t.sparkSession, _paths.pop(t))
 
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Delete, at the end, all that ``stored`` has written inside (results must be written elsewhere by then)."""
+    """Delete, at the end, all that ``stored`` has written inside (results must be written elsewhere by then).
+
+    Scopes nest; a table belongs to the innermost one, or with ``keep`` to the next.
+    """
+    depth = len(_scopes)
     held: list[str] = []
     _scopes.append(held)
     try:
         yield
     finally:
-        _scopes.remove(held)
+        del _scopes[depth:]
         for path in held:
             _delete(spark, path)
-        gone = set(held)
-        for k in [k for k, (_, path) in _paths.items() if path in gone]:
-            del _paths[k]
 
 
 def adder(df: DataFrame, fields: list[T.StructField]):
