@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, jaccard, language, media, quality, repeats, shards, simhash, token_counts
+from . import alignment, bpe, chat, decontaminate, jaccard, language, media, quality, repeats, shards, simhash, token_counts, variants
 from .common import documents
 from .vocabulary import default_path
 
@@ -53,12 +53,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(documents(spark, sf_dir))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digests(documents(spark, sf_dir), *alignment.default_paths())
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_media_columns, op2_token_counts, op3_decontamination, op4_chat_formatting, op5_sharding, op6_suffix_array_dedup, op7_ngram_jaccard_join, op8_quality_classifier, op9_bpe_codec, op10_language_id, op13_simhash)
+    own = (op1_media_columns, op2_token_counts, op3_decontamination, op4_chat_formatting, op5_sharding, op6_suffix_array_dedup, op7_ngram_jaccard_join, op8_quality_classifier, op9_bpe_codec, op10_language_id, op11_spelling_variants, op12_token_alignment, op13_simhash)
     return {f.__name__: f for f in own}
 
 
