@@ -42,10 +42,10 @@ from pyspark.sql import types as T
 from .common import adder, bounded_batches, stored, text_slices
 from .vocabulary import load
 
-FLUSH_BYTES = 12 << 20  # of text whose pairs are counted before they are sent
-BATCH_BYTES = 2 << 20
-CACHE_UNITS = 150_000  # encoded units that a worker remembers; then it starts anew
-CACHE_CHARS = 32
+FLUSH_BYTES = 8 << 20  # of text whose pairs are counted before they are sent
+BATCH_BYTES = 1 << 20
+CHUNK_CHARS = 1 << 16  # of units that are encoded in one call
+BLOCK_BYTES = 1 << 19  # of units whose products are made together
 _CUT = re.compile(r"(?<=\S)(?= )")
 _WHITE = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]
 
@@ -104,8 +104,24 @@ class Pieces:
         return self._model.encode(text) if text else self._space
 
 
+class Encoded:
+    """Token ids of units, one behind the other: n_a, n_b by unit, a, b; units whose tokens don't hold their bytes have none and aren't ``whole``."""
+
+    def __init__(self, n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray, whole: np.ndarray):
+        self.n_a, self.n_b, self.a, self.b, self.whole = n_a, n_b, a, b, whole
+
+    @staticmethod
+    def joined(parts: list[Encoded]) -> Encoded:
+        none = np.zeros(0, np.int64)
+        return Encoded(*(np.concatenate([none.astype(kind), *(getattr(p, n) for p in parts)]) for n, kind in (("n_a", np.int64), ("n_b", np.int64), ("a", np.int64), ("b", np.int64), ("whole", bool))))
+
+    def block(self, i: int, j: int, at_a: np.ndarray, at_b: np.ndarray) -> Encoded:
+        """Units i to j; ``at_a``, ``at_b`` are the first places of all units."""
+        return Encoded(self.n_a[i:j], self.n_b[i:j], self.a[at_a[i] : at_a[j]], self.b[at_b[i] : at_b[j]], self.whole[i:j])
+
+
 class Tokenizers:
-    """Both tokenizers with the lengths of their tokens, and the encoded units that a worker remembers."""
+    """Both tokenizers with the lengths of their tokens."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
@@ -114,19 +130,51 @@ class Tokenizers:
         self.ids = len(ids)
         #: Decimal ids behind each separator: none, comma, bar, semicolon.
         self.decimals = [f"{s}{i}".encode() for s in ("", ",", "|", ";") for i in ids]
-        self._known: dict[str, tuple[list[int], list[int], bool]] = {}
 
-    def unit(self, text: str) -> tuple[list[int], list[int], bool]:
-        """A's and B's ids of space + text, and whether both hold its bytes."""
-        found = self._known.get(text)
-        if found is None:
-            a, b, raw = self.a.encode(text), self.b.encode(text), b" " + text.encode()
-            found = a, b, b"".join(map(self.a.tokens.__getitem__, a)) == raw == b"".join(map(self.b.tokens.__getitem__, b))
-            if len(text) <= CACHE_CHARS:
-                if len(self._known) >= CACHE_UNITS:
-                    self._known.clear()
-                self._known[text] = found
-        return found
+    def _one(self, text: str) -> Encoded:
+        a, b, raw = self.a.encode(text), self.b.encode(text), b" " + text.encode()
+        whole = b"".join(map(self.a.tokens.__getitem__, a)) == raw == b"".join(map(self.b.tokens.__getitem__, b))
+        if not whole:
+            a = b = []
+        return Encoded(*(np.array([len(x)], np.int64) for x in (a, b)), *(np.array(x, np.int64) for x in (a, b)), np.array([whole]))
+
+    def _together(self, own: list[str]) -> Encoded | None:
+        """Units that end in no white space, encoded as the text that they make together; None if bytes differ."""
+        text = " ".join(own)
+        raw, sides = b" " + text.encode(), []
+        sizes = np.array([len(u.encode()) + 1 for u in own])
+        for side, lengths in ((self.a, self.length_a), (self.b, self.length_b)):
+            ids = side.encode(text)
+            if b"".join(map(side.tokens.__getitem__, ids)) != raw:
+                return None
+            ids = np.array(ids, np.int64)
+            sides.append((np.diff(np.searchsorted(np.cumsum(lengths[ids]), np.cumsum(sizes), side="right"), prepend=0), ids))
+        return Encoded(sides[0][0], sides[1][0], sides[0][1], sides[1][1], np.ones(len(own), bool))
+
+    def encode(self, own: list[str]) -> Encoded:
+        """Units (without their leading spaces), as if each were encoded alone."""
+        parts: list[Encoded] = []
+        chunk: list[str] = []
+        size = 0
+
+        def flush():
+            nonlocal chunk, size
+            if chunk:
+                made = self._together(chunk)
+                parts.extend([made] if made is not None else map(self._one, chunk))
+            chunk, size = [], 0
+
+        for u in own:
+            if not u or u[-1].isspace():
+                flush()
+                parts.append(self._one(u))
+                continue
+            chunk.append(u)
+            size += len(u) + 1
+            if size >= CHUNK_CHARS:
+                flush()
+        flush()
+        return Encoded.joined(parts)
 
 
 @lru_cache(maxsize=2)
@@ -192,11 +240,9 @@ def token_groups(ends: np.ndarray, common: np.ndarray) -> Rows:
 class Aligned:
     """Both token sequences of many units side by side, with their links and groups."""
 
-    def __init__(self, t: Tokenizers, both: list[tuple[list[int], list[int]]]):
-        count = lambda k: np.array([len(x[k]) for x in both], np.int64)
-        flat = lambda k: np.array([i for x in both for i in x[k]], np.int64)
-        self.n_a, self.n_b, self.a, self.b = count(0), count(1), flat(0), flat(1)
-        numbers = np.arange(len(both))
+    def __init__(self, t: Tokenizers, x: Encoded):
+        self.n_a, self.n_b, self.a, self.b = x.n_a, x.n_b, x.a, x.b
+        numbers = np.arange(len(x.n_a))
         self.unit_a, self.unit_b = np.repeat(numbers, self.n_a), np.repeat(numbers, self.n_b)
         rows_a, rows_b = token_bytes(t.length_a[self.a]), token_bytes(t.length_b[self.b])
         self.row, self.column, self.shared_bytes = rows_a.product(rows_b.transposed(int(rows_b.start[-1])))
@@ -204,7 +250,7 @@ class Aligned:
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
         self.groups_a, self.groups_b = token_groups(ends_a, common), token_groups(ends_b, common)
         self.n_common = len(common)
-        per = lambda unit, weights=None: np.bincount(unit, weights, minlength=len(both)).astype(np.int64)
+        per = lambda unit, weights=None: np.bincount(unit, weights, minlength=len(x.n_a)).astype(np.int64)
         self.n_links = per(self.unit_a[self.row])
         self.n_groups = per(self.unit_a[np.searchsorted(ends_a, common)])
         self.by_group = self.groups_b.transposed(len(common))
@@ -242,8 +288,7 @@ def alignment_column(df: DataFrame, path_a: str, path_b: str, text: str = "text"
     arrow = to_arrow_type(kind)
 
     def one(t: Tokenizers, text: str) -> dict:
-        a, b, whole = t.unit(text) if text else ([], [], True)
-        x = Aligned(t, [(a, b) if whole else ([], [])])
+        x = Aligned(t, t.encode([text] if text else []))
         pairs = zip(*(v.tolist() for v in x.groups_a.product(x.by_group)[:2]), strict=True) if shared else ()
         last = lambda g: np.cumsum(np.bincount(g.columns, minlength=x.n_common)).tolist()
         return {
@@ -275,39 +320,74 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data[1:]), np.uint16 if data[0] == 2 else np.uint32)
 
 
+class _Numbers(dict):
+    """Numbers units as they come."""
+
+    def __missing__(self, unit: str) -> int:
+        n = self[unit] = len(self)
+        return n
+
+
 class _Flush:
     """Documents whose distinct units are aligned together."""
 
     def __init__(self, t: Tokenizers):
         self.t, self.size = t, 0
-        self.number: dict[str, int] = {}
-        self.both: list[tuple[list[int], list[int]]] = []
-        self.whole: list[bool] = []
+        self.number = _Numbers()
         self.docs: list[tuple[pa.Array, list[np.ndarray]]] = []
 
-    def _numbers(self, parts: list[str]) -> np.ndarray:
-        get, out = self.number.get, []
-        for p in parts:
-            k = get(p)
-            if k is None:
-                a, b, whole = self.t.unit(p)
-                k = self.number[p] = len(self.both)
-                self.both.append((a, b) if whole else ([], []))
-                self.whole.append(whole)
-            out.append(k)
-        return np.array(out, np.int64)
-
-    def add(self, text: str) -> np.ndarray:
-        """The text's units by number; none if it has no tokens."""
-        self.size += len(text)
-        if not text:
-            return np.zeros(0, np.int64)
-        numbers = self._numbers(units(text))
-        if not all(map(self.whole.__getitem__, set(numbers.tolist()))):
-            numbers = self._numbers([text])  # decided by the whole text
-            if not self.whole[numbers[0]]:
-                return np.zeros(0, np.int64)
-        return numbers
+    def add(self, ids: pa.Array, texts: list[str]) -> None:
+        self.docs.append((ids, [np.array(list(map(self.number.__getitem__, units(x))) if x else [], np.uint32) for x in texts]))
+        self.size += sum(map(len, texts))
+
+    def encoded(self) -> Encoded:
+        """All units; texts with a unit that isn't whole are decided by themselves, as further units."""
+        names = list(self.number)
+        found = self.t.encode(names)
+        if found.whole.all():
+            return found
+        more: list[str] = []
+        for _, own in self.docs:
+            for i, k in enumerate(own):
+                if not found.whole[k].all():
+                    more.append(" ".join(map(names.__getitem__, k.tolist())))
+                    own[i] = np.array([len(names) + len(more) - 1], np.uint32)
+        later = Encoded.joined([self.t._one(x) for x in more])
+        for _, own in self.docs:
+            for i, k in enumerate(own):
+                if len(k) == 1 and k[0] >= len(names) and not later.whole[k[0] - len(names)]:
+                    own[i] = k[:0]
+        return Encoded.joined([found, later])
+
+
+class _Units:
+    """What the documents of a flush need of its units, aligned a block at a time."""
+
+    def __init__(self, t: Tokenizers, e: Encoded, times: np.ndarray):
+        at_a, at_b = (np.concatenate([[0], np.cumsum(n)]) for n in (e.n_a, e.n_b))
+        size = np.concatenate([[0], np.cumsum(t.length_a[e.a])])[at_a]
+        cuts = np.searchsorted(size, np.arange(BLOCK_BYTES, size[-1], BLOCK_BYTES)).tolist()
+        counts: dict[str, list[np.ndarray]] = {n: [] for n in ("n_groups", "n_links", "n_shared")}
+        keys, weights, used = [], [], []
+        self.n_a, self.n_b, self.texts = e.n_a, e.n_b, []
+        for i, j in zip([0, *cuts], [*cuts, len(e.n_a)], strict=True):
+            if i < j:
+                x = Aligned(t, e.block(i, j, at_a, at_b))
+                for n, found in counts.items():
+                    found.append(getattr(x, n))
+                self.texts += x.group_texts()
+                own = times[i:j][x.unit_a[x.row]]
+                used.append(own > 0)  # not those of texts that turned out to have no tokens
+                keys.append((x.a[x.row] << 32 | x.b[x.column])[own > 0])
+                weights.append(own[own > 0])
+        none = np.zeros(0, np.int64)
+        self.n_groups, self.n_links, self.n_shared = (np.concatenate([none, *v]) for v in counts.values())
+        self.pair, at = np.unique(np.concatenate([none, *keys]), return_inverse=True)
+        self.n = np.zeros(len(self.pair), np.int64)
+        np.add.at(self.n, at, np.concatenate([none, *weights]))
+        used = np.concatenate([none.astype(bool), *used])
+        self.place = np.zeros(len(used), np.uint32)
+        self.place[used] = at
 
 
 def _flushed(docs: DataFrame, path_a: str, path_b: str, flush_bytes: int) -> DataFrame:
@@ -315,29 +395,21 @@ def _flushed(docs: DataFrame, path_a: str, path_b: str, flush_bytes: int) -> Dat
     schema = T.StructType([*T.StructType.fromDDL(_FLUSHED), docs.schema["doc_id"]])
 
     def rows(f: _Flush, flush: int, fields: pa.Schema):
-        x = Aligned(f.t, f.both)
-        texts = x.group_texts()
-        times = np.zeros(len(f.both), np.int64)
-        for _, own in f.docs:
-            for numbers in own:
-                times += np.bincount(numbers, minlength=len(times))
-        used = times[x.unit_a[x.row]] > 0  # units of texts that turned out to have no tokens
-        pair, at = np.unique((x.a[x.row] << 32 | x.b[x.column])[used], return_inverse=True)
-        n = np.zeros(len(pair), np.int64)
-        np.add.at(n, at, times[x.unit_a[x.row]][used])
-        place = np.zeros(len(x.row), np.int64)
-        place[used] = at
+        e = f.encoded()
+        f.number = None
+        numbers = np.concatenate([np.zeros(0, np.uint32), *(k for _, own in f.docs for k in own)])
+        x = _Units(f.t, e, np.bincount(numbers, minlength=len(e.n_a)))
         links = _packed(x.n_links)
-        packed = len(links).to_bytes(8, "little") + links + _packed(place)
+        packed = len(links).to_bytes(8, "little") + links + _packed(x.place)
 
         def made(values: dict, count: int):
             return pa.RecordBatch.from_arrays([values[c.name] if c.name in values else pa.nulls(count, c.type) for c in fields], schema=fields)
 
-        listed = {c: pa.array([v.tolist()], fields.field(c).type) for c, v in (("a", pair >> 32), ("b", pair & 0xFFFFFFFF), ("n", n))}
+        listed = {c: pa.array([v.tolist()], fields.field(c).type) for c, v in (("a", x.pair >> 32), ("b", x.pair & 0xFFFFFFFF), ("n", x.n))}
         yield made(listed | {"flush": pa.array([flush], pa.int64()), "kind": pa.array([0], pa.int32()), "links": pa.array([packed], pa.binary())}, 1)
         for ids, own in f.docs:
             sums = {c: pa.array([int(v[k].sum()) for k in own], pa.int64()) for c, v in (("n_a", x.n_a), ("n_b", x.n_b), ("n_groups", x.n_groups), ("n_links", x.n_links), ("n_shared", x.n_shared))}
-            sha = [hashlib.sha256(b";".join(map(texts.__getitem__, k.tolist()))).hexdigest() if len(k) else "" for k in own]
+            sha = [hashlib.sha256(b";".join(map(x.texts.__getitem__, k.tolist()))).hexdigest() if len(k) else "" for k in own]
             yield made(sums | {"flush": pa.array([flush] * len(own), pa.int64()), "kind": pa.array([1] * len(own), pa.int32()), "groups_sha256": pa.array(sha, pa.string()), "units": pa.array([_packed(k) for k in own], pa.binary()), "doc_id": ids}, len(own))
 
     def run(batches):
@@ -348,7 +420,7 @@ def _flushed(docs: DataFrame, path_a: str, path_b: str, flush_bytes: int) -> Dat
         for batch in batches:
             for at, texts in text_slices(batch.column(1), BATCH_BYTES):
                 f = f or _Flush(t)
-                f.docs.append((batch.column(0).slice(at, len(texts)), [f.add(x.decode()) for x in texts]))
+                f.add(batch.column(0).slice(at, len(texts)), [x.decode() for x in texts])
                 if f.size >= flush_bytes:
                     yield from rows(f, task << 32 | nth, fields)
                     nth, f = nth + 1, None

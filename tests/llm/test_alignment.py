@@ -109,6 +109,10 @@ def test_units_join_to_the_whole(plain):
         assert "".join(" " + p for p in parts) == " " + text
         assert [i for p in parts for i in t.a.encode(p)] == whole[0]
         assert [i for p in parts for i in t.b.encode(p)] == whole[1]
+        e = t.encode(parts)
+        if e.whole.all():
+            assert (e.a.tolist(), e.b.tolist()) == whole
+        assert e.n_a.tolist() == [len(t.a.encode(p)) * ok for p, ok in zip(parts, e.whole, strict=True)]
 
 
 @pytest.mark.parametrize("flush", [1, 700, 1 << 20])
