@@ -141,7 +141,9 @@ def near_words(words: DataFrame, line: int = LINE, most: int = DICTIONARY, short
     listed = stored(_listed(words, frequent_grams(words, line, most, shortest, longest), shortest, longest))
     left = listed.select("key", F.col("word").alias("a"), F.col("n").alias("n_a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"))
     right = listed.select("key", F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))
-    fits = (F.col("a") < F.col("b")) & (F.abs(F.col("size_a") - F.col("size_b")) <= 1) & (F.abs(F.col("place_a") - F.col("place_b")) <= 1)
+    # One edit leaves a gram where it was, counted from the start or from the end.
+    aligned = (F.col("place_a") == F.col("place_b")) | (F.col("place_a") - F.col("size_a") == F.col("place_b") - F.col("size_b"))
+    fits = aligned & (F.abs(F.col("size_a") - F.col("size_b")) <= 1) & (F.col("a") < F.col("b"))
     pairs = left.join(right, "key").where(fits & (F.levenshtein("a", "b", 1) == 1))
     return pairs.select("a", "n_a", "b", "n_b").distinct()
 
