@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, discard, stored
 
-LETTERS = "[A-Za-zÀ-ÿ]+"
+LETTERS = "[A-Za-zÀ-ÿ]"
 SHORTEST, LONGEST = 2, 5  # code points of a gram
 LINE = 48  # places of words that share a gram which is not frequent
 DICTIONARY = 200_000  # frequent grams of each length at most
@@ -55,7 +55,8 @@ def slipped(doc_id: Column, run: Column) -> Column:
 
 def word_counts(docs: DataFrame, least_length: int = LEAST_LENGTH, least_times: int = LEAST_TIMES) -> DataFrame:
     """word, n of all words of ``docs`` (doc_id, text) that are long and frequent enough."""
-    runs = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(LETTERS), F.lit(0))).alias("run"))
+    # Runs that are too short stay so without a letter; the longest match is the whole run.
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"{LETTERS}{{{least_length},}}"), F.lit(0))).alias("run"))
     words = runs.select(slipped(F.col("doc_id"), F.translate("run", UPPER, LOWER)).alias("word")).where(F.char_length("word") >= least_length)
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_times)
 
