@@ -139,7 +139,9 @@ def near_words(words: DataFrame, line: int = LINE, most: int = DICTIONARY, short
     """Pairs a < b of ``words`` (word, n; distinct, of at least shortest + longest code points) one edit apart: a, n_a, b, n_b."""
     if words.where(F.char_length("word") < shortest + longest).limit(1).count():
         raise ValueError(f"words must have at least {shortest + longest} code points")
-    listed = stored(_listed(words, frequent_grams(words, line, most, shortest, longest), shortest, longest))
+    listed = _listed(words, frequent_grams(words, line, most, shortest, longest), shortest, longest)
+    # Keys meet by their hash: short rows, and what a collision adds isn't near.
+    listed = stored(listed.select(F.xxhash64("key").alias("key"), "word", "n", "size", "place"))
     left = listed.select("key", F.col("word").alias("a"), F.col("n").alias("n_a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"))
     right = listed.select("key", F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))
     # One edit leaves a gram where it was, counted from the start or from the end.
