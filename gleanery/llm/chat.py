@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 _OPEN = re.compile(r"<(\\*)\|")
@@ -91,6 +93,7 @@ def format_turns(turns: DataFrame, partitions: int | None = None) -> DataFrame:
     laid end to end are the conversation.  Assistant texts are under the loss:
     their code points [loss_start, loss_end) of the piece, else null.
     """
+    bounded_batches(turns.sparkSession)
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.repartition(partitions, "conv_id") if partitions else rows.repartition("conv_id")
     ordered = dealt.sortWithinPartitions("conv_id", "turn", "role", "text")

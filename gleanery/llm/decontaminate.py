@@ -8,9 +8,10 @@ which those with the window's hash are compared as text.  Windows of one length
 share tables; each length of shorter items has its own.
 
 The pattern tables are broadcast only up to ``max_block_bytes`` of item text.
-Beyond that the items are dealt into hash blocks of at most about that size and
-the documents are searched against one block after another (the item set is a
-stated query set); covered spans of the blocks are merged by text.
+Beyond that the distinct items are dealt into hash blocks of about that size (the
+item set is a stated query set).  One sorted pass over the items builds the blocks,
+and one pass over the documents searches all of them: a task takes ``PASS_BYTES`` of
+text at a time through one block after another and holds one block's tables.
 
 Words are maximal runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after
 lower-casing A-Z, so on UTF-8 bytes: a-z, 0-9 and every byte from 0x80 on.
@@ -23,13 +24,15 @@ they did; other columns stay (see ``common`` for names).
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import adder, hidden, mix64, shown, text_slices
+from .common import adder, mix64, text_slices
 from .shingles import word_hashes
 
 WINDOW = 10
@@ -37,6 +40,7 @@ BLOCK_WORDS = 2
 MAX_BLOCK_BYTES = 16_000_000  # of item text; its index takes about five times as much
 LANE = 256
 BATCH_BYTES = 1_000_000
+PASS_BYTES = 24_000_000  # of text that goes through all blocks before the next is read
 _ODD = 0x9E3779B97F4A7C15
 
 _KEEP = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
@@ -178,32 +182,46 @@ SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("sto
 SPANS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(SPAN)), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
-def _search(docs: DataFrame, index) -> DataFrame:
-    """Add SPANS to ``docs``; ``index`` is a broadcast Index."""
+def _search(docs: DataFrame, indexes: list) -> DataFrame:
+    """Add SPANS to ``docs``; ``indexes`` are broadcast Indexes."""
     schema, build = adder(docs, list(SPANS))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+    def column(batch):
+        return batch.column(batch.schema.get_field_index("text"))
+
+    def found(ix, batch):
+        return [r for _, own in text_slices(column(batch), BATCH_BYTES) for r in ix.search(own)]
+
+    def searched(batches):
+        if len(indexes) == 1:
+            yield from (found(indexes[0].value, batch) for batch in batches)
+            return
+        rows = [None] * len(batches)
+        for index in indexes:
+            for i, batch in enumerate(batches):
+                own = found(index.value, batch)
+                rows[i] = own if rows[i] is None else [(n, _joined(x + y), sorted({*a, *b})) for (n, x, a), (_, y, b) in zip(rows[i], own, strict=True)]
+            vars(index).pop("_value", None)  # the next block's tables take its place
+        yield from rows
 
     def run(batches):
-        ix = index.value
-        for batch in batches:
-            rows = [r for _, own in text_slices(batch.column(batch.schema.get_field_index("text")), BATCH_BYTES) for r in ix.search(own)]
-            spans = [[{"start": a, "stop": b} for a, b in r[1]] for r in rows]
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-            yield build(batch, [pa.array([r[0] for r in rows], pa.int64()), pa.array(spans, kind), pa.array([r[2] for r in rows], pa.list_(pa.string()))])
-
-    return docs.mapInArrow(run, schema)
+        held, size = [], 0
 
+        def done():
+            for batch, rows in zip(held, searched(held), strict=True):
+                spans = [[{"start": a, "stop": b} for a, b in r[1]] for r in rows]
+                yield build(batch, [pa.array([r[0] for r in rows], pa.int64()), pa.array(spans, kind), pa.array([r[2] for r in rows], pa.list_(pa.string()))])
 
-def _merge(spans):
-    """Union of sorted spans, as a column expression."""
-    start = F.array().cast("array<struct<start:int,stop:int>>")
-
-    def step(acc, s):
-        last = F.element_at(acc, -1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"))
-        touches = (F.size(acc) > 0) & (s["start"] <= last["stop"])
-        return F.when(touches, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(s)))
+        for batch in batches:
+            held.append(batch)
+            size += column(batch).nbytes
+            if len(indexes) == 1 or size >= PASS_BYTES:
+                yield from done()
+                held, size = [], 0
+        yield from done()
 
-    return F.aggregate(F.array_sort(spans), start, step)
+    return docs.mapInArrow(run, schema)
 
 
 def search_items(docs: DataFrame, items: DataFrame, size: int = WINDOW, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
@@ -212,27 +230,14 @@ def search_items(docs: DataFrame, items: DataFrame, size: int = WINDOW, max_bloc
     ``items`` has item_id and text.
     """
     spark = docs.sparkSession
-    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("body"))
+    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("body")).distinct()
     total = rows.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total // max_block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("item", "body"), F.lit(blocks)))
-
-    def index(b: int):
-        own = [(r["item"], r["body"].encode()) for r in dealt.where(F.col("block") == b).toLocalIterator()]
-        return spark.sparkContext.broadcast(Index(own, size))
-
-    if blocks == 1:
-        return _search(docs, index(0))
-    # A text names its spans: equal texts have equal ones.
-    keyed = hidden(docs, "text").withColumns({"text_a": F.xxhash64("text"), "text_b": F.hash("text")})
-    parts = None
-    for b in range(blocks):
-        found = _search(keyed.select("text_a", "text_b", "text"), index(b)).drop("text")
-        found = found.where(F.lit(b == 0) | (F.size("items") > 0))
-        parts = found if parts is None else parts.unionByName(found)
-    merged = parts.groupBy("text_a", "text_b").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    merged = merged.withColumn("spans", _merge("spans"))
-    return keyed.join(merged, ["text_a", "text_b"]).select(*shown(docs.columns, "text", without=tuple(SPANS.names)), *SPANS.names)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("item", "body"), F.lit(blocks))).orderBy("block")
+    made = []
+    for _, own in groupby(dealt.toLocalIterator(), lambda r: r["block"]):
+        made.append(spark.sparkContext.broadcast(Index([(r["item"], r["body"].encode()) for r in own], size)))
+    return _search(docs, made or [spark.sparkContext.broadcast(Index([], size))])
 
 
 def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -37,6 +37,8 @@ MAX_LANGUAGES = MAX_SAMPLE // 8
 FIT_BYTES = 20_000
 BUCKETS = 1 << 14
 BATCH_BYTES = 1_000_000
+PIECE = 1 << 18  # bytes whose grams are counted together
+GROUP = 128  # texts whose counts are multiplied together
 
 # Families of languages by ISO 639-1 code.
 FAMILIES = {
@@ -67,16 +69,27 @@ def grams(flat: np.ndarray) -> list[np.ndarray]:
 
 
 def _bytes(text: str) -> bytes:
-    return b"  " + text.lower().encode() + b" "
+    """Lower-cased, a piece at a time; pieces begin at white space, so no letter's neighbour is missed."""
+    parts, at = [b"  "], 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        parts.append(text[at:end].lower().encode())
+        at = end
+    return b"".join([*parts, b" "])
 
 
 def features(texts: list[str]) -> np.ndarray:
+    """Texts x BUCKETS: the share of each feature; a text's bytes are counted ``PIECE`` at a time."""
     out = np.zeros((len(texts), BUCKETS), np.float32)
     for i, t in enumerate(texts):
         flat = np.frombuffer(_bytes(t), np.uint8)
-        for g in grams(flat):
-            out[i] += np.bincount(g[2:], minlength=BUCKETS)
-        out[i] /= 3 * (len(flat) - 2)
+        counts = np.zeros(BUCKETS, np.int64)
+        for at in range(0, len(flat) - 2, PIECE):
+            for g in grams(flat[at : at + PIECE + 2]):  # those that end in the first two bytes were counted before
+                counts += np.bincount(g[2:], minlength=BUCKETS)
+        out[i] = counts / (3 * (len(flat) - 2))
     return out
 
 
@@ -123,20 +136,11 @@ class Model:
             self.shifts = np.array([b for _, b in columns])
 
     def margins(self, texts: list[str]) -> np.ndarray:
+        """Texts x machines; neither grows with the texts' length, and ``GROUP`` texts are counted at a time."""
         if not self.weights.shape[1]:
             return np.zeros((len(texts), 0))
-        flat = [_bytes(t) for t in texts]
-        sizes = np.fromiter(map(len, flat), np.int64, len(flat))
-        starts = np.cumsum(sizes) - sizes
-        b = np.frombuffer(b"".join(flat), np.uint8)
-        skip = np.ones(len(b), bool)
-        skip[starts] = skip[starts + 1] = False
-        total = None
-        for g in grams(b):
-            part = self.weights[g]
-            total = part if total is None else total + part
-        total[~skip] = 0
-        return np.add.reduceat(total.astype(np.float64), starts, axis=0) / (3 * (sizes - 2))[:, None] + self.shifts
+        parts = [features(texts[i : i + GROUP]) @ self.weights for i in range(0, len(texts), GROUP)]
+        return np.concatenate([np.zeros((0, self.weights.shape[1])), *parts]) + self.shifts
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """(language, score) for texts that have a letter."""

@@ -13,15 +13,20 @@ kind's texts, at most ``TRAIN_BYTES`` bytes of them (the library's trainer takes
 time beyond proportion); the rest fit the curve.  Scoring covers every row and
 whole texts.
 
-Defined results: null and empty texts score what a difference of 0 gives; with
-fewer than ``LEAST`` usable texts of either kind, or too few bytes for the trainer,
-every score is the share of good labels (0.5 without any); null labels are skipped; a null id is never held out.  ``score_column``
+Where there is too little text for the library's trainer, a kind's texts themselves
+are its dictionary (its last ``DICTIONARY_BYTES``), and a kind of a single text fits
+the curve on that text too.
+
+Defined results: null and empty texts score what a difference of 0 gives; without
+a usable text of either kind every score is the share of good labels (0.5 without
+any); null labels are skipped; a null id is never held out.  ``score_column``
 keeps all columns, ``quality_scores`` carries none.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +40,6 @@ PER_CLASS = 2000
 FIT_BYTES = 20_000
 DICTIONARY_BYTES = 262_144
 TRAIN_BYTES = 8_000_000
-LEAST = 16
 BLOCK = 500
 LEVEL = 3
 BATCH_BYTES = 1_000_000
@@ -102,14 +106,14 @@ def fit_model(rows: list[tuple[bytes, int]], weight: float | None = None) -> Mod
     share = weight if weight is not None else (sum(y for _, y in rows) / len(rows) if rows else 0.5)
     prior = math.log(max(share, 1e-3) / max(1 - share, 1e-3))
     kinds = [[t for t, y in rows if y == k and t] for k in (0, 1)]
-    if min(map(len, kinds)) < LEAST:
+    if not all(kinds):
         return Model(shift=prior)
     import zstandard
 
-    raw = []
-    for own in kinds:
+    raw, cut = [], [max(1, len(own) * 2 // 3) for own in kinds]
+    for own, n in zip(kinds, cut, strict=True):
         parts, total = [], 0
-        for t in own[: len(own) * 2 // 3]:
+        for t in own[:n]:
             for p in (t[i : i + 2000] for i in range(0, len(t), 2000)):
                 if total < TRAIN_BYTES:
                     parts.append(p)
@@ -117,11 +121,11 @@ def fit_model(rows: list[tuple[bytes, int]], weight: float | None = None) -> Mod
         try:
             raw.append(zstandard.train_dictionary(min(DICTIONARY_BYTES, max(2048, total // 4)), parts).as_bytes())
         except zstandard.ZstdError:  # too little text to train on
-            return Model(shift=prior)
+            raw.append(b"".join(parts)[-DICTIONARY_BYTES:])
     model = Model(raw[1], raw[0])
     x, y = [], []
     for k, own in enumerate(kinds):
-        for t in own[len(own) * 2 // 3 :]:
+        for t in own[cut[k] :] or own:
             x.append(model.difference(t))
             y.append(k)
     y = np.array(y, float)
@@ -140,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * PER_CLASS rows
     found = docs.where(F.octet_length("text") <= FIT_BYTES).select("doc_id", "text").join(sample, "doc_id")
     rows = found.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()  # not more than ``sample`` has
-    rows.sort(key=lambda r: (hash((r["doc_id"], 11)), r["text"]))
+    rows.sort(key=lambda r: (zlib.crc32(f"fit:{r['doc_id']}".encode()), str(r["doc_id"]), r["text"]))
     n = sum(counts.values())
     return fit_model([(r["text"].encode(), r["quality"]) for r in rows], counts.get(1, 0) / n if n else None)
 

@@ -289,5 +289,5 @@ def test_no_column_is_touched(spark):
 
 
 def test_registered():
-    assert sorted(n.split("_")[0] for n in queries()) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(n.split("_")[0] for n in queries()) == sorted(f"op{i}" for i in range(1, 14))
     assert set(oracle_sql()) <= set(queries())

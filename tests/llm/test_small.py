@@ -249,3 +249,29 @@ def test_language_margins():
     want = language.features(some).astype(np.float64) @ model.weights + model.shifts
     assert np.allclose(model.margins(some), want, atol=1e-4)
     assert sum(p == v for (p, _), v in zip(model.predict(texts), langs, strict=True)) >= 76
+
+
+def test_language_memory():
+    """Neither many machines nor one very long text make large arrays; pieces and groups give what one count gives."""
+    import tracemalloc
+
+    model = language.Model([], [])
+    model.weights, model.shifts = np.random.default_rng(1).normal(size=(language.BUCKETS, 300)).astype(np.float32), np.zeros(300)
+    long = "Grüße an die Welt. " * 1_000_000  # 20 MB
+    small = [f"text number {i}" for i in range(3000)]
+    tracemalloc.start()
+    far = model.margins([long])
+    assert tracemalloc.get_traced_memory()[1] < 8 * len(long.encode())
+    tracemalloc.reset_peak()
+    near = model.margins(small)
+    assert tracemalloc.get_traced_memory()[1] < 120_000_000
+    tracemalloc.stop()
+    assert np.allclose(near[130], model.margins([small[130]])[0], atol=1e-5)
+    assert np.allclose(far[0], language.features([long])[0] @ model.weights, atol=1e-4)
+
+
+def test_language_pieces(monkeypatch):
+    text = "Ein Satz, der über mehrere Stücke geht; " * 40
+    whole = language.features([text])
+    monkeypatch.setattr(language, "PIECE", 7)
+    assert np.array_equal(language.features([text]), whole)
