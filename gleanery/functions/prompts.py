@@ -45,17 +45,30 @@ def evidence_block(docs: Column) -> Column:
     return F.array_join(F.transform(docs, one), "\n\n")
 
 
-def selector_input(query: Column, candidate: Column, selected: Column, max_docs: int = 4, max_query: int = 2000, max_candidate: int = 5000, max_selected: int = 5000) -> Column:
-    """State-aware input of a scoring model; claim and candidate come before the history."""
-    last = F.slice(selected, F.greatest(F.size(selected) - (max_docs - 1), F.lit(1)), max_docs)
-    history = F.array_join(F.transform(last, lambda d, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), titled(d["title"], d["text"]))), "\n")
-    history = F.when(F.size(selected) > 0, history).otherwise(F.lit("None"))
+TASK = "\n\nTask:\nScore how useful the candidate evidence is as an additional evidence item for verifying the claim, considering the already selected evidence."
+MAX_DOCS, MAX_QUERY, MAX_CANDIDATE, MAX_SELECTED = 4, 2000, 5000, 5000
+
+
+def selector_head(query: Column, candidate: Column, max_query: int = MAX_QUERY, max_candidate: int = MAX_CANDIDATE) -> Column:
+    """A selector's input up to the selected evidence: the same in every state."""
     return F.concat(
         F.lit("Claim:\n"),
         F.substring(F.coalesce(query, F.lit("None")), 1, max_query),
         F.lit("\n\nCandidate evidence:\n"),
         F.substring(titled(candidate["title"], candidate["text"]), 1, max_candidate),
         F.lit("\n\nAlready selected evidence:\n"),
-        F.substring(history, 1, max_selected),
-        F.lit("\n\nTask:\nScore how useful the candidate evidence is as an additional evidence item for verifying the claim, considering the already selected evidence."),
     )
+
+
+def selector_history(selected: list[str], max_docs: int = MAX_DOCS, max_selected: int = MAX_SELECTED) -> str:
+    """What follows the head in a state: the last selected documents (``titled``), numbered, and the task."""
+    shown = "\n".join(f"[{i + 1}] {d}" for i, d in enumerate(selected[-max_docs:])) if selected else "None"
+    return shown[:max_selected] + TASK
+
+
+def selector_input(query: Column, candidate: Column, selected: Column, max_docs: int = MAX_DOCS, max_query: int = MAX_QUERY, max_candidate: int = MAX_CANDIDATE, max_selected: int = MAX_SELECTED) -> Column:
+    """State-aware input of a scoring model; claim and candidate come before the history."""
+    last = F.slice(selected, F.greatest(F.size(selected) - (max_docs - 1), F.lit(1)), max_docs)
+    history = F.array_join(F.transform(last, lambda d, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), titled(d["title"], d["text"]))), "\n")
+    history = F.when(F.size(selected) > 0, history).otherwise(F.lit("None"))
+    return F.concat(selector_head(query, candidate, max_query, max_candidate), F.substring(history, 1, max_selected), F.lit(TASK))

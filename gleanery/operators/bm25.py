@@ -5,6 +5,15 @@ times the mean idf).  N and the average length cover all documents, also those
 without tokens.
 
 ``build_index`` reads and tokenises the corpus once; retrieval works on its tables.
+The term table lies in buckets by document, so a document's score is summed up where
+its postings lie, and a task hands on no more than its own top_n of each query.
+
+A term's postings lie in blocks of equal impact (``LEVELS`` steps of the most that an
+occurrence can weigh), so a block's step bounds all its postings.  ``retrieve`` first
+scores documents that have each query's rarest terms; the top_n-th of these scores
+is the query's threshold.  Then only blocks are met whose bound, with the most that
+all other terms can add, reaches it, and documents that have none but terms which
+cannot reach it together are never met.
 """
 
 from __future__ import annotations
@@ -13,10 +22,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import indexed_text, tokens
-from ..sources.tables import written
+from ..sources.tables import discard, rows_of, written, written_in_buckets
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 9  # scores are ranked and returned so rounded: sums in any order then tie alike
+LEVELS = 256
+FIRST = 25
+SLACK = 1e-6  # below a threshold, for sums in another order
 SMALL_QUERIES = 200_000  # query terms, or retrieved rows, up to which they are broadcast
 
 
@@ -53,46 +65,137 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return rows.groupBy("id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
+def weight() -> Column:
+    """What ``tf`` occurrences in a document of ``length`` weigh, before the idf: above 0 and below K1 + 1."""
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
+
+
+def level() -> Column:
+    """The block of a posting; none of its postings weighs more than ``bound``."""
+    return F.floor(weight() / (K1 + 1) * LEVELS).cast("int")
+
+
+def bound(level: Column) -> Column:
+    return (level + 1) * (K1 + 1) / LEVELS
+
+
 class Index:
-    """terms (doc_ord, term, tf, length), frequency (term, df, total) and size (one row: n, avgdl)."""
+    """terms (doc_ord, term, tf, length), blocks (term, level, postings), frequency (term, df) and size (one row: n, avgdl)."""
+
+    def __init__(self, terms: DataFrame, blocks: DataFrame, frequency: DataFrame, size: DataFrame):
+        self.terms, self.blocks, self.frequency, self.size = terms, blocks, frequency, size
 
-    def __init__(self, terms: DataFrame, frequency: DataFrame, size: DataFrame):
-        self.terms, self.frequency, self.size = terms, frequency, size
 
+def build_index(corpus: DataFrame, bucket_docs: int = 50_000) -> Index:
+    """Write the term table, its blocks and the document frequencies; the corpus is tokenised once.
 
-def build_index(corpus: DataFrame) -> Index:
-    """Write the term table and the document frequencies; the corpus is tokenised once."""
-    terms = written(document_terms(corpus))
-    frequency = written(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")))
-    size = corpus.agg(F.count(F.lit(1)).alias("n")).crossJoin(frequency.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("words")))
-    return Index(terms, frequency, written(size.select("n", (F.col("words") / F.col("n")).alias("avgdl"))))
+    There are at least eight buckets, and one for each ``bucket_docs`` documents.
+    """
+    n = corpus.count()
+    terms = written_in_buckets(document_terms(corpus), max(8, n // bucket_docs), "doc_ord", ["doc_ord", "term"])
+    words = terms.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
+    size = written(words.select(F.lit(n).cast("long").alias("n"), (F.col("words") / n if n else F.lit(None).cast("double")).alias("avgdl")))
+    placed = terms.crossJoin(F.broadcast(size.select("avgdl"))).select("term", level().alias("level"))
+    blocks = written(placed.groupBy("term", "level").agg(F.count(F.lit(1)).alias("postings")))
+    return Index(terms, blocks, written(blocks.groupBy("term").agg(F.sum("postings").alias("df"))), size)
 
 
-def scores(queries: DataFrame, index: Index) -> DataFrame:
-    """id, doc_ord, score of all documents that share a term with the query.
+def asked_terms(queries: DataFrame, index: Index) -> DataFrame:
+    """id, term, times, df, avgdl, gain (times * idf), most (what the term can add at most) of all query terms that the corpus has.
 
-    Only the queries' terms get statistics (the mean idf needs one pass over the
-    document frequencies), and the term table is cut to them first.  The query
-    side is broadcast only when it is counted small; else both sides shuffle by
-    term, where adaptive execution splits hot terms.
+    Only the queries' terms get statistics; the mean idf needs one pass over the
+    document frequencies.
     """
     asked = query_terms(queries)
-    few = queries.agg(F.coalesce(F.sum(F.size(tokens(F.col("query")))), F.lit(0)).alias("n")).first()["n"] <= SMALL_QUERIES
-    hint = F.broadcast if few else lambda x: x
     size = F.broadcast(index.size)
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     mean = F.broadcast(index.frequency.crossJoin(size).agg(F.avg(raw).alias("mean")))
-    own = index.frequency.join(hint(asked.select("term").distinct()), "term", "left_semi").crossJoin(size).crossJoin(mean)
-    stats = own.select("term", "avgdl", F.when(raw < 0, EPSILON * F.col("mean")).otherwise(raw).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    hits = index.terms.join(hint(asked.join(stats, "term")), "term")
-    return hits.groupBy("id", "doc_ord").agg(F.round(F.sum(F.col("times") * part), DIGITS).alias("score"))
+    own = index.frequency.join(asked.select("term").distinct(), "term", "left_semi").crossJoin(size).crossJoin(mean)
+    stats = own.select("term", "df", "avgdl", F.when(raw < 0, EPSILON * F.col("mean")).otherwise(raw).alias("idf"))
+    top = index.blocks.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(bound(F.max("level")).alias("top"))
+    gain = F.col("times") * F.col("idf")
+    return asked.join(stats, "term").join(top, "term").select("id", "term", "times", "df", "avgdl", gain.alias("gain"), F.greatest(gain * F.col("top"), F.lit(0.0)).alias("most"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` broadcast if it is counted small; else both sides of its join shuffle, where adaptive execution splits hot keys."""
+    return F.broadcast(df) if rows_of(df) <= SMALL_QUERIES else df
+
+
+def _sums(terms: DataFrame, asked: DataFrame) -> DataFrame:
+    """id, doc_ord, part: the sum over the postings of ``terms`` that ``asked`` (id, term, gain, avgdl) asks for."""
+    return terms.join(asked, "term").groupBy("id", "doc_ord").agg(F.sum(F.col("gain") * weight()).alias("part"))
+
+
+def scores(queries: DataFrame, index: Index) -> DataFrame:
+    """id, doc_ord, score of all documents that share a term with the query."""
+    asked = written(asked_terms(queries, index))
+    return _sums(index.terms, _small(asked)).select("id", "doc_ord", F.round("part", DIGITS).alias("score"))
+
+
+def _added(pairs: DataFrame, asked: DataFrame, terms: DataFrame) -> DataFrame:
+    """``pairs`` (id, doc_ord, ...) with a row for each term of ``asked`` (id, term, gain, avgdl), and its ``part`` where the document has it."""
+    wanted = pairs.join(asked.select("id", "term", "gain", "avgdl"), "id", "left")
+    found = wanted.join(terms, ["doc_ord", "term"], "left")
+    return found.withColumn("part", F.coalesce(F.col("gain") * weight(), F.lit(0.0)))
+
+
+def thresholds(asked: DataFrame, index: Index, top_n: int) -> DataFrame:
+    """id, least (written): a score above 0 that the query's top_n-th document reaches; no row where fewer than top_n were met.
+
+    Met and scored are the documents of the query's rarest terms, as long as the
+    terms before have less than ``FIRST`` * top_n postings together or none of them
+    top_n; of a term that has more by itself the best blocks that hold top_n postings.
+    """
+    rare = Window.partitionBy("id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    before, reached = F.coalesce(F.sum("df").over(rare), F.lit(0)), F.coalesce(F.max(F.col("df") >= top_n).over(rare), F.lit(False))
+    chosen = asked.withColumn("early", (before < FIRST * top_n) | ~reached).where("early").select("id", "term", "df")
+    long = chosen.where(F.col("df") > FIRST * top_n).select("term").distinct()
+    down = Window.partitionBy("term").orderBy(F.col("level").desc())  # at most LEVELS rows
+    cut = index.blocks.join(long, "term", "left_semi").withColumn("upto", F.sum("postings").over(down)).groupBy("term").agg(F.max(F.when(F.col("upto") >= top_n, F.col("level"))).alias("cut"))
+    best = written(chosen.join(cut, "term", "left").select("id", "term", F.coalesce("cut", F.lit(0)).alias("cut")))
+    first = index.terms.crossJoin(F.broadcast(index.size.select("avgdl"))).join(_small(best), "term").where(level() >= F.col("cut")).select("id", "doc_ord").distinct()
+    sums = _added(first, _small(asked), index.terms).groupBy("id", "doc_ord").agg(F.sum("part").alias("part"))
+    ranked = sums.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy(F.col("part").desc()))).where(F.col("at") <= top_n)
+    out = written(ranked.where((F.col("at") == top_n) & (F.col("part") > 0)).select("id", F.col("part").alias("least")))
+    discard(best)
+    return out
+
+
+def best_scores(queries: DataFrame, index: Index, top_n: int) -> DataFrame:
+    """id, doc_ord, score (written): each query's top_n documents with a score above 0, ties in corpus order.
+
+    Where a gain is negative (tiny corpora) all documents with a common term.
+    """
+    asked = written(asked_terms(queries, index))
+    few = F.broadcast if rows_of(asked) <= SMALL_QUERIES else lambda x: x  # parts of it are no larger
+    if asked.where("gain < 0").limit(1).count():
+        out = written(_sums(index.terms, few(asked)).select("id", "doc_ord", F.round("part", DIGITS).alias("score")))
+        discard(asked)
+        return out
+    least = thresholds(asked, index, top_n)
+    up = Window.partitionBy("id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("id")
+    terms = asked.join(least, "id", "left").withColumn("upto", F.sum("most").over(up)).withColumn("others", F.sum("most").over(whole) - F.col("most"))
+    # Documents that have none but the terms that stay below the threshold together can't reach it.
+    terms = terms.withColumn("idle", F.coalesce(F.col("upto") < F.col("least") - SLACK, F.lit(False)))
+    terms = written(terms.withColumn("rest", F.coalesce(F.sum(F.when(F.col("idle"), F.col("most"))).over(whole), F.lit(0.0))))
+    enough = lambda most: F.col("least").isNull() | (most >= F.col("least") - SLACK)
+    hits = index.terms.join(few(terms.where("not idle")), "term").where(enough(F.col("gain") * bound(level()) + F.col("others")))
+    met = hits.groupBy("id", "doc_ord").agg(F.sum(F.col("gain") * weight()).alias("own"), F.first("rest").alias("rest"), F.first("least").alias("least")).where(enough(F.col("own") + F.col("rest")))
+    late = _added(met, few(terms.where("idle")), index.terms).groupBy("id", "doc_ord", "own", "least").agg(F.sum("part").alias("late"))
+    total = late.select("id", "doc_ord", "least", (F.col("own") + F.col("late")).alias("sum")).where(enough(F.col("sum")))
+    scored = total.select("id", "doc_ord", F.round("sum", DIGITS).alias("score")).where("score > 0")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.col("score").desc(), "doc_ord"))
+    out = written(scored.withColumn("place", place).where(F.col("place") <= top_n).drop("place"))
+    discard(asked, least, terms)
+    return out
 
 
 def retrieve(queries: DataFrame, corpus: DataFrame, top_n: int, index: Index | None = None) -> DataFrame:
     """id, rank, doc_ord, score: the top ``top_n`` documents, ties in corpus order.
 
-    Queries with fewer matches are filled up with documents of score 0 in corpus
+    Queries with fewer matches (these have no threshold) are filled up with documents of score 0 in corpus
     order.  Those lie among the first (top_n + most matches) documents, so no
     query meets the whole corpus: with p < top_n matches at most p of the first
     2 top_n are taken.  Where a score can be negative (tiny corpora) the reach is
@@ -100,7 +203,7 @@ def retrieve(queries: DataFrame, corpus: DataFrame, top_n: int, index: Index | N
     """
     if top_n <= 0:
         raise ValueError("top_n must be positive")
-    matched = written(scores(queries, index or build_index(corpus)))
+    matched = best_scores(queries, index or build_index(corpus), top_n)
     best = Window.partitionBy("id").orderBy(F.col("score").desc(), "doc_ord")
     top = matched.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n)
     found = matched.groupBy("id").agg(F.count(F.lit(1)).alias("matches"), F.min("score").alias("least"), F.count_if(F.col("score") > 0).alias("above"))
@@ -118,19 +221,20 @@ def retrieve(queries: DataFrame, corpus: DataFrame, top_n: int, index: Index | N
 
 def with_documents(top: DataFrame, corpus: DataFrame) -> DataFrame:
     """``top`` joined to its documents."""
-    top = written(top)
-    return corpus.join(F.broadcast(top) if top.count() <= SMALL_QUERIES else top, "doc_ord")
+    return corpus.join(_small(written(top)), "doc_ord")
 
 
-def nest_candidates(top: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
+def nest_candidates(top: DataFrame, queries: DataFrame, corpus: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """One row a query: id, query, label, split, candidates in rank order.
 
-    ``corpus`` has doc_ord, doc_id, title, text.  Where the top rows are counted
-    few they are broadcast, so that no text of another document is shuffled.
+    ``corpus`` has doc_ord, doc_id, title, text and the columns ``keys``, which the
+    candidates carry too.  Where the top rows are counted few they are broadcast, so
+    that no text of another document is shuffled.
     """
-    rows = with_documents(top, corpus.select("doc_ord", "doc_id", "title", "text"))
-    items = F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score", "title", "text")))
-    nested = rows.groupBy("id").agg(F.transform(items, lambda c: F.struct(c["doc_id"].alias("doc_id"), c["rank"].alias("rank"), c["score"].alias("score"), c["title"].alias("title"), c["text"].alias("text"))).alias("candidates"))
+    names = ["doc_id", "rank", "score", "title", "text", *keys]
+    rows = with_documents(top, corpus.select("doc_ord", "doc_id", "title", "text", *keys))
+    items = F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score", "title", "text", *keys)))
+    nested = rows.groupBy("id").agg(F.transform(items, lambda c: F.struct(*(c[n].alias(n) for n in names))).alias("candidates"))
     return queries.select("id", "query", "label", "split").join(nested, "id")
 
 
@@ -138,3 +242,25 @@ def recall(top: DataFrame, gold: DataFrame) -> DataFrame:
     """One row: gold (id, doc_ord) pairs and how many of them were retrieved."""
     hit = gold.distinct().join(top.select("id", "doc_ord", F.lit(1).alias("hit")), ["id", "doc_ord"], "left")
     return hit.agg(F.count(F.lit(1)).alias("gold"), F.count("hit").alias("found"))
+
+
+def evidence_recall(retrieval: DataFrame, gold: DataFrame, upto: int | None = None) -> DataFrame:
+    """id, gold, found, first_rank: distinct gold evidence of each claim, how much of it its candidates hold, and where the first stands.
+
+    ``retrieval`` has candidates with page_id and sentence_id, ``gold`` has id, page_id,
+    sentence_id, several rows a claim; rows without a page or sentence (claims
+    without evidence) don't count.  ``upto`` looks at the first candidates only.
+    """
+    asked = gold.select("id", "page_id", "sentence_id").where("page_id is not null and sentence_id is not null").distinct()
+    seen = retrieval.select("id", F.explode("candidates").alias("c")).select("id", "c.page_id", "c.sentence_id", "c.rank")
+    if upto is not None:
+        seen = seen.where(F.col("rank") <= upto)
+    met = seen.groupBy("id", "page_id", "sentence_id").agg(F.min("rank").alias("rank"))
+    rows = asked.join(met, ["id", "page_id", "sentence_id"], "left")
+    return rows.groupBy("id").agg(F.count(F.lit(1)).alias("gold"), F.count("rank").alias("found"), F.min("rank").alias("first_rank"))
+
+
+def recall_summary(recalled: DataFrame) -> DataFrame:
+    """One row: claims with gold evidence, their tuples, those found, claims with any and with all of it, mean recall."""
+    share = F.col("found") / F.col("gold")
+    return recalled.agg(F.count(F.lit(1)).alias("claims"), F.coalesce(F.sum("gold"), F.lit(0)).alias("gold"), F.coalesce(F.sum("found"), F.lit(0)).alias("found"), F.count_if(F.col("found") > 0).alias("any_found"), F.count_if(F.col("found") == F.col("gold")).alias("all_found"), F.coalesce(F.avg(share), F.lit(0.0)).alias("mean_recall"))

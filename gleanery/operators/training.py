@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lists
 from ..functions.text import strip
 from ..functions.vectors import cosine, entropy, minus, norm
+from ..sources.jsonl import first_by_weight
+from ..sources.tables import discard, written
+
+BUCKET = 10_000
 
 
 def feature_names(labels: list[str]) -> list[str]:
@@ -45,14 +52,22 @@ def candidate_features(eta0: Column, candidate: Column, selected: Column, n_sele
     return F.concat(eta0, eta, shift, F.transform(shift, F.abs), middle, mean, last)
 
 
+def _first(df: DataFrame, weight: Column, n: int) -> DataFrame:
+    """The rows, by ``ord`` and id, before which less than ``n`` of ``weight`` lies."""
+    if "ord" not in df.columns:
+        raise ValueError("a limit needs the input order, a column ord")
+    return first_by_weight(df, F.floor(F.col("ord") / BUCKET), ["ord", "id"], weight, n)
+
+
 def states(teacher: DataFrame, posteriors: DataFrame, max_states: int | None = None) -> DataFrame:
     """One row a step: id, eta0, candidates, step, current, best, gains (in array order).
 
-    A teacher id without a posterior row is an error.
+    A teacher id without a posterior row is an error.  ``max_states`` keeps the first
+    states in input order, which ``ord`` (a number, ties by id) tells.
     """
-    steps = teacher.select("id", F.explode("steps").alias("s")).select("id", F.col("s.step").alias("step"), F.transform("s.current_doc_ids", lambda x: x.cast("string")).alias("current"), F.col("s.best_doc_id").cast("string").alias("best"), F.col("s.candidate_gains").alias("gains"))
     if max_states is not None:
-        steps = steps.orderBy("id", "step").limit(max_states)  # each task keeps its first ones only
+        teacher = _first(teacher, F.size("steps"), max_states).withColumn("steps", F.slice("steps", F.lit(1), F.least(F.size("steps"), max_states - F.col("_before")).cast("int")))
+    steps = teacher.select("id", F.explode("steps").alias("s")).select("id", F.col("s.step").alias("step"), F.transform("s.current_doc_ids", lambda x: x.cast("string")).alias("current"), F.col("s.best_doc_id").cast("string").alias("best"), F.col("s.candidate_gains").alias("gains"))
     rows = steps.join(posteriors.select("id", "query", "eta0", "candidates", F.lit(True).alias("found")), "id", "left")
     # As a filter, since an unused column would be pruned together with its check.
     there = F.when(F.col("found").isNull(), F.raise_error(F.concat(F.lit("no posterior row for "), F.col("id").cast("string"))).cast("boolean")).otherwise(F.lit(True))
@@ -124,10 +139,17 @@ def _group_rows(teacher, posteriors, retrieval, max_candidates):
 
 
 def listwise_groups(teacher: DataFrame, posteriors: DataFrame, retrieval: DataFrame | None = None, max_groups: int | None = None, max_candidates: int | None = None) -> DataFrame:
-    """Groups of at least two usable candidates: id, step, query, current_doc_ids, candidates, selected_docs."""
+    """Groups of at least two usable candidates: id, step, query, current_doc_ids, candidates, selected_docs.
+
+    ``max_groups`` keeps the first of these in input order, which the teacher's ``ord``
+    (a number, ties by id) tells; groups that are too small don't count.
+    """
     rows = _group_rows(teacher, posteriors, retrieval, max_candidates).where(F.size("candidates") >= 2)
     if max_groups is not None:
-        rows = rows.orderBy("id", "step").limit(max_groups)
+        kept = written(rows)
+        own = teacher.select("id", "ord").join(kept.groupBy("id").agg(F.count(F.lit(1)).alias("groups")), "id")
+        among = F.row_number().over(Window.partitionBy("id").orderBy("step")) + F.col("_before")
+        rows = kept.join(_first(own, F.col("groups"), max_groups).select("id", "_before"), "id").withColumn("_at", among).where(F.col("_at") <= max_groups)
     shape = F.transform("candidates", lambda c: F.struct(c["d"]["doc_id"].alias("doc_id"), c["d"]["title"].alias("title"), c["d"]["text"].alias("text"), c["d"]["rank"].alias("rank"), c["d"]["retrieval_score"].alias("retrieval_score"), c["gain"].alias("gain")))
     return rows.select("id", "step", "query", F.col("current").alias("current_doc_ids"), shape.alias("candidates"), "selected_docs")
 
@@ -147,12 +169,156 @@ def epoch_order(groups: DataFrame, seed: int, epoch: int) -> DataFrame:
     return groups.orderBy(F.xxhash64(F.lit(seed + epoch), "id", "step"), "id", "step")
 
 
-def fit_selector(rows: DataFrame, max_iter: int = 100, regularisation: float = 0.0):
-    """Logistic regression on ``features`` for ``is_best``; its raw margin is the score.
+class Fitted:
+    """A linear model: its weights and shift, and (shift, *weights, loss) before each Newton step and at the end."""
 
-    Both classes must be present.
+    def __init__(self, weights: list[float], shift: float, steps: list[list[float]]):
+        self.weights, self.shift, self.steps = weights, shift, steps
+
+    def score(self, features: Column) -> Column:
+        """The margin of a feature array, in plain columns."""
+        return F.aggregate(F.zip_with(features, F.array(*map(F.lit, self.weights)), lambda x, w: x * w), F.lit(self.shift), lambda s, v: s + v)
+
+
+def _sums(data: DataFrame, per_batch, size: int) -> np.ndarray:
+    """The sum over all rows of the vectors that ``per_batch`` (features, targets) gives: one row a task, added up by place."""
+
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += per_batch(lists.padded(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(float))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
+
+    out = np.zeros(size)
+    for r in data.mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect():
+        out[r["at"]] = r["v"]
+    return out
+
+
+def newton(data: DataFrame, features: Column, target: Column, steps: int, regularisation: float, tolerance: float = 0.0) -> Fitted:
+    """Logistic regression of ``target`` (0 or 1) on a feature array by Newton steps.
+
+    Each step is one job: tasks sum the loss, (target - p) x and p (1 - p) x x' over
+    their rows, the sums are added up, and only they come to the driver, where a
+    system of the features' size is solved.  A step that makes the loss worse is
+    halved.  The penalty ``regularisation`` / 2 times the squared weights leaves the
+    shift alone.
     """
-    if not train_balance(rows).first()["usable"]:
+    rows = data.select(features.alias("x"), target.cast("double").alias("y"))
+    size = len(rows.select("x").first()[0]) + 1
+    now, best, least, history = np.zeros(size), np.zeros(size), np.inf, []
+    halved = 0
+
+    def sums_at(at):
+        def per_batch(x, y):
+            x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
+            m = x @ at
+            p = 1 / (1 + np.exp(-m))
+            loss = np.maximum(m, 0) + np.log1p(np.exp(-np.abs(m))) - y * m  # log(1 + exp(m)) - y m
+            return np.concatenate([[loss.sum()], x.T @ (y - p), ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
+
+        return per_batch
+
+    while len(history) <= steps:
+        sums = _sums(rows, sums_at(now), 1 + size + size * size)
+        penalty = regularisation * np.concatenate([[0.0], now[1:]])
+        total = float(sums[0] + penalty @ now / 2)
+        if total > least and halved < 30:
+            now, halved = (now + best) / 2, halved + 1
+            continue
+        history.append([*now.tolist(), total])
+        gained, best, least, halved = least - total, now, total, 0
+        if len(history) > steps or gained <= tolerance:
+            break
+        h = sums[1 + size :].reshape(size, size) + np.diag([0.0, *[regularisation] * (size - 1)])
+        now = best + np.linalg.lstsq(h, sums[1 : 1 + size] - penalty, rcond=None)[0]
+    return Fitted(best[1:].tolist(), float(best[0]), history)
+
+
+def _usable(rows: DataFrame) -> DataFrame:
+    """features and is_best, written; both classes must be present."""
+    data = written(rows.select("features", "is_best"))
+    if not train_balance(data).first()["usable"]:
         raise ValueError("training needs both best and other candidates")
-    data = rows.select(array_to_vector("features").alias("features"), F.col("is_best").cast("double").alias("label"))
-    return LogisticRegression(maxIter=max_iter, regParam=regularisation).fit(data)
+    return data
+
+
+def fit_selector(rows: DataFrame, max_iter: int = 25, regularisation: float = 1e-3, tolerance: float = 1e-9) -> Fitted:
+    """Logistic regression on ``features`` for ``is_best``; its margin is the score.
+
+    Both classes must be present.
+    """
+    data = _usable(rows)
+    model = newton(data, F.col("features"), F.col("is_best"), max_iter, regularisation, tolerance)
+    discard(data)
+    return model
+
+
+def fit_network(rows: DataFrame, hidden: tuple[int, ...] = (16, 16), epochs: int = 40, rate: float = 0.02, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A network with ReLU between its layers on ``features`` for ``is_best``: (matrix, shift) of each layer.
+
+    Each epoch is one job: tasks sum the gradient of the logistic loss over their
+    rows, the sums are added up by place, and the driver, which holds the weights
+    only, takes one Adam step.  Features are standardised; the first layer takes
+    that in.  There is no dropout.
+    """
+    data = _usable(rows)
+    size = len(data.select("features").first()[0])
+    found = data.agg(F.count(F.lit(1)).alias("n"), *(F.avg(F.col("features")[i]).alias(f"m{i}") for i in range(size)), *(F.stddev_pop(F.col("features")[i]).alias(f"s{i}") for i in range(size))).first()
+    mean = np.array([found[f"m{i}"] for i in range(size)])
+    spread = np.array([found[f"s{i}"] if found[f"s{i}"] > 1e-9 else 1.0 for i in range(size)])
+    widths = [size, *hidden, 1]
+    shapes = [s for a, b in zip(widths, widths[1:], strict=False) for s in ((a, b), (b,))]
+    rng = np.random.default_rng(seed)
+    flat = np.concatenate([rng.normal(0, np.sqrt(2 / s[0]), s).ravel() if len(s) == 2 else np.zeros(s) for s in shapes])
+    moment, square = np.zeros_like(flat), np.zeros_like(flat)
+    for epoch in range(1, epochs + 1):
+        g = _sums(data, _gradient(flat, shapes, mean, spread), len(flat)) / found["n"]
+        moment, square = 0.9 * moment + 0.1 * g, 0.999 * square + 0.001 * g * g
+        flat = flat - rate * (moment / (1 - 0.9**epoch)) / (np.sqrt(square / (1 - 0.999**epoch)) + 1e-8)
+    discard(data)
+    layers = _layers(flat, shapes)
+    (w, b), *later = layers
+    return [(w / spread[:, None], b - (mean / spread) @ w), *later]
+
+
+def _layers(flat: np.ndarray, shapes: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
+    cut = np.split(flat, np.cumsum([int(np.prod(s)) for s in shapes])[:-1])
+    parts = [c.reshape(s) for c, s in zip(cut, shapes, strict=True)]
+    return list(zip(parts[::2], parts[1::2], strict=True))
+
+
+def _gradient(flat: np.ndarray, shapes: list[tuple], mean: np.ndarray, spread: np.ndarray):
+    """(features, targets) -> the gradient of the summed loss."""
+
+    def per_batch(x, y):
+        layers = _layers(flat, shapes)
+        held = [(x - mean) / spread]
+        for w, b in layers[:-1]:
+            held.append(np.maximum(held[-1] @ w + b, 0.0))
+        margin = (held[-1] @ layers[-1][0] + layers[-1][1])[:, 0]
+        back = (1 / (1 + np.exp(-margin)) - y)[:, None]
+        parts = []
+        for at in range(len(layers) - 1, -1, -1):
+            parts += [back.sum(axis=0), (held[at].T @ back).ravel()]
+            back = (back @ layers[at][0].T) * (held[at] > 0)
+        return np.concatenate(parts[::-1])
+
+    return per_batch
+
+
+def log_loss(scores: Column, target: Column) -> Column:
+    """Mean logistic loss of margins against 0/1."""
+    return F.avg(F.greatest(scores, F.lit(0.0)) + F.log1p(F.exp(-F.abs(scores))) - target * scores)
+
+
+def score_rows(rows: DataFrame, make_scorer, name: str = "score") -> DataFrame:
+    """``rows`` with the scorer's score of each row's ``features``, a batch at a time."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = make_scorer()
+        for batch in batches:
+            yield pa.array(np.asarray(scorer(lists.padded(batch)), float) if len(batch) else [], pa.float64())
+
+    return rows.withColumn(name, F.arrow_udf(run, "double")("features"))

@@ -14,7 +14,7 @@ from ..functions import vectors as V
 from ..operators import bm25, claims, evaluate, losses, posterior, selection, setvalue, training
 from ..operators import corpus as pages_
 from ..sources import jsonl
-from ..sources.tables import shared_folder, written
+from ..sources.tables import passing, shared_folder, written
 from . import views
 from .views import DROP, LABEL_MAP, LABELS, TOP_M, TOP_N, table
 
@@ -46,6 +46,17 @@ def claim_stats(spark, d):
     return claims.claim_stats(views.raw_claims(spark, d), "train", LABEL_MAP, DROP)
 
 
+@registered
+def first_claims(spark, d):
+    """Claims among the first 150 raw rows."""
+    rows = claims.prepare_claims(_numbered_claims(spark, d), "fever2", "train", LABEL_MAP, DROP, limit=150)
+    return rows.select("id", "label", F.col("meta.original_id").alias("original_id"))
+
+
+def _numbered_claims(spark, d):
+    return jsonl.dense_index(views.raw_claims(spark, d).drop("ord"), F.floor(F.col("id") / 100), ["id"])
+
+
 @registered
 def claims_of_splits(spark, d):
     rows = claims.prepare_splits({"train": views.raw_claims(spark, d), "dev": views.dev_claims(spark, d)}, "fever2", LABEL_MAP, DROP)
@@ -58,6 +69,16 @@ def sentence_corpus(spark, d):
     return rows.select("doc_id", "title", "text", F.col("meta.sentence_id").alias("sentence_id"))
 
 
+@registered
+def corpus_of_first_pages(spark, d):
+    """The first 300 pages; every fifth has no lines, so that its text counts as a whole."""
+    pages = views.pages(spark, d)
+    bare = F.col("ord") % 5 == 0
+    pages = pages.withColumns({"text": F.when(bare, F.col("lines")).otherwise("unused"), "lines": F.when(bare, " \t\u2003").otherwise(F.col("lines"))})
+    rows = pages_.sentence_corpus(pages, limit_pages=300)
+    return rows.select("doc_id", "title", F.char_length("text").alias("chars"), F.sha2("text", 256).alias("sha"))
+
+
 @registered
 def corpus_stats(spark, d):
     return pages_.corpus_stats(views.pages(spark, d))
@@ -78,6 +99,23 @@ def claims_from_first_evidence(spark, d):
     return _flat_claims(claims.claims_from_flat_evidence(views.flat_evidence(spark, d), limit=100))
 
 
+def _recalled(spark, d, **options):
+    own, docs = views.page_claims(spark, d), written(views.passages(spark, d))
+    found = bm25.nest_candidates(bm25.retrieve(own, docs, TOP_N), own, docs, ("page_id", "sentence_id"))
+    return bm25.evidence_recall(found, views.gold_evidence(spark, d), **options)
+
+
+@registered
+def evidence_recall(spark, d):
+    """How much of each claim's gold evidence its retrieved sentences hold."""
+    return _recalled(spark, d)
+
+
+@registered
+def evidence_recall_summary(spark, d):
+    return bm25.recall_summary(_recalled(spark, d, upto=5)).withColumn("mean_recall", r6("mean_recall"))
+
+
 @registered
 def term_stats(spark, d):
     docs = views.corpus(spark, d)
@@ -95,13 +133,13 @@ def postings(spark, d):
 
 @registered
 def bm25_top_n(spark, d):
-    rows = bm25.retrieve(views.queries(spark, d), views.corpus(spark, d), TOP_N)
+    rows = views.top(spark, d)
     return rows.select("id", "rank", "doc_ord", r6("score").alias("score"))
 
 
 @registered
 def bm25_padded(spark, d):
-    rows = bm25.retrieve(views.rare_queries(spark, d), views.corpus(spark, d), TOP_N)
+    rows = bm25.retrieve(views.rare_queries(spark, d), views.corpus(spark, d), TOP_N, views.index(spark, d))
     return rows.select("id", "rank", "doc_ord", r6("score").alias("score"))
 
 
@@ -114,7 +152,7 @@ def bm25_nested(spark, d):
 @registered
 def retrieval_recall(spark, d):
     gold = views.queries(spark, d).select("id", F.col("id").alias("doc_ord"))
-    return bm25.recall(bm25.retrieve(views.queries(spark, d), views.corpus(spark, d), TOP_N), gold)
+    return bm25.recall(views.top(spark, d), gold)
 
 
 @registered
@@ -125,6 +163,13 @@ def posterior_from_logits(spark, d):
     return rows.select("vec_id", *(r6(F.col("p")[i]).alias(f"p{i}") for i in range(3)), V.is_distribution(F.col("p")).alias("valid"), best.alias("best"), r6(V.entropy(F.col("p"))).alias("entropy"))
 
 
+@registered
+def distribution_check(spark, d):
+    """Three numbers that add up to 1, which are a distribution where none is negative."""
+    a, b = (F.col("embedding")[i].cast("double") for i in (0, 1))
+    return table(spark, d, "embeddings").select("vec_id", V.is_distribution(F.array(a, b, 1 - a - b)).alias("valid"), V.is_distribution(F.array(a * a, 1 - a * a)).alias("square_valid"))
+
+
 @registered
 def score_posteriors(spark, d):
     rows = posterior.score_posteriors(views.retrieval(spark, d), views.digest_scorer, LABELS, P.VERBALIZERS, max_candidates=5)
@@ -140,7 +185,7 @@ def score_all_posteriors(spark, d):
 @registered
 def resumed_posteriors(spark, d):
     """A posterior job that finds the claims of one label done and scores the others."""
-    path = f"{shared_folder(spark)}/posteriors-{uuid.uuid4().hex}"
+    path = passing(spark, f"{shared_folder(spark)}/posteriors-{uuid.uuid4().hex}")
     found = written(views.retrieval(spark, d))
     args = views.digest_scorer, LABELS, P.VERBALIZERS
     posterior.append_posteriors(found.where(F.col("label") == "REFUTES"), path, *args)
@@ -148,6 +193,14 @@ def resumed_posteriors(spark, d):
     return rows.select("id", r6(F.col("eta0")[0]).alias("eta0"), F.posexplode("candidates").alias("place", "c")).select("id", "eta0", "place", F.col("c.doc_id").alias("doc_id"), r6(F.col("c.eta")[0]).alias("eta"))
 
 
+@registered
+def logit_posteriors(spark, d):
+    """All candidates and the claims alone, from a model's next-token logits."""
+    asked = posterior.posterior_prompts(views.retrieval(spark, d), LABELS, P.VERBALIZERS)
+    rows = posterior.score_by_logits(asked, views.digest_logits, LABELS, P.VERBALIZERS)
+    return rows.select("id", "place", F.size("logits").alias("tokens"), r6(F.col("probs")[0]).alias("p0"), r6(F.col("probs")[1]).alias("p1"))
+
+
 @registered
 def candidate_count(spark, d):
     return posterior.candidate_count(views.posteriors(spark, d, texts=False))
@@ -184,16 +237,27 @@ def prompts_all(spark, d):
 @registered
 def jsonl_round_trip(spark, d):
     """Labels written as JSON lines and read back, with keys checked and rows numbered."""
-    path = f"{shared_folder(spark)}/labels-{uuid.uuid4().hex}"
+    path = passing(spark, f"{shared_folder(spark)}/labels-{uuid.uuid4().hex}")
     jsonl.write_jsonl(table(spark, d, "labels").orderBy("doc_id"), path)
     rows = jsonl.read_jsonl(spark, path, "doc_id long, quality int, toxic int")
     return jsonl.require_keys(rows, ["doc_id", "quality", "toxic"], "labels").select("ord", "doc_id", "quality", "toxic")
 
 
+@registered
+def nested_round_trip(spark, d):
+    """Documents in nested folders, whose files have equal names, read back in the order of the paths."""
+    path = passing(spark, f"{shared_folder(spark)}/nested-{uuid.uuid4().hex}")
+    rows = table(spark, d, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.pmod("doc_id", F.lit(7)).cast("int").alias("shard"), "doc_id", "text")
+    placed = rows.repartition("lang", "shard").sortWithinPartitions("lang", "shard", "doc_id")
+    placed.write.option("ignoreNullFields", "false").partitionBy("lang", "shard").json(path)
+    back = jsonl.read_jsonl(spark, path, "doc_id long, text string", recursive=True, pattern="*.json")
+    return back.select("ord", "doc_id", F.char_length("text").alias("chars"), F.sha2("text", 256).alias("sha"))
+
+
 @registered
 def page_shards(spark, d):
-    """Pages written in shards and read back from all files below the folder."""
-    path = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    """Pages written in shards and read back from the folder."""
+    path = passing(spark, f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}")
     jsonl.write_pages(views.pages(spark, d), path, 100)
     rows = jsonl.read_jsonl(spark, path, "id string, text string, lines string", recursive=False)
     return rows.select("id", "text", F.char_length("lines").alias("chars"), F.sha2("lines", 256).alias("sha"))
@@ -268,6 +332,19 @@ def first_feature_rows(spark, d):
     return rows.select("id", "step", "doc_id", r6("gain").alias("gain"), "is_best")
 
 
+@registered
+def first_groups(spark, d):
+    """The first 50 groups that have two usable candidates, where a third of the documents has no text."""
+    teacher, own, found = _blank_groups(spark, d)
+    rows = training.listwise_groups(teacher, own, found, max_groups=50)
+    return rows.select("id", "step", F.size("candidates").alias("candidates"))
+
+
+@registered
+def group_stats_of_blank_texts(spark, d):
+    return training.group_stats(*_blank_groups(spark, d))
+
+
 @registered
 def train_balance(spark, d):
     return training.train_balance(_features(spark, d))
@@ -275,11 +352,43 @@ def train_balance(spark, d):
 
 @registered
 def fitted_selector(spark, d):
-    rows = _features(spark, d)
+    """All features' fit by Newton steps; its margin decides."""
+    rows = written(_features(spark, d))
     model = training.fit_selector(rows)
-    score = training.array_to_vector("features").alias("features")
-    out = model.transform(rows.select("id", "step", "doc_id", score))
-    return out.select("id", "step", "doc_id", "prediction")
+    return rows.select("id", "step", "doc_id", (model.score(F.col("features")) > 0).cast("double").alias("prediction"))
+
+
+@registered
+def fitted_pair(spark, d):
+    """The Newton steps of a fit on two features, the length of the shift and the inverse rank."""
+    rows = written(_features(spark, d))
+    model = training.newton(rows, F.slice("features", 12, 2), F.col("is_best"), 5, 1.0)
+    steps = spark.createDataFrame([(i, *map(float, s)) for i, s in enumerate(model.steps)], "step int, shift double, shift_norm double, inverse_rank double, loss double")
+    return steps.select("step", *(r6(c).alias(c) for c in ("shift", "shift_norm", "inverse_rank")), F.round("loss", 5).alias("loss"))
+
+
+def _network(rows):
+    return training.fit_network(rows.where(F.pmod("id", F.lit(5)) != 0))
+
+
+@registered
+def network_selector(spark, d):
+    """A network fitted on four fifths of the items: its loss on the others beside that of the share of best candidates."""
+    rows = written(_features(spark, d))
+    layers = _network(rows)
+    held = F.pmod("id", F.lit(5)) == 0
+    share = rows.where(~held).agg(F.avg(F.col("is_best").cast("double")).alias("p"))
+    scored = training.score_rows(rows.where(held), lambda: selection.network_scorer(layers)).crossJoin(F.broadcast(share))
+    odds = F.log(F.col("p")) - F.log(1 - F.col("p"))
+    losses_ = scored.agg(F.count(F.lit(1)).alias("held_out_rows"), training.log_loss(F.col("score"), F.col("is_best")).alias("loss"), training.log_loss(odds, F.col("is_best")).alias("share_loss"))
+    return losses_.select("held_out_rows", F.round("loss", 3).alias("loss"), F.round("share_loss", 3).alias("share_loss"), (F.col("loss") < F.col("share_loss")).alias("better"))
+
+
+@registered
+def select_with_network(spark, d):
+    layers = _network(written(_features(spark, d)))
+    rows = selection.select_with_model(views.posteriors(spark, d, texts=False), lambda: selection.network_scorer(layers), top_m=TOP_M, method="network_selector")
+    return rows.select("id", "num_docs", "stop_reason", F.array_join("selected_doc_ids", ",").alias("selected"), F.size("selection_steps").alias("steps"))
 
 
 def _groups(spark, d):
@@ -287,6 +396,14 @@ def _groups(spark, d):
     return setvalue.greedy_teacher(own, TOP_M, RIDGE, EPS), own, views.retrieval(spark, d)
 
 
+def _blank_groups(spark, d):
+    """Groups over three candidates a claim, so that some keep one or none."""
+    own = views.posteriors(spark, d, texts=False).withColumn("candidates", F.slice("candidates", 1, 3))
+    bare = lambda c: F.struct(c["doc_id"].alias("doc_id"), c["rank"].alias("rank"), c["score"].alias("score"), F.lit("").alias("title"), F.when(c["doc_id"].cast("long") % 3 == 0, " \u3000").otherwise(c["text"]).alias("text"))
+    found = views.retrieval(spark, d).withColumn("candidates", F.transform("candidates", bare))
+    return setvalue.greedy_teacher(own, TOP_M, RIDGE, EPS), own, found
+
+
 @registered
 def listwise_groups(spark, d):
     rows = training.listwise_groups(*_groups(spark, d)).select("id", "step", F.size("selected_docs").alias("n_selected"), F.explode("candidates").alias("c"))
@@ -298,6 +415,15 @@ def epoch_order(spark, d):
     return training.epoch_order(training.listwise_groups(*_groups(spark, d)), 7, 1).select("id", "step", F.size("candidates").alias("candidates"))
 
 
+@registered
+def merged_repeats(spark, d):
+    """Documents that stand twice among the candidates: the last of them counts, and retrieval fills its blanks."""
+    again = lambda c: c.withField("title", F.concat(F.lit("again "), c["doc_id"])).withField("rank", c["rank"] + 100)
+    own = views.posteriors(spark, d, texts=False).withColumn("candidates", F.concat("candidates", F.transform(F.filter("candidates", lambda c: c["rank"] % 2 == 0), again)))
+    rows = training.merged_documents(own, views.retrieval(spark, d))
+    return rows.select("id", "doc_id", "title", F.char_length("text").alias("chars"), "rank")
+
+
 @registered
 def group_stats(spark, d):
     return training.group_stats(*_groups(spark, d))
@@ -356,10 +482,27 @@ def selection_violations(spark, d):
 
 @registered
 def select_with_model(spark, d):
-    rows = selection.select_with_model(views.posteriors(spark, d), lambda: selection.linear_scorer(WEIGHTS, -1.0), top_m=TOP_M, min_docs=1, threshold=-0.5)
+    rows = selection.select_with_model(views.posteriors(spark, d, texts=False), lambda: selection.linear_scorer(WEIGHTS, -1.0), top_m=TOP_M, min_docs=1, threshold=-0.5)
     return rows.select("id", "num_docs", "stop_reason", F.array_join("selected_doc_ids", ",").alias("selected"), F.size("selection_steps").alias("steps"))
 
 
+def _read(spark, d):
+    return selection.select_with_text_model(views.retrieval(spark, d), views.digest_reader, top_m=TOP_M, min_docs=2, threshold=0.9)
+
+
+@registered
+def select_with_text_model(spark, d):
+    rows = _read(spark, d)
+    return rows.select("id", "method", "num_docs", "stop_reason", F.array_join("selected_doc_ids", ",").alias("selected"), F.array_join(F.transform("selection_steps", lambda s: F.round(s["predicted_score"] * 1002).cast("long").cast("string")), ",").alias("scores"))
+
+
+@registered
+def text_model_candidates(spark, d):
+    """The five best candidates of each step."""
+    steps = _read(spark, d).select("id", F.explode("selection_steps").alias("s")).select("id", "s.step", F.col("s.remaining_count").alias("remaining"), "s.stop", F.posexplode("s.top_candidates").alias("place", "c"))
+    return steps.select("id", "step", "remaining", "stop", "place", F.col("c.doc_id").alias("doc_id"), r6("c.score").alias("score"))
+
+
 @registered
 def selection_overlap(spark, d):
     return selection.rank_overlap(_oracle(spark, d))
@@ -446,6 +589,33 @@ def metrics_document(spark, d):
     return flat.select("schema_version", "num_examples", "accuracy", "gold", "pred", "n", F.col("per_class")[F.col("gold")]["num_examples"].alias("gold_rows"), F.col("prediction_distribution")[F.col("pred")].alias("pred_rows"), F.aggregate(F.map_values("num_docs_histogram"), F.lit(0).cast("long"), lambda a, v: a + v).alias("counted"))
 
 
+@registered
+def written_metrics(spark, d):
+    """The nested document as a file of its own, read back."""
+    path = passing(spark, f"{shared_folder(spark)}/metrics-{uuid.uuid4().hex}")
+    rows = evaluate.metrics_document(_predictions(spark, d), LABELS)
+    jsonl.write_document(rows, path)
+    back = spark.read.schema(rows.schema).json(path)
+    return back.select("schema_version", "num_examples", "num_correct", r6("accuracy").alias("accuracy"), F.explode("per_class").alias("label", "v")).select("schema_version", "num_examples", "num_correct", "accuracy", "label", F.col("v.num_examples").alias("label_rows"), F.col("v.num_correct").alias("label_correct"))
+
+
+@registered
+def metrics_of_saved_predictions(spark, d):
+    """Metrics of predictions that were saved as JSON lines with id, gold and prediction only."""
+    path = passing(spark, f"{shared_folder(spark)}/predictions-{uuid.uuid4().hex}")
+    jsonl.write_jsonl(_predictions(spark, d).select("id", "gold", "pred"), path)
+    rows = jsonl.require_keys(jsonl.read_jsonl(spark, path, "id long, gold string, pred string"), ["id", "gold", "pred"], "predictions")
+    return evaluate.summary(rows).withColumns({c: r6(c) for c in ("accuracy", "avg_num_docs", "median_num_docs", "avg_evidence_chars")})
+
+
+@registered
+def metrics_with_faults(spark, d):
+    """Every third prediction is missing, every fourth has a probability that is no number."""
+    odd = F.when(F.col("id") % 4 == 0, F.array(F.lit(float("nan")), F.lit(1.0))).when(F.col("id") % 4 == 1, F.array(F.lit(float("-inf")), F.lit(1.0))).otherwise(F.col("probs"))
+    rows = _predictions(spark, d).withColumn("pred", F.when(F.col("id") % 3 != 0, F.col("pred"))).withColumn("probs", odd)
+    return evaluate.summary(rows).select("num_examples", "num_correct", r6("accuracy").alias("accuracy"), "num_non_finite", "num_missing")
+
+
 @registered
 def metrics_per_class(spark, d):
     return evaluate.per_class(_predictions(spark, d), LABELS).withColumn("accuracy", r6("accuracy"))

@@ -146,7 +146,83 @@ sel{k + 1} AS (SELECT s.id, CASE WHEN b.stop = false THEN list_append(ds, b.doc_
     return f"WITH {sql} SELECT id, CAST(len(ds) AS INT) AS num_docs, reason AS stop_reason, array_to_string(ds, ',') AS selected, CAST(steps AS INT) AS steps FROM sel{top_m}"
 
 
+_TITLED = f"""CASE WHEN {_TRIM("coalesce(source, '')")} <> '' AND {_TRIM("coalesce(text, '')")} <> '' THEN {_TRIM('source')} || ': ' || {_TRIM('text')} ELSE {_TRIM("coalesce(source, '')")} || {_TRIM("coalesce(text, '')")} END"""
+_TASK = "'\n\nTask:\nScore how useful the candidate evidence is as an additional evidence item for verifying the claim, considering the already selected evidence.'"
+
+
+def _texts_chosen(top_m: int = 4, least: int = 2, threshold: float = 0.9) -> str:
+    """A text scorer's greedy choice, a step at a time: ds, ts and ss hold the documents, their texts and the scores so far."""
+    sql = f"""{_TOP}, docs AS (SELECT id, rank, doc_id, query, {_TITLED} AS t FROM top JOIN documents USING (doc_id) JOIN q USING (id)),
+sel0 AS (SELECT id, CAST([] AS BIGINT[]) AS ds, CAST([] AS VARCHAR[]) AS ts, CAST([] AS DOUBLE[]) AS ss, 'no_candidates' AS reason, true AS open FROM q)"""
+    for k in range(top_m):
+        sql += f""",
+ask{k} AS (SELECT d.id, d.rank, d.doc_id, d.t, 'Claim:\n' || substr(query, 1, 2000) || '\n\nCandidate evidence:\n' || substr(d.t, 1, 5000) || '\n\nAlready selected evidence:\n' ||
+  CASE WHEN len(ts) = 0 THEN 'None' ELSE substr(array_to_string(list_transform(ts, lambda x, i: '[' || i || '] ' || x), chr(10)), 1, 5000) END || {_TASK} AS input FROM docs d JOIN sel{k} s ON s.id = d.id AND open AND NOT list_contains(ds, d.doc_id)),
+order{k} AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sc DESC, rank) AS nth, count(*) OVER (PARTITION BY id) AS remaining FROM (SELECT *, {_CHANCE.format("input")} AS sc FROM ask{k})),
+best{k} AS (SELECT *, {k} >= {least} AND sc < {threshold} AS stop FROM order{k} WHERE nth = 1),
+sel{k + 1} AS (SELECT s.id, CASE WHEN b.stop = false THEN list_append(ds, b.doc_id) ELSE ds END AS ds, CASE WHEN b.stop = false THEN list_append(ts, b.t) ELSE ts END AS ts, CASE WHEN b.id IS NULL THEN ss ELSE list_append(ss, b.sc) END AS ss,
+  CASE WHEN b.stop THEN 'score_below_threshold' WHEN b.stop = false AND {k + 1} = {top_m} THEN 'top_m_reached' ELSE reason END AS reason, coalesce(NOT b.stop, false) AS open FROM sel{k} s LEFT JOIN best{k} b USING (id))"""
+    return sql
+
+
+def _newton(steps: int = 5, penalty: float = 1.0) -> str:
+    """Newton steps of a logistic regression on x1 and x2 with a shift; 3 x 3 systems by determinants."""
+    sql = f"""{_FEATURES}, data AS (SELECT sqrt(s0 * s0 + s1 * s1) AS x1, 1.0::DOUBLE / rank AS x2, (own = step)::INT AS y FROM feats), n0 AS (SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2)"""
+    for k in range(steps + 1):
+        sql += f""",
+s{k} AS (SELECT b0, b1, b2, sum(greatest(m, 0) + ln(1 + exp(-abs(m))) - y * m) + {penalty / 2} * (b1 * b1 + b2 * b2) AS loss, sum(y - p) AS g0, sum((y - p) * x1) - {penalty} * b1 AS g1, sum((y - p) * x2) - {penalty} * b2 AS g2,
+  sum(w) AS a, sum(w * x1) AS b, sum(w * x2) AS c, sum(w * x1 * x1) + {penalty} AS d, sum(w * x1 * x2) AS e, sum(w * x2 * x2) + {penalty} AS f
+  FROM (SELECT *, p * (1 - p) AS w FROM (SELECT *, 1 / (1 + exp(-m)) AS p FROM (SELECT *, b0 + b1 * x1 + b2 * x2 AS m FROM data CROSS JOIN n{k}))) GROUP BY b0, b1, b2),
+n{k + 1} AS (SELECT b0 + (g0 * (d * f - e * e) - b * (g1 * f - e * g2) + c * (g1 * e - d * g2)) / det AS b0, b1 + (a * (g1 * f - e * g2) - g0 * (b * f - e * c) + c * (b * g2 - g1 * c)) / det AS b1,
+  b2 + (a * (d * g2 - g1 * e) - b * (b * g2 - g1 * c) + g0 * (b * e - d * c)) / det AS b2 FROM (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det FROM s{k}))"""
+    rows = " UNION ALL ".join(f"SELECT {k} AS step, * FROM s{k}" for k in range(steps + 1))
+    return f"WITH {sql} SELECT CAST(step AS INT) AS step, round(b0, 6) AS shift, round(b1, 6) AS shift_norm, round(b2, 6) AS inverse_rank, round(loss, 5) AS loss FROM ({rows})"
+
+
+_LOGIT = lambda token: f"(('0x' || substr(md5(prompt || '{token}'), 1, 6))::INT % 1000 / 250.0::DOUBLE - 2)"
+_LOGITS = lambda name: " + ".join(f"exp({_LOGIT(t)})" for t in (name, " " + name, "\n" + name))
+
+# Sentences stand for documents, their pages for titles.
+_SENTENCES = _LINES.replace("source, string_split_regex", "'page_' || doc_id AS source, string_split_regex") + ", numbered AS (SELECT row_number() OVER (ORDER BY doc_id, place) AS number, source, sentence_id, text FROM sentences WHERE length(text) >= 5), passages AS (SELECT number AS doc_id, source, text FROM numbered)"
+_CLAIMED = "SELECT DISTINCT doc_id AS id, substr(text, 1, 80) AS query, 'SUPPORTS' AS label FROM labels JOIN documents USING (doc_id) WHERE text IS NOT NULL"
+
+
+def _recalled(upto: int) -> str:
+    """Gold tuples of each claim (three sentence ids of its page) and those among the first ``upto`` candidates."""
+    ranked = _ranked(_CLAIMED, 20).replace("FROM documents)", "FROM passages)").replace("FROM documents),", "FROM passages),").replace("text), '[A-Za-z0-9]+') AS w FROM documents", "text), '[A-Za-z0-9]+') AS w FROM passages")
+    ranked = ranked.replace("JOIN documents USING (doc_id) WHERE text IS NOT NULL", "JOIN main.documents USING (doc_id) WHERE text IS NOT NULL")
+    return f"""WITH {_SENTENCES}, {ranked},
+gold AS (SELECT id, 'page_' || id AS page, unnest([0, 1, 2]) AS sentence FROM q),
+met AS (SELECT top.id, n.source AS page, n.sentence_id AS sentence, min(top.rank) AS rank FROM top JOIN numbered n ON n.number = top.doc_id WHERE top.rank <= {upto} GROUP BY ALL),
+recalled AS (SELECT id, count(*) AS gold, count(rank) AS found, min(rank) AS first_rank FROM gold LEFT JOIN met USING (id, page, sentence) GROUP BY id)"""
+
+
+# The teacher's walk over the first three candidates, where every third document's text is blank.
+_FEW = _TEACH.replace("FROM top JOIN q USING (id) CROSS JOIN share", "FROM (SELECT * FROM top WHERE rank <= 3) top JOIN q USING (id) CROSS JOIN share")
+_USABLE = f""", built AS (SELECT id, step, count(*) AS asked, count(*) FILTER (doc_id % 3 <> 0 AND {_TRIM("coalesce(text, '')")} <> '') AS n FROM gains JOIN documents USING (doc_id) GROUP BY id, step)"""
+
 ORACLES: dict[str, str] = {
+    "select_with_text_model": f"WITH {_texts_chosen()} SELECT id, 'text_selector' AS method, CAST(len(ds) AS INT) AS num_docs, reason AS stop_reason, array_to_string(ds, ',') AS selected, array_to_string(list_transform(ss, lambda x: CAST(CAST(round(x * 1002) AS BIGINT) AS VARCHAR)), ',') AS scores FROM sel4",
+    "text_model_candidates": f"WITH {_texts_chosen()} " + " UNION ALL ".join(f"SELECT o.id, {k} AS step, CAST(o.remaining AS INT) AS remaining, b.stop, CAST(o.nth - 1 AS INT) AS place, CAST(o.doc_id AS VARCHAR) AS doc_id, round(o.sc, 6) AS score FROM order{k} o JOIN best{k} b ON b.id = o.id WHERE o.nth <= 5" for k in range(4)),
+    "fitted_pair": _newton(),
+    "logit_posteriors": f"""WITH {_TOP}, asked AS (SELECT id, 0 AS place, {_prompt('CAST(NULL AS VARCHAR)')} AS prompt FROM q UNION ALL SELECT id, rank, {_prompt('documents.text')} FROM top JOIN documents USING (doc_id) JOIN q USING (id)),
+read AS (SELECT id, place, {_LOGITS('A')} AS a, {_LOGITS('B')} AS b FROM asked)
+SELECT id, CAST(place AS INT) AS place, CAST(6 AS INT) AS tokens, round(a / (a + b), 6) AS p0, round(b / (a + b), 6) AS p1 FROM read""",
+    "evidence_recall": _recalled(20) + " SELECT id, gold, found, first_rank FROM recalled",
+    "evidence_recall_summary": _recalled(5) + " SELECT count(*) AS claims, CAST(sum(gold) AS BIGINT) AS gold, CAST(sum(found) AS BIGINT) AS found, count(*) FILTER (found > 0) AS any_found, count(*) FILTER (found = gold) AS all_found, round(avg(found / gold), 6) AS mean_recall FROM recalled",
+    "first_claims": f"""WITH {_CLAIMS}, placed AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS o FROM raw), kept AS (SELECT * FROM placed WHERE o <= 150 AND label IN ('SUPPORTS', 'REFUTES'))
+SELECT 'fever2_train_' || lpad(CAST(row_number() OVER (ORDER BY o) AS VARCHAR), 8, '0') AS id, label, doc_id AS original_id FROM kept""",
+    "corpus_of_first_pages": f"""WITH {_LINES}, kept AS (SELECT doc_id, source, place, sentence_id, text FROM sentences WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, source, 0, 0, {_TRIM('text')} FROM documents WHERE doc_id % 5 = 0 AND coalesce(source, '') <> '' AND {_TRIM("coalesce(text, '')")} <> '')
+SELECT 'feverwiki_' || lpad(CAST(row_number() OVER (ORDER BY doc_id, place) AS VARCHAR), 8, '0') || '_sent_' || lpad(CAST(sentence_id AS VARCHAR), CAST(greatest(4, length(CAST(sentence_id AS VARCHAR))) AS INT), '0') AS doc_id, source AS title, CAST(length(text) AS INT) AS chars, sha256(text) AS sha FROM kept WHERE doc_id <= 300 AND length(text) >= 5""",
+    "nested_round_trip": "SELECT row_number() OVER (ORDER BY coalesce(lang, 'none'), CAST(doc_id % 7 AS VARCHAR), doc_id) AS ord, doc_id, CAST(length(text) AS INT) AS chars, sha256(text) AS sha FROM documents",
+    "written_metrics": f"""WITH {_PRED} SELECT 'metrics.v2' AS schema_version, (SELECT count(*) FROM preds) AS num_examples, (SELECT count(*) FILTER (pred = gold) FROM preds) AS num_correct, round((SELECT avg((pred = gold)::INT) FROM preds), 6) AS accuracy, l.label, count(gold) AS label_rows, count(*) FILTER (pred = gold) AS label_correct FROM (VALUES ('SUPPORTS'), ('REFUTES')) l(label) LEFT JOIN preds ON gold = l.label GROUP BY l.label""",
+    "metrics_of_saved_predictions": f"""WITH {_PRED} SELECT count(*) AS num_examples, count(*) FILTER (pred = gold) AS num_correct, round(count(*) FILTER (pred = gold) / count(*), 6) AS accuracy, CAST(0 AS DOUBLE) AS avg_num_docs, CAST(0 AS DOUBLE) AS median_num_docs, CAST(0 AS INT) AS min_num_docs, CAST(0 AS INT) AS max_num_docs, CAST(0 AS DOUBLE) AS avg_evidence_chars, CAST(0 AS BIGINT) AS num_non_finite, count(*) FILTER (pred IS NULL) AS num_missing FROM preds""",
+    "metrics_with_faults": f"""WITH {_PRED}, bad AS (SELECT gold, CASE WHEN id % 3 <> 0 THEN pred END AS pred, CASE WHEN id % 4 = 0 THEN 'nan'::DOUBLE WHEN id % 4 = 1 THEN '-inf'::DOUBLE ELSE p0 END AS p FROM preds)
+SELECT count(*) AS num_examples, count(*) FILTER (pred = gold) AS num_correct, round(count(*) FILTER (pred = gold) / count(*), 6) AS accuracy, count(*) FILTER (isnan(p) OR isinf(p)) AS num_non_finite, count(*) FILTER (pred IS NULL) AS num_missing FROM bad""",
+    "distribution_check": "WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings) SELECT vec_id, least(a, b, 1 - a - b) >= -1e-8 AS valid, 1 - a * a >= -1e-8 AS square_valid FROM e",
+    "first_groups": f"WITH {_FEW}{_USABLE} SELECT id, CAST(step AS INT) AS step, CAST(n AS INT) AS candidates FROM built WHERE n >= 2 ORDER BY -id, step LIMIT 50",
+    "group_stats_of_blank_texts": f"WITH {_FEW}{_USABLE} SELECT count(*) FILTER (n >= 2) AS groups, CAST(sum(asked - n) AS BIGINT) AS skipped_missing, count(*) FILTER (n < 2) AS skipped_small FROM built",
+    "merged_repeats": f"""WITH {_TOP} SELECT id, CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN rank % 2 = 0 THEN 'again ' || doc_id ELSE source END AS title, CAST(length(text) AS INT) AS chars, CAST(CASE WHEN rank % 2 = 0 THEN rank + 100 ELSE rank END AS INT) AS rank FROM top JOIN documents USING (doc_id)""",
     "select_with_model": _chosen(),
     "prepare_claims": f"""WITH {_CLAIMS} SELECT 'fever2_train_' || lpad(CAST(row_number() OVER (ORDER BY doc_id) AS VARCHAR), 8, '0') AS id, 'fever2' AS dataset, 'train' AS split, text AS query, label, doc_id AS original_id, label AS original_label FROM raw WHERE label IN ('SUPPORTS', 'REFUTES')""",
     "claims_of_splits": f"""WITH {_CLAIMS}, claimed AS (SELECT 'train' AS split, doc_id AS o, text AS query, label FROM raw UNION ALL SELECT 'dev', item_id, text, CASE WHEN item_id % 3 = 0 THEN 'REFUTES' ELSE 'SUPPORTS' END FROM benchmark)
@@ -197,7 +273,7 @@ SELECT id, CAST(place AS INT) AS place, CAST(length(prompt) AS INT) AS chars, sh
     "listwise_groups": f"WITH {_TEACH} SELECT id, CAST(step AS INT) AS step, CAST(step AS INT) AS n_selected, CAST(doc_id AS VARCHAR) AS doc_id, rank, CAST(length(text) AS INT) AS chars, round(gain, 6) AS gain FROM gains JOIN documents USING (doc_id)",
     "group_stats": f"WITH {_TEACH} {_BUILT} SELECT count(*) FILTER (n >= 2) AS groups, CAST(sum(asked - n) AS BIGINT) AS skipped_missing, count(*) FILTER (n < 2) AS skipped_small FROM built",
     "epoch_order": f"WITH {_TEACH}{_BUILT} SELECT id, CAST(step AS INT) AS step, CAST(n AS INT) AS candidates FROM built WHERE n >= 2",
-    "first_feature_rows": f"""WITH {_TEACH}, firsts AS (SELECT id, step FROM states ORDER BY id, step LIMIT 100),
+    "first_feature_rows": f"""WITH {_TEACH}, firsts AS (SELECT id, step FROM states ORDER BY -id, step LIMIT 100),
 nearest AS (SELECT *, row_number() OVER (PARTITION BY id, step ORDER BY rank) AS nth FROM gains JOIN firsts USING (id, step))
 SELECT id, CAST(step AS INT) AS step, CAST(doc_id AS VARCHAR) AS doc_id, round(gain, 6) AS gain, CAST(own = step AS INT) AS is_best FROM nearest WHERE nth <= 5""",
     "listwise_loss": f"WITH {_TEACH}{_LSE} SELECT id, CAST(step AS INT) AS step, round(max(ts) + ln(sum(exp(score - ts))) - sum(exp((gain - tg) / 0.1::DOUBLE) * score) / sum(exp((gain - tg) / 0.1::DOUBLE)), 6) AS loss FROM groups GROUP BY id, step",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bm25
+from ..operators import corpus as sentences
 
 LABELS = ["SUPPORTS", "REFUTES"]
 LABEL_MAP = {"SUPPORTS": "SUPPORTS", "REFUTES": "REFUTES"}
@@ -24,6 +25,22 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_ord"), F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("title"), "text")
 
 
+_indexes: dict[tuple[str, str], bm25.Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> bm25.Index:
+    """The inverted index of the corpus, written once in a session."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _indexes:
+        _indexes[key] = bm25.build_index(corpus(spark, sf_dir))
+    return _indexes[key]
+
+
+def top(spark: SparkSession, sf_dir: str, top_n: int = TOP_N) -> DataFrame:
+    """id, rank, doc_ord, score of all items."""
+    return bm25.retrieve(queries(spark, sf_dir), corpus(spark, sf_dir), top_n, index(spark, sf_dir))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.col("source").alias("id"), F.lit("").alias("text"), F.col("text").alias("lines"))
 
@@ -36,8 +53,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rare_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rarest known word of each item (ties by the word) as a query of its own."""
     own = queries(spark, sf_dir)
-    terms = bm25.document_terms(corpus(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rare = bm25.query_terms(own).join(terms, "term").groupBy("id").agg(F.min(F.struct("df", "term"))["term"].alias("word"))
+    rare = bm25.query_terms(own).join(index(spark, sf_dir).frequency, "term").groupBy("id").agg(F.min(F.struct("df", "term"))["term"].alias("word"))
     return own.join(rare, "id").select("id", F.col("word").alias("query"), "label", "split")
 
 
@@ -64,9 +80,42 @@ def flat_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of all documents; doc_ord is their number, page_id names the document."""
+    rows = sentences.sentence_corpus(pages(spark, sf_dir).withColumn("id", F.format_string("page_%d", "ord")))
+    return rows.select(F.substring("doc_id", 11, 8).cast("long").alias("doc_ord"), "doc_id", "title", "text", F.col("meta.page_id").alias("page_id"), F.col("meta.sentence_id").alias("sentence_id"))
+
+
+def gold_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three sentences of each claim's page, and a row without evidence."""
+    at = F.explode(F.array(*map(F.lit, (0, 1, 2, None)))).alias("sentence_id")
+    return page_claims(spark, sf_dir).select("id", F.format_string("page_%d", "id").alias("page_id"), at)
+
+
+def page_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 80 characters of each labelled document as a claim about its page."""
+    rows = table(spark, sf_dir, "labels").select("doc_id").distinct().join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return rows.where("text is not null").select(F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("query"), F.lit("SUPPORTS").alias("label"), F.lit("dev").alias("split"))
+
+
+def digest_logits():
+    """A language model for demonstrations: next-token logits from digests of prompt and token."""
+
+    def logits(prompts: list[str], tokens: list[str]) -> np.ndarray:
+        return np.array([[int(hashlib.md5((p + t).encode()).hexdigest()[:6], 16) % 1000 / 250 - 2 for t in tokens] for p in prompts])
+
+    return logits
+
+
+def digest_reader():
+    """A text scorer for demonstrations: scores from a digest of the input."""
+    own = digest_scorer()
+    return lambda texts: own(texts)[:, 0]
+
+
 def retrieval(spark: SparkSession, sf_dir: str, top_n: int = TOP_N) -> DataFrame:
     own, docs = queries(spark, sf_dir), corpus(spark, sf_dir)
-    return bm25.nest_candidates(bm25.retrieve(own, docs, top_n), own, docs)
+    return bm25.nest_candidates(top(spark, sf_dir, top_n), own, docs)
 
 
 def posteriors(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
@@ -76,16 +125,17 @@ def posteriors(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFram
     share = labels.agg(((F.count_if(F.col("quality") == 1) + 1) / (F.count(F.lit(1)) + 2)).alias("p"))
     marks = labels.select(F.col("doc_id").alias("doc_ord"), "quality")
     own, docs = queries(spark, sf_dir), corpus(spark, sf_dir)
-    top = bm25.retrieve(own, docs, TOP_N).join(marks, "doc_ord", "left").crossJoin(F.broadcast(share))
+    scored = top(spark, sf_dir).join(marks, "doc_ord", "left").crossJoin(F.broadcast(share))
     w = F.col("score") / (F.col("score") + 10)
     moved = lambda prior, hot: F.when(F.col("quality").isNull(), prior).otherwise((1 - w) * prior + w * hot)
     first, second = F.col("p"), 1 - F.col("p")
     eta = F.array(moved(first, (F.col("quality") == 1).cast("double")), moved(second, (F.col("quality") != 1).cast("double")))
-    rows = bm25.with_documents(top, docs) if texts else bm25.with_documents(top, docs.select("doc_ord", "doc_id")).withColumns({"title": F.lit(None).cast("string"), "text": F.lit(None).cast("string")})
+    rows = bm25.with_documents(scored, docs) if texts else bm25.with_documents(scored, docs.select("doc_ord", "doc_id")).withColumns({"title": F.lit(None).cast("string"), "text": F.lit(None).cast("string")})
     item = F.struct("rank", "doc_id", F.col("score").alias("retrieval_score"), "title", "text", eta.alias("eta"))
     nested = rows.groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("items"), F.first(F.array(first, second)).alias("eta0"))
     shape = F.transform("items", lambda c: F.struct(c["doc_id"].alias("doc_id"), c["rank"].alias("rank"), c["retrieval_score"].alias("retrieval_score"), c["title"].alias("title"), c["text"].alias("text"), c["eta"].alias("eta")))
-    return own.join(nested, "id").select("id", "query", "label", "split", F.array(*map(F.lit, LABELS)).alias("labels"), "eta0", shape.alias("candidates"))
+    # Items count as read from the last to the first, so that the input order is not that of the ids.
+    return own.join(nested, "id").select("id", (-F.col("id")).alias("ord"), "query", "label", "split", F.array(*map(F.lit, LABELS)).alias("labels"), "eta0", shape.alias("candidates"))
 
 
 def digest_scorer():

@@ -21,27 +21,44 @@ def dense_index(df: DataFrame, bucket: Column, order: list, name: str = "ord") -
     return own.withColumn("_at", F.row_number().over(inside)).join(offsets, "_bucket").withColumn(name, F.col("_before") + F.col("_at")).drop("_bucket", "_at", "_before")
 
 
-def read_lines(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """Non-blank lines of a file or of all ``*.jsonl`` below a folder: value, file, ord (from 1).
+def first_by_weight(df: DataFrame, bucket: Column, order: list, weight: Column, n: int) -> DataFrame:
+    """Rows in the order of (bucket, *order) before which less than ``n`` of ``weight`` lies, with that sum as ``_before``.
 
-    Order is that of the paths, then of the lines.
+    Only the table of the buckets' sums passes through one task, and only the
+    buckets that begin below ``n`` are sorted.
+    """
+    own = df.withColumn("_bucket", bucket).withColumn("_weight", weight.cast("long"))
+    upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = own.groupBy("_bucket").agg(F.sum("_weight").alias("_sum")).withColumn("_start", F.coalesce(F.sum("_sum").over(upto), F.lit(0))).where(F.col("_start") < n)
+    inside = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = own.join(starts.select("_bucket", "_start"), "_bucket").withColumn("_before", F.col("_start") + F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
+    return placed.where(F.col("_before") < n).drop("_bucket", "_weight", "_start")
+
+
+def read_lines(spark: SparkSession, path: str, recursive: bool = False, pattern: str = "*.jsonl") -> DataFrame:
+    """Non-blank lines of a file or of all files of ``pattern`` below a folder: value, file, ord (from 1).
+
+    Order is that of the paths, folder by folder, then of the lines.  A file's
+    splits are told apart by where they begin, and lines inside a split by the order
+    in which its task reads them.
     """
     reader = spark.read
     if recursive:
-        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     raw = reader.text(path).where(F.length(F.trim(F.regexp_replace("value", r"\s", ""))) > 0)
     placed = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
-    bucket = F.struct("file", "_start")
+    # By its parts: "a/b" comes before "a-b/c", unlike in the order of the whole strings.
+    bucket = F.struct(F.split("file", "/").alias("parts"), "_start")
     return dense_index(placed, bucket, ["_row"]).drop("_start", "_row")
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str, limit: int | None = None, recursive: bool = False) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str, limit: int | None = None, recursive: bool = False, pattern: str = "*.jsonl") -> DataFrame:
     """Typed rows with ``file``, ``ord`` and ``keys`` (the keys each object has).
 
     Malformed lines and lines that are no object fail.  ``limit`` keeps the first
     rows in order.
     """
-    lines = read_lines(spark, path, recursive)
+    lines = read_lines(spark, path, recursive, pattern)
     if limit is not None:
         lines = lines.where(F.col("ord") <= limit)
     keys = F.json_object_keys("value")

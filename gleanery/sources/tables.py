@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,8 +22,55 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder; nothing above it is computed again."""
+    """``df`` as a Parquet table in the shared folder; nothing above it is computed again.
+
+    The table goes with the session's end, or before by ``discard``.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    passing(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out], _counts[out] = path, seen.get["n"]
+    return out
+
+
+def written_in_buckets(df: DataFrame, buckets: int, key: str, order: list[str]) -> DataFrame:
+    """``df`` as a table of the warehouse in ``buckets`` by ``key``: what groups or joins by ``key`` and more needs no shuffle.
+
+    The warehouse must be shared as the inputs are.
+    """
+    spark = df.sparkSession
+    name = f"gleanery_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(*order).saveAsTable(name)
+    passing(spark, spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").first()["data_type"])
+    return spark.table(name)
+
+
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_counts: weakref.WeakKeyDictionary[DataFrame, int] = weakref.WeakKeyDictionary()
+
+
+def rows_of(df: DataFrame) -> int:
+    """The number of rows; known without a job where ``df`` is what ``written`` gave."""
+    return _counts[df] if df in _counts else df.count()
+
+
+def _at(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def passing(spark: SparkSession, path: str) -> str:
+    """``path``, which is deleted when the driver ends."""
+    files, folder = _at(spark, path)
+    files.deleteOnExit(folder)
+    return path
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``written`` wrote for these tables; nothing may read them any more."""
+    for t in tables:
+        files, folder = _at(t.sparkSession, _paths.pop(t))
+        files.delete(folder, True)

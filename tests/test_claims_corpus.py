@@ -113,3 +113,33 @@ def test_flat_evidence(spark):
     assert got[8][2] == [(1, 2, None, None)] and got[-1][2] == [(1, 1, None, None)]
     assert {r["id"] for r in claims.claims_from_flat_evidence(flat, limit=1).collect()} == {7}
     assert {r["id"] for r in claims.claims_from_flat_evidence(flat, limit=0).collect()} == set()
+
+
+def test_nested_folders(spark, tmp_path):
+    """Files of equal names; folders come before longer names that only look earlier."""
+    for k, folder in enumerate(("a", "a-b", "a/c", "b")):
+        (tmp_path / folder).mkdir(parents=True)
+        write(tmp_path / folder / "x.jsonl", [{"id": 10 * k + i, "claim": None, "label": "é"} for i in range(3)] + ["  "])
+    rows = jsonl.read_jsonl(spark, str(tmp_path), SCHEMA, recursive=True).orderBy("ord").collect()
+    assert [r["id"] for r in rows] == [20, 21, 22, 0, 1, 2, 10, 11, 12, 30, 31, 32]
+    assert [r["ord"] for r in rows] == list(range(1, 13))
+
+
+def test_one_document(spark, tmp_path):
+    df = spark.createDataFrame([(1, None, {"a": 2})], "n int, nothing string, counts map<string,int>")
+    jsonl.write_document(df, str(tmp_path / "m"))
+    jsonl.write_document(df, str(tmp_path / "m"))  # again: one document still
+    files = [f for f in (tmp_path / "m").iterdir() if f.suffix == ".json"]
+    assert len(files) == 1 and json.loads(files[0].read_text()) == {"n": 1, "nothing": None, "counts": {"a": 2}}
+
+
+def test_evidence_recall(spark):
+    from gleanery.operators import bm25
+
+    cand = lambda p, s, r: {"page_id": p, "sentence_id": s, "rank": r}
+    found = spark.createDataFrame([(1, [cand("p", 0, 1), cand("q", 1, 2), cand("p", 0, 3)]), (2, []), (3, [cand("p", 9, 1)])], "id long, candidates array<struct<page_id:string,sentence_id:int,rank:int>>")
+    gold = spark.createDataFrame([(1, "p", 0), (1, "p", 0), (1, "q", 1), (1, "z", 5), (2, "p", 0), (3, None, None), (4, "p", 1)], "id long, page_id string, sentence_id int")
+    rows = bm25.evidence_recall(found, gold)
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, 3, 2, 1), (2, 1, 0, None), (4, 1, 0, None)]
+    assert tuple(bm25.recall_summary(rows).first()) == (3, 5, 2, 1, 0, pytest.approx(2 / 9))
+    assert bm25.evidence_recall(found, gold, upto=1).where("id = 1").first()["found"] == 1

@@ -1,6 +1,7 @@
 """BM25 golden values, padding and ties; prompts; posteriors."""
 
 import math
+import os
 import random
 import re
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import prompts as P
 from gleanery.functions import vectors as V
 from gleanery.operators import bm25, posterior
+from gleanery.plans import views
 from gleanery.plans.views import digest_scorer
 
 
@@ -51,6 +53,31 @@ def test_against_brute_force(spark, size):
         assert got == brute(docs, queries, n)
 
 
+def test_thresholds_lose_no_document(spark):
+    """Skewed terms and long queries, so that blocks and idle terms are left out."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    pick = lambda n: " ".join(words[min(299, int(rng.paretovariate(0.35)) - 1)] for _ in range(n))
+    docs = [(rng.choice(["T1", "t2"]), pick(rng.randint(1, 60))) for _ in range(400)]
+    queries = [pick(rng.choice([1, 2, 5, 25])) for _ in range(40)] + ["w0", "w1 w1 w2", docs[7][1]]
+    c = spark.createDataFrame([(i, f"d{i}", t, x) for i, (t, x) in enumerate(docs)], "doc_ord long, doc_id string, title string, text string")
+    q = spark.createDataFrame([(i, x, "SUPPORTS", "test") for i, x in enumerate(queries)], "id long, query string, label string, split string")
+    index = bm25.build_index(c)
+    for n in (1, 7):
+        got = {}
+        for r in bm25.retrieve(q, c, n, index).orderBy("id", "rank").collect():
+            got.setdefault(r["id"], []).append((r["doc_ord"], pytest.approx(r["score"], abs=1e-8)))
+        assert got == brute(docs, queries, n)
+    plan = bm25.scores(q, index)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(id" not in plan  # a document's score is summed up where its postings lie
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables here")
+def test_few_rows_are_written_before_ranking(spark):
+    found = bm25.best_scores(views.queries(spark, "/root/testdata/sf0.1"), views.index(spark, "/root/testdata/sf0.1"), views.TOP_N)
+    assert found.count() <= views.TOP_N * views.queries(spark, "/root/testdata/sf0.1").count()
+
+
 def test_prompt_texts(spark):
     row = spark.range(1).select(
         P.claim_prompt(F.lit("  Is it?  "), ["SUPPORTS", "NOT_ENOUGH_INFO"], {"SUPPORTS": ["A"], "NOT_ENOUGH_INFO": [" C"]}, F.lit(" seen \n")).alias("p"),
