@@ -10,8 +10,8 @@ from .text import strip, titled
 VERBALIZERS = {"SUPPORTS": ["A", " A", "\nA"], "REFUTES": ["B", " B", "\nB"]}
 
 
-def display_label(label: Column) -> Column:
-    return F.replace(label, F.lit("_"), F.lit(" "))
+def display_label(label: str) -> str:
+    return label.replace("_", " ")
 
 
 def claim_prompt(claim: Column, labels: list[str], verbalizers: dict[str, list[str]], evidence: Column | None = None) -> Column:
@@ -21,7 +21,7 @@ def claim_prompt(claim: Column, labels: list[str], verbalizers: dict[str, list[s
         names = verbalizers.get(label)
         if not names or not names[0].strip():
             raise ValueError(f"no verbalizer for {label}")
-        menu.append(f"{names[0].strip()}. {label.replace('_', ' ')}")
+        menu.append(f"{names[0].strip()}. {display_label(label)}")
     if not menu:
         raise ValueError("no labels")
     head = F.lit("You are a fact verification model.\n\n")
