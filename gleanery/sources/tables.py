@@ -37,14 +37,11 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def written_in_buckets(df: DataFrame, buckets: int, key: str, order: list[str]) -> DataFrame:
-    """``df`` as a table of the warehouse in ``buckets`` by ``key``: what groups or joins by ``key`` and more needs no shuffle.
-
-    The warehouse must be shared as the inputs are.
-    """
+    """``df`` as a table in the shared folder, in ``buckets`` by ``key``: what groups or joins by ``key`` and more needs no shuffle."""
     spark = df.sparkSession
     name = f"gleanery_{uuid.uuid4().hex}"
-    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(*order).saveAsTable(name)
-    passing(spark, spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").first()["data_type"])
+    path = passing(spark, f"{shared_folder(spark)}/{name}")
+    df.repartition(buckets, key).write.option("path", path).bucketBy(buckets, key).sortBy(*order).saveAsTable(name)
     return spark.table(name)
 
 
