@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bm25
 from ..operators import corpus as sentences
+from ..sources.tables import there
 
 LABELS = ["SUPPORTS", "REFUTES"]
 LABEL_MAP = {"SUPPORTS": "SUPPORTS", "REFUTES": "REFUTES"}
@@ -29,9 +30,10 @@ _indexes: dict[tuple[str, str], bm25.Index] = {}
 
 
 def index(spark: SparkSession, sf_dir: str) -> bm25.Index:
-    """The inverted index of the corpus, written once in a session."""
+    """The inverted index of the corpus, written once in a session (and again if somebody has cleared the shared folder)."""
     key = spark.sparkContext.applicationId, sf_dir
-    if key not in _indexes:
+    found = _indexes.get(key)
+    if found is None or not there(found.terms, found.blocks, found.frequency, found.size):
         _indexes[key] = bm25.build_index(corpus(spark, sf_dir))
     return _indexes[key]
 

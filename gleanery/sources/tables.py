@@ -42,7 +42,9 @@ def written_in_buckets(df: DataFrame, buckets: int, key: str, order: list[str])
     name = f"gleanery_{uuid.uuid4().hex}"
     path = passing(spark, f"{shared_folder(spark)}/{name}")
     df.repartition(buckets, key).write.option("path", path).bucketBy(buckets, key).sortBy(*order).saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    _paths[out] = path
+    return out
 
 
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
@@ -66,6 +68,11 @@ def passing(spark: SparkSession, path: str) -> str:
     return path
 
 
+def there(*tables: DataFrame) -> bool:
+    """Whether what was written for these tables still exists."""
+    return all(files.exists(folder) for files, folder in (_at(t.sparkSession, _paths[t]) for t in tables))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what ``written`` wrote for these tables; nothing may read them any more."""
     for t in tables:
