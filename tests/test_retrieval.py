@@ -4,6 +4,7 @@ import math
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -78,6 +79,47 @@ def test_few_rows_are_written_before_ranking(spark):
     assert found.count() <= views.TOP_N * views.queries(spark, "/root/testdata/sf0.1").count()
 
 
+def shuffled_rows(spark, job):
+    """The rows that each stage of ``job()`` wrote for a shuffle."""
+    store, doubles = spark._jsc.sc().statusStore(), spark._jvm.double
+
+    def seen():
+        time.sleep(1)  # the store follows the jobs
+        stages = store.stageList(None, False, False, spark._sc._gateway.new_array(doubles, 0), spark._jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    before = seen()
+    job()
+    return [n for k, n in seen().items() if k not in before]
+
+
+@pytest.mark.parametrize("pairs", [bm25.PAIRS, 0])
+def test_no_search_shuffles_the_postings(spark, monkeypatch, pairs):
+    """Neither the index nor a search (in one pass, or with idle terms added to what was met) shuffles a row for each posting."""
+    monkeypatch.setattr(bm25, "PAIRS", pairs)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(f"T{i % 3}", " ".join(rng.sample(words, 50)), " ".join(rng.choice(words) for _ in range(30))) for i in range(600)]
+    c = spark.createDataFrame([(i, f"d{i}", t, x) for i, (t, x, _) in enumerate(docs)], "doc_ord long, doc_id string, title string, text string")
+    q = spark.createDataFrame([(i, x, "SUPPORTS", "test") for i, (_, _, x) in enumerate(docs[:30])], "id long, query string, label string, split string")
+    got = {}
+
+    def job():
+        for r in bm25.retrieve(q, c, 5, bm25.build_index(c)).orderBy("id", "rank").collect():
+            got.setdefault(r["id"], []).append((r["doc_ord"], pytest.approx(r["score"], abs=1e-8)))
+
+    rows = shuffled_rows(spark, job)
+    assert got == brute([(t, x) for t, x, _ in docs], [x for _, _, x in docs[:30]], 5)
+    assert max(rows) < 600 * 50 / 2
+
+
+def test_term_lists(spark):
+    c = spark.createDataFrame([(0, None, "B a-b  A 9 a"), (1, "", None), (2, "x", "")], "doc_ord long, title string, text string")
+    lists = {r["doc_ord"]: (r["length"], [tuple(p) for p in r["postings"]]) for r in bm25.term_lists(c).collect()}
+    assert lists == {0: (7, [("9", 1), ("a", 3), ("b", 2), ("none", 1)]), 1: (0, []), 2: (1, [("x", 1)])}
+    assert sorted(map(tuple, bm25.document_terms(c).collect())) == [(0, "9", 1, 7), (0, "a", 3, 7), (0, "b", 2, 7), (0, "none", 1, 7), (2, "x", 1, 1)]
+
+
 def test_prompt_texts(spark):
     row = spark.range(1).select(
         P.claim_prompt(F.lit("  Is it?  "), ["SUPPORTS", "NOT_ENOUGH_INFO"], {"SUPPORTS": ["A"], "NOT_ENOUGH_INFO": [" C"]}, F.lit(" seen \n")).alias("p"),
