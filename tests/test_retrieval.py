@@ -14,6 +14,7 @@ from gleanery.functions import prompts as P
 from gleanery.functions import vectors as V
 from gleanery.operators import bm25, posterior
 from gleanery.plans import views
+from gleanery.plans.registered import QUERIES
 from gleanery.plans.views import digest_scorer
 
 
@@ -113,6 +114,13 @@ def test_no_search_shuffles_the_postings(spark, monkeypatch, pairs):
     assert max(rows) < 600 * 50 / 2
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_postings_are_shuffled_once(spark):
+    n = QUERIES["postings"](spark, "/root/testdata/sf0.01").count()
+    rows = shuffled_rows(spark, lambda: QUERIES["postings"](spark, "/root/testdata/sf0.01").write.format("noop").mode("overwrite").save())
+    assert sum(r >= n for r in rows) <= 1
+
+
 def test_term_lists(spark):
     c = spark.createDataFrame([(0, None, "B a-b  A 9 a"), (1, "", None), (2, "x", "")], "doc_ord long, title string, text string")
     lists = {r["doc_ord"]: (r["length"], [tuple(p) for p in r["postings"]]) for r in bm25.term_lists(c).collect()}
