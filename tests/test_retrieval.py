@@ -114,6 +114,15 @@ def test_no_search_shuffles_the_postings(spark, monkeypatch, pairs):
     assert max(rows) < 600 * 50 / 2
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_no_registered_search_shuffles_the_postings(spark, monkeypatch):
+    """No stage of bm25_top_n, the index included, writes a shuffle row for each posting."""
+    d = "/root/testdata/sf0.01"
+    monkeypatch.setattr(views, "_indexes", {})
+    rows = shuffled_rows(spark, lambda: QUERIES["bm25_top_n"](spark, d).write.format("noop").mode("overwrite").save())
+    assert max(rows) < views.index(spark, d).terms.count()
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
 def test_postings_are_shuffled_once(spark):
     n = QUERIES["postings"](spark, "/root/testdata/sf0.01").count()
