@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import prompts as P
 from gleanery.functions import vectors as V
-from gleanery.operators import bm25, posterior
+from gleanery.operators import blocks, bm25, posterior
 from gleanery.plans import views
 from gleanery.plans.registered import QUERIES
 from gleanery.plans.views import digest_scorer
@@ -137,6 +137,43 @@ def test_term_lists(spark):
     assert sorted(map(tuple, bm25.document_terms(c).collect())) == [(0, "9", 1, 7), (0, "a", 3, 7), (0, "b", 2, 7), (0, "none", 1, 7), (2, "x", 1, 1)]
 
 
+def test_many_queries_in_rounds(spark, monkeypatch):
+    """Thresholds from earlier rounds of documents and parts of the queries lose no document, ties included; the index shuffles no text."""
+    monkeypatch.setattr(bm25, "PAIRS", 0)
+    monkeypatch.setattr(blocks, "FIRST_DOCS", 30)
+    monkeypatch.setattr(blocks, "QUERY_TERMS", 120)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(200)]
+    pick = lambda n: " ".join(words[min(199, int(rng.paretovariate(0.4)) - 1)] for _ in range(n))
+    docs = [(rng.choice(["T1", None]), pick(rng.randint(0, 40))) for _ in range(500)]
+    docs[400:420] = docs[:20]
+    queries = [pick(rng.choice([1, 2, 5, 25])) for _ in range(40)] + ["w0", "w1 w1 w2", docs[7][1], "nothing known", ""]
+    c = spark.createDataFrame([(i, i % 7, t, x) for i, (t, x) in enumerate(docs)], "doc_ord long, page int, title string, text string")
+    q = spark.createDataFrame([(f"q{i:03}", x) for i, x in enumerate(queries)], "id string, query string")
+    index = bm25.build_index_in_place(c, ("page",))
+    assert index.lists.where("page != doc_ord % 7").count() == 0
+    for n in (1, 7):
+        got = {}
+        for r in bm25.retrieve(q, c, n, index).orderBy("id", "rank").collect():
+            got.setdefault(int(r["id"][1:]), []).append((r["doc_ord"], pytest.approx(r["score"], abs=1e-8)))
+        assert got == brute(docs, queries, n)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_recall_of_many_claims_shuffles_little(spark):
+    """Neither a text nor a row for each pair of a claim and a passage is shuffled: all stages together write less than twice what the texts have."""
+    store, doubles = spark._jsc.sc().statusStore(), spark._jvm.double
+
+    def seen():
+        time.sleep(1)  # the store follows the jobs
+        stages = store.stageList(None, False, False, spark._sc._gateway.new_array(doubles, 0), spark._jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    before = seen()
+    assert QUERIES["evidence_recall"](spark, "/root/testdata/sf0.01").count() == 399
+    assert sum(n for k, n in seen().items() if k not in before) < 2 * 2_409_870
+
+
 def test_terms_of_a_document_are_found_once(spark):
     """No part of the plan goes over a document's words again for each of them."""
     c = spark.createDataFrame([(0, None, "B a-b  A 9 a"), (1, "", None), (2, "x", ""), (3, "x", "y " * 20_000)], "doc_ord long, title string, text string")
