@@ -148,6 +148,7 @@ def test_many_queries_in_rounds(spark, monkeypatch):
     docs = [(rng.choice(["T1", None]), pick(rng.randint(0, 40))) for _ in range(500)]
     docs[400:420] = docs[:20]
     queries = [pick(rng.choice([1, 2, 5, 25])) for _ in range(40)] + ["w0", "w1 w1 w2", docs[7][1], "nothing known", ""]
+    queries += [queries[3], " ".join(reversed(queries[3].split()))]
     c = spark.createDataFrame([(i, i % 7, t, x) for i, (t, x) in enumerate(docs)], "doc_ord long, page int, title string, text string")
     q = spark.createDataFrame([(f"q{i:03}", x) for i, x in enumerate(queries)], "id string, query string")
     index = bm25.build_index_in_place(c, ("page",))
